@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import quality, token_counts, token_files, toxicity
+from tramline.llm import exact_dedup, quality, simhash, token_counts, token_files, toxicity
 from tramline.llm.packing import pack_documents
 from tramline.llm.tokens import tokenizer_path
 from tramline.session import scratch_dir, ship_package, table
@@ -18,6 +18,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(spark, path)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, reach=3)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
@@ -42,5 +47,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_token_counts, op5_packing, op8_toxicity, op9_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_token_counts, op5_packing, op8_toxicity, op9_quality, op10_exact_dedup)}
+ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
