@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import exact_dedup, quality, simhash, token_counts, token_files, toxicity
+from tramline.llm import exact_dedup, quality, simhash, substring, token_counts, token_files, toxicity
 from tramline.llm.packing import pack_documents
 from tramline.llm.tokens import tokenizer_path
 from tramline.session import scratch_dir, ship_package, table
@@ -33,6 +33,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, room=2048)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return substring.repeated_words(table(spark, sf_dir, "documents"), window=35)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.fold("doc_id", 3, 1)
@@ -51,5 +56,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_token_counts, op5_packing, op8_toxicity, op9_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_token_counts, op5_packing, op7_substring, op8_toxicity, op9_quality, op10_exact_dedup)}
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
