@@ -17,7 +17,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        measure = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+        sizes = measure(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import exact_dedup, quality, simhash, substring, token_counts, token_files, toxicity
+from tramline.llm import exact_dedup, neighbours, quality, simhash, substring, token_counts, token_files, toxicity
 from tramline.llm.packing import pack_documents
+from tramline.llm.pieces import decode_pieces, encode_pieces
 from tramline.llm.tokens import tokenizer_path
 from tramline.session import scratch_dir, ship_package, table
 
@@ -28,11 +29,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's pieces under dropout; lossless: whether they decode to the text."""
+    ship_package(spark)
+    model = tokenizer_path("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model, rate=0.1, seed=42), model)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", "text_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, room=2048)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return substring.repeated_words(table(spark, sf_dir, "documents"), window=35)
@@ -56,5 +70,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_token_counts, op5_packing, op7_substring, op8_toxicity, op9_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_token_counts, op4_pieces, op5_packing, op6_neighbours, op7_substring, op8_toxicity, op9_quality, op10_exact_dedup)}
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
