@@ -91,7 +91,8 @@ class Network:
         """Live reports of vehicles: one for each event; errors end a session."""
         e = self._read("events")
         k = F.get_json_object("props", "$.k").cast("int")
+        micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
         return e.select(
-            "event_id", F.col("user_id").alias("session_id"), (F.col("user_id") % ROUTES).alias("route_id"), (F.floor(F.unix_timestamp("ts") / 86400).cast("long") % 2).cast("int").alias("direction_id"),
-            (F.lit(30.0) + F.col("value") * 0.0001).alias("lat"), (F.lit(31.2) + k * 0.0005).alias("lon"), (F.unix_micros("ts") / 600e6).alias("at"), (F.col("event_type") == "error").alias("ended"),
+            "event_id", F.col("user_id").alias("session_id"), (F.col("user_id") % ROUTES).alias("route_id"), (F.floor(micros / 86400e6).cast("long") % 2).cast("int").alias("direction_id"),
+            (F.lit(30.0) + F.col("value") * 0.0001).alias("lat"), (F.lit(31.2) + k * 0.0005).alias("lon"), (micros / 600e6).alias("at"), (F.col("event_type") == "error").alias("ended"),
         )

@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline import session
 from tramline.functions import constants as C
-from tramline.operators import edges, patterns, service, spatial
+from tramline.functions import fares, geo, schedule, text
+from tramline.operators import audits, browse, edges, matching, patterns, reconstruct, search, service, shapes, spatial
 from tramline.plans.network import Network
+from tramline.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[Network], DataFrame]) -> Callable[[Network], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Network(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session.ship_package(spark)
+        return f(Network(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -175,3 +182,278 @@ def interchange_stations(n: Network) -> DataFrame:
 def coverage_overlap(n: Network) -> DataFrame:
     corridors = n.stop_times.select(F.col("trip_id").alias("corridor_id"), "stop_id").distinct()
     return patterns.best_overlap(corridors, patterns.stop_sets(_patterns(n))).select("corridor_id", "size", "shared", "route_id", tenths("overlap", 1000).alias("permille"))
+
+
+def _now(n: Network) -> float:
+    """A moment of the live clock, which runs 600 times slower than the events."""
+    return n.positions.agg(F.min("at")).first()[0] + 4000.0
+
+
+WATER = [(30.028, 31.205), (30.045, 31.205), (30.045, 31.225), (30.036, 31.215), (30.028, 31.225)]
+
+
+def _journeys(n: Network) -> DataFrame:
+    """An itinerary to price for each trip: hops and metres ridden by the kind of vehicle."""
+    h = _hops(n)
+    return h.groupBy("trip_id", "route_id", "vehicle_type").agg(F.count("*").alias("hops"), F.sum("dist_m").alias("metres"))
+
+
+@query
+def fare_banded(n: Network) -> DataFrame:
+    j = _journeys(n)
+    return j.select("trip_id", "vehicle_type", "hops", fares.banded_fare(F.col("vehicle_type"), F.col("hops")).cast("long").alias("fare")).where(F.col("vehicle_type").isin(*C.BANDED_FARES))
+
+
+@query
+def leg_fares(n: Network) -> DataFrame:
+    j = _journeys(n).join(n.routes.select("route_id", "agency_id"), "route_id")
+    return j.select("trip_id", fares.leg_fare(F.col("vehicle_type"), F.col("agency_id"), F.col("metres")).cast("long").alias("fare"))
+
+
+@query
+def expected_waits(n: Network) -> DataFrame:
+    r = n.trips.select("route_id", "direction_id").distinct().join(service.headways(n.frequencies), ["route_id", "direction_id"], "left")
+    return r.select("route_id", "direction_id", tenths(fares.expected_wait(F.col("headway_min"))).alias("wait10"), tenths(fares.expected_wait(F.col("headway_min"), F.lit(420.0))).alias("later10"))
+
+
+@query
+def walk_offers(n: Network) -> DataFrame:
+    direct, walk = F.col("c_custkey") % 5000 + 1, (F.col("c_custkey") % 5000 + 1) * (1 + F.col("c_custkey") % 7 * 0.25)
+    return n._read("customer").select("c_custkey", fares.walk_plausible(walk, direct).alias("plausible"), fares.walk_offered(walk, direct).alias("offered"))
+
+
+@query
+def gtfs_times(n: Network) -> DataFrame:
+    t = n.stop_times.select("trip_id", "seq", schedule.gtfs_text(F.col("t")).alias("text"))
+    return t.select("trip_id", "seq", "text", schedule.gtfs_seconds(F.col("text")).alias("sec"))
+
+
+@query
+def order_clock(n: Network) -> DataFrame:
+    ts = F.col("ts")
+    return n._read("events").select("event_id", schedule.weekday(ts).alias("dow"), schedule.day_seconds(ts).alias("sec"), schedule.next_morning(ts).alias("next"), schedule.minutes_text(F.col("value")).alias("text"))
+
+
+@query
+def raptor_rounds(n: Network) -> DataFrame:
+    """Fastest arrivals at all stops from three origins, with two boardings at most."""
+    p = _patterns(n)
+    timed = search.timed_patterns(p, edges.blended(_edges(n)))
+    boards = search.boardings(p, n.routes, service.headways(n.frequencies), "fastest")
+    origins = n.stops.where("stop_id IN (0, 7, 14)").select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost"))
+    return search.best_by_stop(search.search(timed, boards, spatial.walk_links(n.stops), origins, rounds=2)).select("od_id", "stop_id", tenths("cost").alias("cost10"))
+
+
+def _planned(n: Network, profile: str) -> DataFrame:
+    p = _patterns(n)
+    timed, heads = session.materialize(search.timed_patterns(p, edges.blended(_edges(n))), "timed"), service.headways(n.frequencies)
+    boards = search.boardings(p, n.routes, heads, profile)
+    origins = n.stops.where("stop_id IN (0, 7, 14)").select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost"))
+    answers = search.best_by_stop(search.search(timed, boards, spatial.walk_links(n.stops), origins, rounds=2, walk_times=C.PROFILES[profile][1]))
+    return search.itineraries(answers.where(F.size("path") > 0), timed, n.routes, heads)
+
+
+@query
+def itinerary_recommended(n: Network) -> DataFrame:
+    return _planned(n, "recommended")
+
+
+@query
+def itinerary_cheapest(n: Network) -> DataFrame:
+    return _planned(n, "cheapest")
+
+
+@query
+def rail_plan(n: Network) -> DataFrame:
+    """Fewest hops on rail, three more for each change or walk, from the first station."""
+    p = _patterns(n).join(n.routes.where("rail").select("route_id"), "route_id")
+    at = patterns.pattern_stops(p)
+    timed = at.select("route_id", "direction_id", "pos", "stop_id", F.col("pos").cast("double").alias("t"), F.lit(0.0).alias("metres"))
+    zero = F.lit(0.0)
+    boards = p.select("route_id", "direction_id", zero.alias("first"), F.lit(3.0).alias("later"), F.lit(0).alias("bit"), zero.alias("money"), zero.alias("per_metre"))
+    stations = at.select("stop_id").distinct()
+    walks = spatial.walk_links(n.stops, C.RAIL_WALK_M).join(stations.withColumnRenamed("stop_id", "u"), "u", "left_semi").join(stations.withColumnRenamed("stop_id", "v"), "v", "left_semi").select("u", "v", F.lit(3.0).alias("sec"))
+    origin = stations.agg(F.min("stop_id").alias("stop_id")).select(F.lit(0).cast("long").alias("od_id"), "stop_id", zero.alias("cost"))
+    return search.best_by_stop(search.search(timed, boards, walks, origin, rounds=2)).select("stop_id", F.col("cost").cast("long").alias("cost"))
+
+
+@query
+def bounded_reach(n: Network) -> DataFrame:
+    sources = n.stops.where("stop_id < 5").select(F.col("stop_id").alias("source_id"), "stop_id")
+    links = _edges(n).where("dist_m <= 700").select("u", "v", "dist_m")
+    return search.bounded_reach(links, sources, 1500.0, 4).select("source_id", "stop_id", tenths("metres").alias("metres10"))
+
+
+@query
+def shape_lengths(n: Network) -> DataFrame:
+    return shapes.measured(n.shape_points).groupBy("shape_id").agg(F.count("*").alias("points"), F.round(F.max("along")).cast("long").alias("metres"))
+
+
+@query
+def shape_along(n: Network) -> DataFrame:
+    """Metres along a route's shape between places beside its second and last points."""
+    s = shapes.measured(n.shape_points)
+    ends = s.groupBy("shape_id").agg(F.max("seq").alias("last")).where("last >= 3")
+    pick = lambda k, seq, d: s.join(ends, "shape_id").where(F.col("seq") == seq).select("shape_id", (F.col("lat") + d).alias(f"lat{k}"), (F.col("lon") + d).alias(f"lon{k}"))
+    trips = pick(1, F.lit(2), 0.0001).join(pick(2, F.col("last"), 0.0002), "shape_id").withColumn("query_id", F.col("shape_id"))
+    return shapes.distance_along(trips, s.select("shape_id", "seq", "lat", "lon", "along")).select("query_id", "on_shape", F.round("metres").cast("long").alias("metres"))
+
+
+@query
+def boundary_flips(n: Network) -> DataFrame:
+    f = shapes.flips(n.shape_points, WATER, (30.0, 31.19, 30.06, 31.25))
+    return f.select("shape_id", "seq", F.round(F.col("lat") * 1e5).cast("long").alias("lat5"), F.round(F.col("lon") * 1e5).cast("long").alias("lon5"))
+
+
+@query
+def point_in_polygon(n: Network) -> DataFrame:
+    return n.stops.select("stop_id", geo.in_polygon(F.col("lat"), F.col("lon"), WATER).alias("inside"))
+
+
+@query
+def spur_detect(n: Network) -> DataFrame:
+    s = n.shape_points.select(F.col("shape_id").alias("seq_id"), F.col("seq").alias("pos"), "lat", "lon")
+    return shapes.spurs(s, 600.0, 1500.0)
+
+
+@query
+def needle_spikes(n: Network) -> DataFrame:
+    lines = n.shape_points.groupBy("shape_id").agg(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
+    points = F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
+    return lines.select("shape_id", F.size("p").alias("before"), F.size(shapes.without_needles(points, 800.0, 400.0)).alias("after"))
+
+
+@query
+def stops_along_shape(n: Network) -> DataFrame:
+    line = n.shape_points.where("route_id < 6").select("shape_id", "seq", "lat", "lon")
+    return shapes.stops_along(line, n.stops).groupBy("shape_id").agg(F.count("*").alias("stops"), F.round(F.max("off")).cast("long").alias("farthest"))
+
+
+@query
+def live_latest(n: Network) -> DataFrame:
+    v = live.latest(n.positions, _now(n))
+    return v.select("session_id", "route_id", "direction_id", "fixes", tenths("speed", 1000).alias("mm_s"), tenths("at", 1000).alias("at_ms"))
+
+
+@query
+def live_eta(n: Network) -> DataFrame:
+    now = _now(n)
+    v = live.latest(n.positions, now).join(n.routes.select("route_id", "vehicle_type"), "route_id")
+    e = live.arrivals(v, F.lit(30.05), F.lit(31.22), now, F.col("vehicle_type"))
+    return e.select("session_id", "eta_sec", "distance_m", "age_sec")
+
+
+@query
+def live_active(n: Network) -> DataFrame:
+    now = _now(n)
+    return live.latest(n.positions, now).groupBy("route_id").agg(F.count("*").alias("active"))
+
+
+@query
+def route_search(n: Network) -> DataFrame:
+    cards = browse.cards(_patterns(n), n.routes, n.stops, service.headways(n.frequencies))
+    return browse.search_routes(cards, "Mini bus 1", limit=100).select("route_id", "rank", "number", "stop_count")
+
+
+@query
+def route_cards(n: Network) -> DataFrame:
+    c = browse.cards(_patterns(n), n.routes, n.stops, service.headways(n.frequencies))
+    return c.select("route_id", "number", "vehicle_type", "from", "to", "stop_count", tenths("headway_min").alias("headway10"), "reconstructed", F.col("fare").cast("long").alias("fare"))
+
+
+@query
+def route_detail(n: Network) -> DataFrame:
+    v = patterns.variants(patterns.sequences(n.stop_times, n.trips))
+    return browse.route_detail(v, n.stops, 3)
+
+
+@query
+def match_contains(n: Network) -> DataFrame:
+    """Part names as landmarks, set against names of stops made of parts' names and brands."""
+    marks = n._read("part").where("p_partkey % 7 = 0").select(F.col("p_name").alias("landmark")).distinct().withColumn("key", text.normalise(F.col("landmark")))
+    names = n._read("part").select(F.col("p_partkey").alias("stop_id"), text.normalise(F.concat_ws(" ", "p_name", "p_type")).alias("key")).distinct()
+    return matching.contains_match(marks, names).select("landmark", "stop_id", "matched")
+
+
+@query
+def match_fuzzy(n: Network) -> DataFrame:
+    marks = n._read("part").select(F.col("p_name").alias("landmark")).distinct().withColumn("key", F.concat(F.substring("landmark", 2, 50), F.lit("x")))
+    names = n._read("part").select(F.col("p_partkey").alias("stop_id"), F.col("p_name").alias("key"))
+    return matching.fuzzy(marks, names, least=0.8).select("landmark", "name", tenths("score", 1000).alias("permille"))
+
+
+@query
+def match_cascade(n: Network) -> DataFrame:
+    stops = n._read("part").where("p_partkey < 200").select(F.col("p_partkey").alias("stop_id"), F.lit(None).cast("string").alias("name_ar"), F.concat_ws(" ", "p_name", F.concat(F.lit("("), "p_brand", F.lit(")"))).alias("name_en"))
+    marks = n._read("part").select(F.col("p_name").alias("landmark")).union(n._read("part").select("p_brand")).distinct()
+    return matching.cascade(marks, stops).select("landmark", "how", F.size("candidates").alias("candidates"))
+
+
+@query
+def corridor_gates(n: Network) -> DataFrame:
+    s = n.stop_times.join(n.stops, "stop_id").select(F.col("trip_id").alias("seq_id"), F.col("seq").alias("pos"), "lat", "lon")
+    m = reconstruct.corridor_metrics(s.withColumnRenamed("seq_id", "corridor_id"))
+    k = F.col("corridor_id")
+    c = m.select(k, (k % 3 == 0).alias("surveyed"), (k % 2 == 0).alias("same_kind"), (k % 101 / 100.0).alias("coverage"), (k % 4).alias("connected"), F.lit(1).alias("total"), "stops", (F.col("length_km") / (1 + k % 9 * 0.1)).alias("chain_km"), "length_km", "od_km")
+    return reconstruct.gates(c, s).groupBy("reason").agg(F.count("*").alias("corridors"))
+
+
+@query
+def corridor_timetable(n: Network) -> DataFrame:
+    first = n.shape_points.where("direction_id = 0").withColumn("pos", F.col("seq") - 1).select("route_id", "pos", "stop_id", "lat", "lon")
+    return reconstruct.timetable(first).select("route_id", "direction_id", "seq", "stop_id", "sec", "time")
+
+
+@query
+def hop_apportioned(n: Network) -> DataFrame:
+    line = n.shape_points.select(F.col("route_id").alias("line"), "direction_id", F.col("seq").alias("pos"), "lat", "lon", F.lit(40).alias("journey_minutes"))
+    return reconstruct.apportioned(line).select("line", "direction_id", "pos", "hop_sec")
+
+
+@query
+def corridor_anchors(n: Network) -> DataFrame:
+    c = n.stop_times.join(n.stops, "stop_id").where("trip_id % 10 = 0").select(F.col("trip_id").alias("corridor_id"), ((F.col("seq") - 1) / 2).cast("int").alias("pos"), F.col("seq").alias("rank"), "stop_id", "lat", "lon")
+    return reconstruct.anchors(c)
+
+
+@query
+def grid_clusters(n: Network) -> DataFrame:
+    return reconstruct.grid_clusters(n.stops, 100.0)
+
+
+@query
+def coverage_cube(n: Network) -> DataFrame:
+    e = _edges(n)
+    pairs = e.groupBy((F.col("u") % 12).cast("string").alias("origin"), (F.col("v") % 12).cast("string").alias("destination")).agg((F.min("sec") < 200).alias("answered"), (F.count("*") > 300).alias("complete"))
+    return audits.coverage(pairs.where("origin <> destination"))
+
+
+@query
+def suspicious_pairs(n: Network) -> DataFrame:
+    return audits.suspicious_pairs(_edges(n)).select("u", "v", tenths("speed").alias("speed10"))
+
+
+@query
+def ab_compare(n: Network) -> DataFrame:
+    before = _edges(n).select(F.concat_ws("-", "u", "v", "route_id", "direction_id").alias("pair_id"), F.ceil(F.col("sec") / 60).alias("minutes"))
+    after = edges.blended(_edges(n)).select(F.concat_ws("-", "u", "v", "route_id", "direction_id").alias("pair_id"), F.ceil(F.col("sec") / 60).alias("minutes"))
+    return audits.compared(before, after)
+
+
+@query
+def barrier_flags(n: Network) -> DataFrame:
+    pairs = spatial.near_pairs(spatial._side(n.stops, 1), spatial._side(n.stops, 2), C.WALK_M).where("id1 < id2 AND dist_m > 0").withColumnsRenamed({"id1": "u", "id2": "v"})
+    road = n.stops.where("stop_id % 3 <> 0")
+    return audits.barriers(pairs, road).select("u", "v", F.round("ends").cast("long").alias("ends"), F.round("worst").cast("long").alias("worst"))
+
+
+@query
+def step_upper_median(n: Network) -> DataFrame:
+    return _hops(n).groupBy("route_id").agg(tenths(audits.upper_median("dist_m")).alias("upper10"), tenths(F.median("dist_m")).alias("median10"))
+
+
+@query
+def bbox_errors(n: Network) -> DataFrame:
+    lat, lon = F.col("lat"), F.col("lon")
+    code = F.when(lat.isNull() | lon.isNull(), "missing").when(~lat.between(22.0, 32.0) | ~lon.between(24.0, 37.0), "outside").otherwise("ok")
+    return n.positions.withColumn("lat", F.when(F.col("session_id") % 11 == 0, lat + 10).otherwise(lat)).groupBy(code.alias("code")).agg(F.count("*").alias("n"))
