@@ -1,11 +1,14 @@
-"""Near-duplicates by SimHash, with exact pairs from shards of a vantage-point tree.
+"""Near-duplicates by SimHash, with exact pairs from shards of vantage-point trees.
 
-A tree over a bounded sample of fingerprints splits the Hamming space: at each node, fingerprints within the node's
-radius of its vantage point go inside, the others outside. Each distinct fingerprint has one home shard. By the triangle
-inequality, a fingerprint inside can be near one outside only if its own distance is within the reach of the radius, so
-only such fingerprints are also sent to the outside: each pair within reach meets in the home shard of one of the two.
-Shards are cut into blocks of bounded size, and pairs of blocks are units of work; each unit gives a spanning forest of
-its links, never all pairs. Links are joined into components by rounds of star contraction over tables.
+Fingerprints that differ in at most `reach` bits differ in at most reach // PARTS bits of one of their PARTS equal
+parts. So each part has a tree of its own, in which the reach, and with it the overlap of shards, is small.
+
+A tree over a bounded sample splits the Hamming space: at each node, fingerprints within the node's radius of its
+vantage point go inside, the others outside. Each distinct fingerprint has one home shard. By the triangle inequality, a
+fingerprint inside can be near one outside only if its own distance is within the reach of the radius, so only such
+fingerprints also visit the outside: each pair within reach meets in the home shard of one of the two. Shards are cut
+into blocks of bounded size, and a block at home with a block of all is a unit of work; each unit gives a spanning
+forest of its links, never all pairs. Links are joined into components by rounds of star contraction over tables.
 
 Defined results: texts without words (null, empty, white) have the fingerprint zero and are linked like any other;
 equal fingerprints are linked; a row's component is the smallest doc_id in it (null only if all of its ids are null);
@@ -30,8 +33,9 @@ from tramline.session import materialize
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Fingerprints that the tree is fitted on, and fingerprints that a shard should hold, and that a block may hold.
-SAMPLE, SHARD, BLOCK = 1 << 16, 1 << 11, 1 << 10
+#: Parts of a fingerprint, each with a tree; fingerprints that trees are fitted on; fingerprints at home in a shard; and
+#: those that a unit of work holds at home and in all.
+PARTS, SAMPLE, SHARD, HOME_BLOCK, BLOCK = 2, 1 << 16, 1 << 11, 1 << 12, 1 << 13
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -98,60 +102,63 @@ class VantageTree:
         return at, node, home
 
 
-def forest(fps: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the rows left and right of fps, of which one is at home."""
-    parent = np.arange(len(fps))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    kept = []
+def forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two ends of each link of a spanning forest of the links between rows left and rows right of fps."""
+    labels, ends = np.arange(len(fps)), ([], [])
     for k in range(0, len(left), 256):
         rows = left[k : k + 256]
         near = np.bitwise_count(fps[rows][:, None] ^ fps[right][None, :]) <= reach
-        near &= home[rows][:, None] | home[right][None, :]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            a, b = root(rows[i]), root(right[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                kept.append((int(fps[rows[i]]), int(fps[right[j]])))
-    return kept
-
-
-def links(distinct: DataFrame, reach: int = 3, sample: int = SAMPLE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+        for row, hits in zip(rows[near.any(1)], near[near.any(1)], strict=True):
+            others = right[hits]
+            found, first = np.unique(labels[others], return_index=True)
+            new = found != labels[row]
+            if new.any():
+                ends[0].append(np.full(new.sum(), row))
+                ends[1].append(others[first[new]])
+                labels[np.isin(labels, found)] = labels[row]
+    return tuple(np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
+
+
+def links(distinct: DataFrame, reach: int = 3, parts: int = PARTS, sample: int = SAMPLE, shard: int = SHARD, home_block: int = HOME_BLOCK, block: int = BLOCK) -> DataFrame:
     """a, b: links between different fingerprints within reach that connect all that such links connect.
 
-    distinct: a table (written, as it is read thrice) with a column fp of different longs.
+    distinct: a table (written, as it is read often) with a column fp of different longs.
     """
     spark = distinct.sparkSession
     total = distinct.count()
     drawn = distinct.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    depth = max(0, min(int(np.ceil(np.log2(max(1, total) / shard))), int(np.log2(max(1, len(drawn)) / 8))))
-    tree = spark.sparkContext.broadcast(VantageTree(drawn, depth))
+    depth = max(0, min(round(np.log2(max(1, total) / shard)), int(np.log2(max(1, len(drawn)) / 8))))
+    width, part_reach = -(-64 // parts), reach // parts
+    masks = [np.uint64(((1 << min(width, 64 - k)) - 1) << k) for k in range(0, 64, width)]
+    trees = spark.sparkContext.broadcast([(m, VantageTree(drawn & m, depth)) for m in masks])  # at most sample/8 nodes each
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            at, node, home = tree.value.shards(f["fp"].to_numpy(np.int64).view(np.uint64), reach)
-            yield pd.DataFrame({"fp": f["fp"].to_numpy()[at], "shard": node, "home": home})
-
-    routed = distinct.mapInPandas(route, "fp long, shard long, home boolean")
-    # One row for each shard: at most sample/8 of them.
-    sizes = routed.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = routed.join(F.broadcast(sizes), "shard").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(SEED)), F.col("blocks")).cast("int"))
-    # Unit (i, j) holds blocks i and j of a shard, i <= j; a block takes part in as many units as its shard has blocks.
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = met.select("fp", "home", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+            fps = f["fp"].to_numpy(np.int64).view(np.uint64)
+            for k, (mask, tree) in enumerate(trees.value):
+                at, node, home = tree.shards(fps & mask, part_reach)
+                yield pd.DataFrame({"fp": f["fp"].to_numpy()[at], "shard": node * len(trees.value) + k, "home": home})
+
+    routed = materialize(distinct.mapInPandas(route, "fp long, shard long, home boolean"), "shards")
+    # One row for each shard of each tree.
+    sizes = routed.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes"))
+    sizes = sizes.where("homes > 0 AND n > 1").select("shard", F.ceil(F.col("homes") / home_block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("columns"))
+    placed = routed.join(F.broadcast(sizes), "shard")
+    own = lambda n: F.pmod(F.xxhash64("fp", F.lit(SEED)), n).cast("int")
+    placed = placed.withColumns({"row": F.when(F.col("home"), own(F.col("rows"))), "column": own(F.col("columns"))})
+    # Unit (i, j) holds the shard's row block i (those at home) and column block j (all); most shards are one unit.
+    unit = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_row = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: unit(F.col("row"), j)))
+    as_column = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: unit(i, F.col("column")))
+    met = placed.withColumn("unit", F.explode(F.array_union(F.coalesce(as_row, F.array().cast("array<struct<i:int,j:int>>")), as_column)))
+    units = met.select("fp", "shard", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), "row", "column")
 
     def joined(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        f = f.sort_values(["fp"], kind="stable")
-        fps, home, own = f["fp"].to_numpy(np.int64).view(np.uint64), f["home"].to_numpy(bool), f["own"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        kept = forest(fps, home, left, right, reach)
-        pairs = np.array(kept, np.uint64).reshape(-1, 2).view(np.int64)
+        f = f.sort_values("fp", kind="stable")
+        fps = f["fp"].to_numpy(np.int64).view(np.uint64)
+        a, b = forest(fps, np.flatnonzero(f["row"].to_numpy() == i), np.flatnonzero(f["column"].to_numpy() == j), reach)
+        pairs = np.stack([fps[a], fps[b]], 1).view(np.int64)
         return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
 
     return units.groupBy("shard", "i", "j").applyInPandas(joined, "a long, b long").where("a <> b").distinct()
