@@ -12,7 +12,8 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     """Metres between two points in degrees."""
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # Not least(1, ...), which would turn an unknown place into half the way around the earth.
+    return F.lit(2 * EARTH_M) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def planar_metres(lat1, lon1, lat2, lon2) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that open a place's name and say what kind of place it is; words that name a road or an area.
 PLACE_WORDS = "شارع|ش|ميدان|م|كوبري|كوبرى|محور|طريق|منطقة|حي|مساكن|مدينة|جراج"
@@ -31,7 +32,7 @@ def _squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
     return s.str.normalize("NFKC")
@@ -86,4 +87,4 @@ def route_number(short_name: Column) -> Column:
 
 def corridor_stops(text: Column) -> Column:
     """Landmarks of a corridor that is written with dashes between them."""
-    return F.filter(F.transform(F.split(text, "[–-]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[–-]"), lambda x: F.trim(x)), lambda x: x != "")

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tramline.functions import constants as C
 from tramline.functions import text as X
@@ -46,7 +47,7 @@ def contains_match(landmarks: DataFrame, normed: DataFrame) -> DataFrame:
     return best.select("landmark", "key", "b.stop_id", F.col("b.name").alias("matched"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -19,7 +19,7 @@ PARTS = {
     "calendar": """SELECT * FROM (VALUES ('1-URGENT','monday'),('1-URGENT','tuesday'),('1-URGENT','wednesday'),('1-URGENT','thursday'),('1-URGENT','friday'),('1-URGENT','saturday'),('1-URGENT','sunday'),
         ('2-HIGH','monday'),('2-HIGH','tuesday'),('2-HIGH','wednesday'),('2-HIGH','thursday'),('2-HIGH','friday'),('3-MEDIUM','saturday'),('3-MEDIUM','sunday'),('4-NOT SPECIFIED','friday'),('5-LOW','monday'),('5-LOW','tuesday'),('5-LOW','wednesday')) t(service_id,dow)""",
     "hops": """SELECT p.trip_id, seq, u, v, dt, t.route_id, direction_id, rail, reconstructed, vehicle_type,
-        12742000e0*asin(least(1e0,sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2)))) AS dist_m
+        12742000e0*asin((0e0+sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2)))) AS dist_m
         FROM (SELECT trip_id, seq, stop_id AS u, lead(stop_id) OVER w AS v, lead(t) OVER w - t AS dt FROM stop_times WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) p
         JOIN trips t USING (trip_id) JOIN routes r ON r.route_id=t.route_id JOIN stops a ON a.stop_id=u JOIN stops b ON b.stop_id=v WHERE u<>v""",
     "guarded": "SELECT *, CASE WHEN dt>0 AND dist_m/dt<=CASE WHEN rail THEN 28e0 ELSE 15.3e0 END THEN dt::double END AS timed FROM hops",
@@ -35,7 +35,7 @@ PARTS = {
         SELECT *, max(end_sec) OVER (PARTITION BY route_id ORDER BY start_sec,end_sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT route_id,start_sec,end_sec FROM frequencies))) GROUP BY route_id, island""",
     "closed": "SELECT route_id FROM windows GROUP BY 1 HAVING NOT bool_or((start_sec-2700<=10800 AND 10800<=end_sec) OR (start_sec-2700<=97200 AND 97200<=end_sec))",
     "inactive": "SELECT DISTINCT route_id FROM trips WHERE route_id NOT IN (SELECT t.route_id FROM trips t JOIN calendar c USING (service_id) WHERE dow='saturday' AND t.route_id IS NOT NULL)",
-    "pairs": """SELECT a.stop_id AS u, b.stop_id AS v, 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2)))) AS dist_m FROM stops a, stops b""",
+    "pairs": """SELECT a.stop_id AS u, b.stop_id AS v, 12742000e0*asin((0e0+sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2)))) AS dist_m FROM stops a, stops b""",
     "walks": "SELECT u, v, dist_m, dist_m/1.25e0 AS sec FROM pairs WHERE u<>v AND dist_m>0 AND dist_m<=500",
     "sequences": """SELECT trip_id, route_id, direction_id, list(stop_id ORDER BY seq) AS stops FROM (SELECT *, lag(stop_id) OVER (PARTITION BY trip_id ORDER BY seq) AS b FROM stop_times) JOIN trips USING (trip_id)
         WHERE b IS NULL OR b<>stop_id GROUP BY 1,2,3""",
@@ -43,7 +43,7 @@ PARTS = {
     "visits": "SELECT route_id, direction_id, unnest(stops) AS stop_id, unnest(range(len(stops))) AS pos FROM patterns",
     "first_visits": "SELECT route_id, direction_id, stop_id, min(pos) AS pos FROM visits GROUP BY 1,2,3",
     "spots": """SELECT route_id || '_' || direction_id AS shape_id, t.route_id, t.direction_id, s.seq, s.stop_id, lat, lon FROM stop_times s JOIN (SELECT route_id, direction_id, min(trip_id) AS trip_id FROM trips GROUP BY 1,2) t USING (trip_id) JOIN stops p ON p.stop_id=s.stop_id""",
-    "spot_steps": """SELECT *, coalesce(12742000e0*asin(least(1e0,sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER w))/2),2)+cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER w))/2),2)))),0) AS step FROM spots WINDOW w AS (PARTITION BY shape_id ORDER BY seq)""",
+    "spot_steps": """SELECT *, coalesce(12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER w))/2),2)+cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER w))/2),2)))),0) AS step FROM spots WINDOW w AS (PARTITION BY shape_id ORDER BY seq)""",
     "spot_along": "SELECT *, sum(step) OVER (PARTITION BY shape_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS along FROM spot_steps",
     "journeys": "SELECT trip_id, route_id, vehicle_type, count(*) AS hops, sum(dist_m) AS metres FROM hops GROUP BY 1,2,3",
     "timed": """SELECT v.route_id, v.direction_id, v.pos, v.stop_id, sum(CASE WHEN v.pos=0 THEN 0e0 ELSE coalesce(b.sec,10e0) END) OVER (PARTITION BY v.route_id, v.direction_id ORDER BY v.pos ROWS UNBOUNDED PRECEDING) AS t
@@ -66,7 +66,7 @@ PARTS = {
     "reach_r1": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM here_r1 UNION ALL SELECT w.v, h.cost+3 FROM here_r1 h JOIN rail_walks w ON w.u=h.stop_id WHERE h.cost>0) GROUP BY 1",
     "here_r2": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM reach_r1 UNION ALL SELECT l.stop_id, r.cost+3+l.pos-e.pos FROM reach_r1 r JOIN rail_visits e ON e.stop_id=r.stop_id JOIN rail_visits l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos) GROUP BY 1",
     "reach_r2": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM here_r2 UNION ALL SELECT w.v, h.cost+3 FROM here_r2 h JOIN rail_walks w ON w.u=h.stop_id LEFT JOIN reach_r1 z ON z.stop_id=h.stop_id WHERE z.cost IS NULL OR h.cost<z.cost) GROUP BY 1",
-    "positions": """SELECT event_id, user_id AS session_id, user_id%60 AS route_id, ((epoch(ts)//86400)::bigint%2)::int AS direction_id, 30.0e0+value*0.0001e0 AS lat, 31.2e0+json_extract_string(props,'$.k')::int*0.0005e0 AS lon,
+    "positions": """SELECT event_id, user_id AS session_id, user_id%60 AS route_id, (floor(epoch_us(ts)/86400e6)::bigint%2)::int AS direction_id, 30.0e0+value*0.0001e0 AS lat, 31.2e0+json_extract_string(props,'$.k')::int*0.0005e0 AS lon,
         epoch_us(ts)/600e6 AS tm, event_type='error' AS ended FROM events""",
 }
 
@@ -107,7 +107,7 @@ QUERIES = {
         JOIN (SELECT s, list(DISTINCT m) AS m FROM (SELECT u AS s, vehicle_type AS m FROM edges WHERE vehicle_type IN ('metro','monorail','lrt','apm','tram') UNION SELECT v, vehicle_type FROM edges WHERE vehicle_type IN ('metro','monorail','lrt','apm','tram')) GROUP BY 1) b ON b.s=p.v
         WHERE p.u<p.v AND p.dist_m<=750 AND NOT list_has_any(a.m,b.m) AND NOT EXISTS (SELECT 1 FROM walks w WHERE w.u=p.u AND w.v=p.v)""",
     "knn_stops": """SELECT point_id, rank, stop_id, round(dist_m*10)::bigint AS dist10 FROM (SELECT c_custkey AS point_id, stop_id, d AS dist_m, row_number() OVER (PARTITION BY c_custkey ORDER BY d,stop_id) AS rank FROM (SELECT c_custkey, stop_id,
-        12742000e0*asin(least(1e0,sqrt(pow(sin((radians(lat)-radians(30.0e0+(c_custkey%97)*0.001e0))/2),2)+cos(radians(30.0e0+(c_custkey%97)*0.001e0))*cos(radians(lat))*pow(sin((radians(lon)-radians(31.19e0+(c_custkey%89)*0.001e0))/2),2)))) AS d FROM customer, stops) WHERE d<=5000) WHERE rank<=3""",
+        12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(30.0e0+(c_custkey%97)*0.001e0))/2),2)+cos(radians(30.0e0+(c_custkey%97)*0.001e0))*cos(radians(lat))*pow(sin((radians(lon)-radians(31.19e0+(c_custkey%89)*0.001e0))/2),2)))) AS d FROM customer, stops) WHERE d<=5000) WHERE rank<=3""",
     "stop_degree": "SELECT u AS stop_id, count(*) AS degree FROM edges GROUP BY 1",
     "cell_representatives": """SELECT cell_x, cell_y, arg_min(stop_id, (off, stop_id)) AS stop_id, count(*) AS stops FROM (SELECT *, pow(lat-(cell_y+0.5e0)*0.01e0,2)+pow(lon-(cell_x+0.5e0)*0.01e0,2) AS off FROM (SELECT *, floor(lon/0.01e0)::bigint AS cell_x, floor(lat/0.01e0)::bigint AS cell_y FROM stops)) GROUP BY 1,2""",
     "pattern_longest": "SELECT route_id, direction_id, trip_id, len(stops)::int AS n, array_to_string(stops,',') AS stops FROM patterns",
@@ -132,12 +132,12 @@ QUERIES |= {
         CASE WHEN round_even(value,0)>=60 THEN printf('%dh%02dm', round_even(value,0)::bigint//60, round_even(value,0)::bigint%60) ELSE printf('%dm', round_even(value,0)::bigint) END AS text FROM events""",
     "raptor_rounds": """SELECT od_id, stop_id, round(cost*10)::bigint AS cost10 FROM reach2""",
     "shape_lengths": """SELECT shape_id, count(*) AS points, round(max(along))::bigint AS metres FROM spot_along GROUP BY 1""",
-    "shape_along": """SELECT shape_id AS query_id, s1<=500 AND s2<=500 AS on_shape, round(CASE WHEN s1<=500 AND s2<=500 THEN abs(a2-a1) ELSE 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(lat2)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(lat2))*pow(sin((radians(lon2)-radians(lon1))/2),2)))) END)::bigint AS metres FROM (SELECT q.shape_id, lat1, lon1, lat2, lon2, min(d1) AS s1, arg_min(along,(d1,seq)) AS a1, min(d2) AS s2, arg_min(along,(d2,seq)) AS a2 FROM (
-        SELECT q.*, p.seq, p.along, 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(p.lat)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon1))/2),2)))) AS d1, 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(p.lat)-radians(lat2))/2),2)+cos(radians(lat2))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon2))/2),2)))) AS d2 FROM (SELECT shape_id, arg_min(lat,seq) FILTER (seq=2)+0.0001e0 AS lat1, arg_min(lon,seq) FILTER (seq=2)+0.0001e0 AS lon1, arg_max(lat,seq)+0.0002e0 AS lat2, arg_max(lon,seq)+0.0002e0 AS lon2 FROM spots GROUP BY 1 HAVING max(seq)>=3) q JOIN spot_along p USING (shape_id)) q GROUP BY 1,2,3,4,5)""",
+    "shape_along": """SELECT shape_id AS query_id, s1<=500 AND s2<=500 AS on_shape, round(CASE WHEN s1<=500 AND s2<=500 THEN abs(a2-a1) ELSE 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat2)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(lat2))*pow(sin((radians(lon2)-radians(lon1))/2),2)))) END)::bigint AS metres FROM (SELECT q.shape_id, lat1, lon1, lat2, lon2, min(d1) AS s1, arg_min(along,(d1,seq)) AS a1, min(d2) AS s2, arg_min(along,(d2,seq)) AS a2 FROM (
+        SELECT q.*, p.seq, p.along, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon1))/2),2)))) AS d1, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat2))/2),2)+cos(radians(lat2))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon2))/2),2)))) AS d2 FROM (SELECT shape_id, arg_min(lat,seq) FILTER (seq=2)+0.0001e0 AS lat1, arg_min(lon,seq) FILTER (seq=2)+0.0001e0 AS lon1, arg_max(lat,seq)+0.0002e0 AS lat2, arg_max(lon,seq)+0.0002e0 AS lon2 FROM spots GROUP BY 1 HAVING max(seq)>=3) q JOIN spot_along p USING (shape_id)) q GROUP BY 1,2,3,4,5)""",
     "boundary_flips": """SELECT shape_id, seq, round((lat+blat)/2*1e5)::bigint AS lat5, round((lon+blon)/2*1e5)::bigint AS lon5 FROM (SELECT *, lag(boxed) OVER w AS bb, lag(ins) OVER w AS bi, lag(lat) OVER w AS blat, lag(lon) OVER w AS blon FROM (SELECT *, lat BETWEEN 30.0e0 AND 30.06e0 AND lon BETWEEN 31.19e0 AND 31.25e0 AS boxed, (((((30.045e0>lat)<>(30.028e0>lat)) AND lon<(lat-30.045e0)*((31.205e0-31.205e0)/(30.028e0-30.045e0))+31.205e0)::int+(((30.036e0>lat)<>(30.045e0>lat)) AND lon<(lat-30.036e0)*((31.225e0-31.215e0)/(30.045e0-30.036e0))+31.215e0)::int+(((30.028e0>lat)<>(30.036e0>lat)) AND lon<(lat-30.028e0)*((31.215e0-31.225e0)/(30.036e0-30.028e0))+31.225e0)::int)%2=1) AS ins FROM spots) WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) WHERE boxed AND bb AND ins<>bi""",
     "point_in_polygon": """SELECT stop_id, (((((30.045e0>lat)<>(30.028e0>lat)) AND lon<(lat-30.045e0)*((31.205e0-31.205e0)/(30.028e0-30.045e0))+31.205e0)::int+(((30.036e0>lat)<>(30.045e0>lat)) AND lon<(lat-30.036e0)*((31.225e0-31.215e0)/(30.045e0-30.036e0))+31.215e0)::int+(((30.028e0>lat)<>(30.036e0>lat)) AND lon<(lat-30.028e0)*((31.215e0-31.225e0)/(30.036e0-30.028e0))+31.225e0)::int)%2=1) AS inside FROM stops""",
-    "spur_detect": """SELECT DISTINCT a.shape_id AS seq_id FROM spots a JOIN spots b ON a.shape_id=b.shape_id AND b.seq>=a.seq+4 WHERE 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2))))<600 AND EXISTS (SELECT 1 FROM spots m WHERE m.shape_id=a.shape_id AND m.seq>a.seq AND m.seq<b.seq AND 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(m.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(m.lat))*pow(sin((radians(m.lon)-radians(a.lon))/2),2))))>=1500)""",
-    "live_latest": """SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
+    "spur_detect": """SELECT DISTINCT a.shape_id AS seq_id FROM spots a JOIN spots b ON a.shape_id=b.shape_id AND b.seq>=a.seq+4 WHERE 12742000e0*asin((0e0+sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2))))<600 AND EXISTS (SELECT 1 FROM spots m WHERE m.shape_id=a.shape_id AND m.seq>a.seq AND m.seq<b.seq AND 12742000e0*asin((0e0+sqrt(pow(sin((radians(m.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(m.lat))*pow(sin((radians(m.lon)-radians(a.lon))/2),2))))>=1500)""",
+    "live_latest": """SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
         SELECT *, sum(changed) OVER (PARTITION BY session_id ORDER BY tm,event_id ROWS UNBOUNDED PRECEDING) AS ride FROM (SELECT *, coalesce((lag(route_id) OVER s<>route_id OR lag(direction_id) OVER s<>direction_id OR lag(ended) OVER s)::int,0) AS changed FROM positions WHERE tm<=(SELECT min(tm)+4000 FROM positions) WINDOW s AS (PARTITION BY session_id ORDER BY tm,event_id)))
         WINDOW r AS (PARTITION BY session_id,ride ORDER BY tm,event_id)) WHERE n=1 AND NOT ended AND (SELECT min(tm)+4000 FROM positions)-tm<=90""",
     "coverage_cube": """SELECT origin, destination, count(*) AS pairs, round_even(avg(answered::int::double)*100,1) AS answered_pct, round_even(avg(complete::int::double)*100,1) AS complete_pct, grouping(origin,destination)::int AS level FROM (SELECT (u%12)::varchar AS origin, (v%12)::varchar AS destination, min(sec)<200 AS answered, count(*)>300 AS complete FROM edges GROUP BY 1,2) WHERE origin<>destination GROUP BY GROUPING SETS ((origin),(destination),())""",
@@ -145,15 +145,15 @@ QUERIES |= {
     "ab_compare": """SELECT CASE WHEN b<a THEN 'better' WHEN b>a THEN 'worse' ELSE 'same' END AS outcome, count(*) AS pairs FROM (SELECT ceil(e.sec/60) AS a, ceil(x.sec/60) AS b FROM edges e JOIN blend x USING (u,v,route_id,direction_id)) GROUP BY 1""",
     "step_upper_median": """SELECT route_id, round(list_sort(list(dist_m))[(count(*)//2+1)::int]*10)::bigint AS upper10, round(median(dist_m)*10)::bigint AS median10 FROM hops GROUP BY 1""",
     "bbox_errors": """SELECT CASE WHEN lat IS NULL OR lon IS NULL THEN 'missing' WHEN lat NOT BETWEEN 22 AND 32 OR lon NOT BETWEEN 24 AND 37 THEN 'outside' ELSE 'ok' END AS code, count(*) AS n FROM (SELECT CASE WHEN session_id%11=0 THEN lat+10 ELSE lat END AS lat, lon FROM positions) GROUP BY 1""",
-    "hop_apportioned": """SELECT route_id AS line, direction_id, pos, round_even(d/sum(d) OVER (PARTITION BY route_id, direction_id)*40*60,0)::bigint AS hop_sec FROM (SELECT route_id, direction_id, seq AS pos, 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(lead(lat) OVER w)-radians(lat))/2),2)+cos(radians(lat))*cos(radians(lead(lat) OVER w))*pow(sin((radians(lead(lon) OVER w)-radians(lon))/2),2)))) AS d FROM spots WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) WHERE d IS NOT NULL""",
-    "corridor_timetable": """SELECT route_id, direction_id, (pos+1)::int AS seq, stop_id, sec, printf('%02d:%02d:%02d', sec//3600, sec%3600//60, sec%60) AS time FROM (SELECT *, (21600+sum(step) OVER (PARTITION BY route_id,direction_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::bigint AS sec FROM (SELECT *, coalesce(trunc(12742000e0*asin(least(1e0,sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER w))/2),2)+cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER w))/2),2))))*1.3e0/5.61e0)::bigint+20,0) AS step FROM (
+    "hop_apportioned": """SELECT route_id AS line, direction_id, pos, round_even(d/nullif(sum(d) OVER (PARTITION BY route_id, direction_id),0)*40*60,0)::bigint AS hop_sec FROM (SELECT route_id, direction_id, seq AS pos, 12742000e0*asin((0e0+sqrt(pow(sin((radians(lead(lat) OVER w)-radians(lat))/2),2)+cos(radians(lat))*cos(radians(lead(lat) OVER w))*pow(sin((radians(lead(lon) OVER w)-radians(lon))/2),2)))) AS d FROM spots WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) WHERE d IS NOT NULL""",
+    "corridor_timetable": """SELECT route_id, direction_id, (pos+1)::int AS seq, stop_id, sec, printf('%02d:%02d:%02d', sec//3600, sec%3600//60, sec%60) AS time FROM (SELECT *, (21600+sum(step) OVER (PARTITION BY route_id,direction_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::bigint AS sec FROM (SELECT *, coalesce(trunc(12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER w))/2),2)+cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER w))/2),2))))*1.3e0/5.61e0)::bigint+20,0) AS step FROM (
         SELECT route_id, 0 AS direction_id, seq-1 AS pos, stop_id, lat, lon FROM spots WHERE direction_id=0 UNION ALL SELECT route_id, 1, max(seq) OVER (PARTITION BY route_id)-seq, stop_id, lat, lon FROM spots WHERE direction_id=0) WINDOW w AS (PARTITION BY route_id,direction_id ORDER BY pos)))""",
     "route_detail": """SELECT direction_id, variant, variant=1 AS main, pos::int AS pos, v.stop_id, stop_name FROM (SELECT direction_id, variant, unnest(stops) AS stop_id, unnest(range(len(stops))) AS pos FROM (SELECT route_id, direction_id, stops, row_number() OVER (PARTITION BY route_id,direction_id ORDER BY len(stops) DESC, first_trip)::int AS variant FROM (SELECT route_id, direction_id, stops, min(trip_id) AS first_trip FROM sequences GROUP BY 1,2,3)) WHERE route_id=3) v JOIN stops s ON s.stop_id=v.stop_id""",
     "route_cards": """SELECT p.route_id, nullif(regexp_replace(route_short_name,'[^0-9]','','g'),'') AS number, vehicle_type, a.stop_name AS "from", b.stop_name AS "to", len(stops)::int AS stop_count, round(headway_min*10)::bigint AS headway10, reconstructed, CASE WHEN vehicle_type IN ('metro','monorail','lrt','apm','microbus') THEN NULL WHEN agency_id='GRN' THEN 25 WHEN vehicle_type='tram' THEN 0 ELSE 20 END::bigint AS fare
         FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY direction_id) AS n FROM patterns) p JOIN routes r ON r.route_id=p.route_id JOIN stops a ON a.stop_id=p.stops[1] JOIN stops b ON b.stop_id=p.stops[len(p.stops)] LEFT JOIN headways h ON h.route_id=p.route_id AND h.direction_id=p.direction_id WHERE n=1""",
     "match_contains": """SELECT landmark, stop_id, matched FROM (SELECT l.landmark, n.stop_id, n.k AS matched, row_number() OVER (PARTITION BY l.landmark ORDER BY abs(length(n.k)-length(l.k)), n.k, n.stop_id) AS r FROM (SELECT DISTINCT p_name AS landmark, replace(p_name,' ','') AS k FROM part WHERE p_partkey%7=0) l JOIN (SELECT replace(p_name||p_type,' ','') AS k, min(p_partkey) AS stop_id FROM part GROUP BY 1) n
         ON n.k<>l.k AND length(l.k)>=5 AND length(n.k)>=5 AND (contains(n.k,l.k) OR contains(l.k,n.k)) AND least(length(n.k),length(l.k))/greatest(length(n.k),length(l.k))>=0.45e0) WHERE r=1""",
-    "live_active": """SELECT route_id, count(*) AS active FROM (SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin(least(1e0,sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
+    "live_active": """SELECT route_id, count(*) AS active FROM (SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
         SELECT *, sum(changed) OVER (PARTITION BY session_id ORDER BY tm,event_id ROWS UNBOUNDED PRECEDING) AS ride FROM (SELECT *, coalesce((lag(route_id) OVER s<>route_id OR lag(direction_id) OVER s<>direction_id OR lag(ended) OVER s)::int,0) AS changed FROM positions WHERE tm<=(SELECT min(tm)+4000 FROM positions) WINDOW s AS (PARTITION BY session_id ORDER BY tm,event_id)))
         WINDOW r AS (PARTITION BY session_id,ride ORDER BY tm,event_id)) WHERE n=1 AND NOT ended AND (SELECT min(tm)+4000 FROM positions)-tm<=90) GROUP BY 1""",
     "rail_plan": """SELECT stop_id, min(cost)::bigint AS cost FROM reach_r2 GROUP BY 1""",

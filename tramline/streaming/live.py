@@ -86,9 +86,9 @@ class Sessions(StatefulProcessor):
 def vehicles(reports: DataFrame) -> DataFrame:
     """A stream of reports (REPORT) to a stream of vehicles (VEHICLE), one for each session that a batch touches.
 
-    Sessions expire by event time, LIVE_TTL_S after their last fix. Needs the RocksDB state store.
+    Sessions expire by event time, LIVE_TTL_S after their last fix; a fix may be as late as that. Needs the RocksDB state store.
     """
-    timed = reports.withColumn("event_time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("event_time", "0 seconds")
+    timed = reports.withColumn("event_time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("event_time", f"{C.LIVE_TTL_S} seconds")
     return timed.groupBy("session_id").transformWithStateInPandas(Sessions(), StructType.fromDDL(VEHICLE), "Update", "EventTime")
 
 
