@@ -29,10 +29,14 @@ def service_span(windows: DataFrame) -> DataFrame:
     return windows.agg(F.min("start_sec").alias("earliest"), F.max("end_sec").alias("latest"))
 
 
+def _open_at(windows: DataFrame, now: int) -> DataFrame:
+    holds = lambda t: (F.col("start_sec") - C.GRACE_S <= t) & (F.lit(t) <= F.col("end_sec"))
+    return windows.groupBy("route_id").agg(F.max(holds(now) | holds(now + 86400)).alias("open"))
+
+
 def closed_at(windows: DataFrame, now: int) -> DataFrame:
     """Routes none of whose windows, with a grace before the start, holds now (or now on the day before's clock)."""
-    holds = lambda t: (F.col("start_sec") - C.GRACE_S <= t) & (F.lit(t) <= F.col("end_sec"))
-    return windows.groupBy("route_id").agg(F.max(holds(now) | holds(now + 86400)).alias("open")).where(~F.col("open")).select("route_id")
+    return _open_at(windows, now).where(~F.col("open")).select("route_id")
 
 
 def inactive_on(trips: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
@@ -47,8 +51,7 @@ def runnable(edges: DataFrame, inactive: DataFrame, closed: DataFrame) -> DataFr
     return edges.join(inactive.union(closed).distinct(), "route_id", "left_anti")
 
 
-def network_state(routes: DataFrame, windows: DataFrame, now: int) -> DataFrame:
+def network_state(windows: DataFrame, now: int) -> DataFrame:
     """One row: how many routes have hours, how many are closed, and whether that closes the network."""
-    closed = closed_at(windows, now).agg(F.count("*").alias("closed"))
-    known = windows.agg(F.countDistinct("route_id").alias("serviced"))
-    return known.join(closed).withColumn("reason", F.when(F.col("closed") >= F.col("serviced"), "outside_service_hours").otherwise("no_route"))
+    counted = _open_at(windows, now).agg(F.count("*").alias("serviced"), F.count_if(~F.col("open")).alias("closed"))
+    return counted.withColumn("reason", F.when(F.col("closed") >= F.col("serviced"), "outside_service_hours").otherwise("no_route"))

@@ -72,11 +72,12 @@ def crossings(paths: DataFrame, edges: DataFrame, bridges: DataFrame, tolerance:
 
     edges and bridges describe one place's water: some tens of rows, broadcast.
     """
-    mid = edges.withColumns({"m_lat": (F.col("a_lat") + F.col("b_lat")) / 2, "m_lon": (F.col("a_lon") + F.col("b_lon")) / 2})
-    far = mid.join(F.broadcast(bridges.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))), haversine(F.col("m_lat"), F.col("m_lon"), F.col("r_lat"), F.col("r_lon")) <= tolerance, "left_anti")
-    any_bridge = F.broadcast(bridges.limit(1).select(F.lit(True).alias("has_bridges")))
+    known = bridges.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    mid = edges.withColumns({"m_lat": (F.col("a_lat") + F.col("b_lat")) / 2, "m_lon": (F.col("a_lon") + F.col("b_lon")) / 2, "one": F.lit(1)})
+    bridged = mid.join(F.broadcast(known.limit(1).select(F.lit(1).alias("one"))), "one", "left_semi")
+    far = bridged.join(F.broadcast(known), haversine(F.col("m_lat"), F.col("m_lon"), F.col("r_lat"), F.col("r_lon")) <= tolerance, "left_anti")
     cut = segments_cross(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return paths.join(F.broadcast(far), cut, "left_semi").join(any_bridge, how="cross").drop("has_bridges")
+    return paths.join(F.broadcast(far), cut, "left_semi")
 
 
 def cell_representatives(stops: DataFrame, degrees: float = 0.01) -> DataFrame:

@@ -68,6 +68,18 @@ PARTS = {
     "reach_r2": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM here_r2 UNION ALL SELECT w.v, h.cost+3 FROM here_r2 h JOIN rail_walks w ON w.u=h.stop_id LEFT JOIN reach_r1 z ON z.stop_id=h.stop_id WHERE z.cost IS NULL OR h.cost<z.cost) GROUP BY 1",
     "positions": """SELECT event_id, user_id AS session_id, user_id%60 AS route_id, (floor(epoch_us(ts)/86400e6)::bigint%2)::int AS direction_id, 30.0e0+value*0.0001e0 AS lat, 31.2e0+json_extract_string(props,'$.k')::int*0.0005e0 AS lon,
         epoch_us(ts)/600e6 AS tm, event_type='error' AS ended FROM events""",
+    "last_fix": """SELECT * FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
+        SELECT *, sum(changed) OVER (PARTITION BY session_id ORDER BY tm,event_id ROWS UNBOUNDED PRECEDING) AS ride FROM (SELECT *, coalesce((lag(route_id) OVER s<>route_id OR lag(direction_id) OVER s<>direction_id OR lag(ended) OVER s)::int,0) AS changed FROM positions WHERE tm<=(SELECT min(tm)+4000 FROM positions) WINDOW s AS (PARTITION BY session_id ORDER BY tm,event_id)))
+        WINDOW r AS (PARTITION BY session_id,ride ORDER BY tm,event_id)) WHERE n=1 AND NOT ended AND (SELECT min(tm)+4000 FROM positions)-tm<=90""",
+    "undirected": "SELECT u, v, min(d) AS d FROM (SELECT u, v, dist_m AS d FROM edges WHERE dist_m<=700 UNION ALL SELECT v, u, dist_m FROM edges WHERE dist_m<=700) GROUP BY 1,2",
+    "walked0": "SELECT stop_id AS source_id, stop_id, 0e0 AS m FROM stops WHERE stop_id<5",
+    "walked1": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked0 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked0 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
+    "walked2": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked1 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked1 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
+    "walked3": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked2 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked2 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
+    "walked4": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked3 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked3 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
+    "cards": """SELECT p.route_id, nullif(regexp_replace(route_short_name,'[^0-9]','','g'),'') AS number, route_long_name, route_short_name, vehicle_type, a.stop_name AS first, b.stop_name AS last, len(stops)::int AS stop_count
+        FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY direction_id) AS n FROM patterns) p JOIN routes r ON r.route_id=p.route_id JOIN stops a ON a.stop_id=p.stops[1] JOIN stops b ON b.stop_id=p.stops[len(p.stops)] WHERE n=1""",
+    "tracks": "SELECT trip_id AS id, seq, lat, lon FROM stop_times s JOIN stops p ON p.stop_id=s.stop_id",
 }
 
 
@@ -137,9 +149,7 @@ QUERIES |= {
     "boundary_flips": """SELECT shape_id, seq, round((lat+blat)/2*1e5)::bigint AS lat5, round((lon+blon)/2*1e5)::bigint AS lon5 FROM (SELECT *, lag(boxed) OVER w AS bb, lag(ins) OVER w AS bi, lag(lat) OVER w AS blat, lag(lon) OVER w AS blon FROM (SELECT *, lat BETWEEN 30.0e0 AND 30.06e0 AND lon BETWEEN 31.19e0 AND 31.25e0 AS boxed, (((((30.045e0>lat)<>(30.028e0>lat)) AND lon<(lat-30.045e0)*((31.205e0-31.205e0)/(30.028e0-30.045e0))+31.205e0)::int+(((30.036e0>lat)<>(30.045e0>lat)) AND lon<(lat-30.036e0)*((31.225e0-31.215e0)/(30.045e0-30.036e0))+31.215e0)::int+(((30.028e0>lat)<>(30.036e0>lat)) AND lon<(lat-30.028e0)*((31.215e0-31.225e0)/(30.036e0-30.028e0))+31.225e0)::int)%2=1) AS ins FROM spots) WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) WHERE boxed AND bb AND ins<>bi""",
     "point_in_polygon": """SELECT stop_id, (((((30.045e0>lat)<>(30.028e0>lat)) AND lon<(lat-30.045e0)*((31.205e0-31.205e0)/(30.028e0-30.045e0))+31.205e0)::int+(((30.036e0>lat)<>(30.045e0>lat)) AND lon<(lat-30.036e0)*((31.225e0-31.215e0)/(30.045e0-30.036e0))+31.215e0)::int+(((30.028e0>lat)<>(30.036e0>lat)) AND lon<(lat-30.028e0)*((31.215e0-31.225e0)/(30.036e0-30.028e0))+31.225e0)::int)%2=1) AS inside FROM stops""",
     "spur_detect": """SELECT DISTINCT a.shape_id AS seq_id FROM spots a JOIN spots b ON a.shape_id=b.shape_id AND b.seq>=a.seq+4 WHERE 12742000e0*asin((0e0+sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2))))<600 AND EXISTS (SELECT 1 FROM spots m WHERE m.shape_id=a.shape_id AND m.seq>a.seq AND m.seq<b.seq AND 12742000e0*asin((0e0+sqrt(pow(sin((radians(m.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(m.lat))*pow(sin((radians(m.lon)-radians(a.lon))/2),2))))>=1500)""",
-    "live_latest": """SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
-        SELECT *, sum(changed) OVER (PARTITION BY session_id ORDER BY tm,event_id ROWS UNBOUNDED PRECEDING) AS ride FROM (SELECT *, coalesce((lag(route_id) OVER s<>route_id OR lag(direction_id) OVER s<>direction_id OR lag(ended) OVER s)::int,0) AS changed FROM positions WHERE tm<=(SELECT min(tm)+4000 FROM positions) WINDOW s AS (PARTITION BY session_id ORDER BY tm,event_id)))
-        WINDOW r AS (PARTITION BY session_id,ride ORDER BY tm,event_id)) WHERE n=1 AND NOT ended AND (SELECT min(tm)+4000 FROM positions)-tm<=90""",
+    "live_latest": """SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM last_fix""",
     "coverage_cube": """SELECT origin, destination, count(*) AS pairs, round_even(avg(answered::int::double)*100,1) AS answered_pct, round_even(avg(complete::int::double)*100,1) AS complete_pct, grouping(origin,destination)::int AS level FROM (SELECT (u%12)::varchar AS origin, (v%12)::varchar AS destination, min(sec)<200 AS answered, count(*)>300 AS complete FROM edges GROUP BY 1,2) WHERE origin<>destination GROUP BY GROUPING SETS ((origin),(destination),())""",
     "suspicious_pairs": """SELECT u, v, round(d/s*10)::bigint AS speed10 FROM (SELECT u, v, min(sec) AS s, any_value(dist_m) AS d FROM edges WHERE vehicle_type IN ('bus','minibus','microbus') AND dist_m>=300 GROUP BY 1,2) WHERE s>0 AND d/s>8""",
     "ab_compare": """SELECT CASE WHEN b<a THEN 'better' WHEN b>a THEN 'worse' ELSE 'same' END AS outcome, count(*) AS pairs FROM (SELECT ceil(e.sec/60) AS a, ceil(x.sec/60) AS b FROM edges e JOIN blend x USING (u,v,route_id,direction_id)) GROUP BY 1""",
@@ -153,10 +163,16 @@ QUERIES |= {
         FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY direction_id) AS n FROM patterns) p JOIN routes r ON r.route_id=p.route_id JOIN stops a ON a.stop_id=p.stops[1] JOIN stops b ON b.stop_id=p.stops[len(p.stops)] LEFT JOIN headways h ON h.route_id=p.route_id AND h.direction_id=p.direction_id WHERE n=1""",
     "match_contains": """SELECT landmark, stop_id, matched FROM (SELECT l.landmark, n.stop_id, n.k AS matched, row_number() OVER (PARTITION BY l.landmark ORDER BY abs(length(n.k)-length(l.k)), n.k, n.stop_id) AS r FROM (SELECT DISTINCT p_name AS landmark, replace(p_name,' ','') AS k FROM part WHERE p_partkey%7=0) l JOIN (SELECT replace(p_name||p_type,' ','') AS k, min(p_partkey) AS stop_id FROM part GROUP BY 1) n
         ON n.k<>l.k AND length(l.k)>=5 AND length(n.k)>=5 AND (contains(n.k,l.k) OR contains(l.k,n.k)) AND least(length(n.k),length(l.k))/greatest(length(n.k),length(l.k))>=0.45e0) WHERE r=1""",
-    "live_active": """SELECT route_id, count(*) AS active FROM (SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
-        SELECT *, sum(changed) OVER (PARTITION BY session_id ORDER BY tm,event_id ROWS UNBOUNDED PRECEDING) AS ride FROM (SELECT *, coalesce((lag(route_id) OVER s<>route_id OR lag(direction_id) OVER s<>direction_id OR lag(ended) OVER s)::int,0) AS changed FROM positions WHERE tm<=(SELECT min(tm)+4000 FROM positions) WINDOW s AS (PARTITION BY session_id ORDER BY tm,event_id)))
-        WINDOW r AS (PARTITION BY session_id,ride ORDER BY tm,event_id)) WHERE n=1 AND NOT ended AND (SELECT min(tm)+4000 FROM positions)-tm<=90) GROUP BY 1""",
+    "live_active": """SELECT route_id, count(*) AS active FROM last_fix GROUP BY 1""",
     "rail_plan": """SELECT stop_id, min(cost)::bigint AS cost FROM reach_r2 GROUP BY 1""",
+    "live_eta": """SELECT session_id, round_even(d/v,0)::bigint AS eta_sec, round_even(d,0)::bigint AS distance_m, round_even((SELECT min(tm)+4000 FROM positions)-tm,0)::bigint AS age_sec FROM (SELECT *, 12742000e0*asin((0e0+sqrt(pow(sin((radians(30.05e0)-radians(lat))/2),2)+cos(radians(lat))*cos(radians(30.05e0))*pow(sin((radians(31.22e0)-radians(lon))/2),2)))) AS d, CASE WHEN speed BETWEEN 1 AND 25 THEN speed WHEN vehicle_type='metro' THEN 11e0 WHEN vehicle_type IN ('minibus','microbus') THEN 7e0 ELSE 6e0 END AS v FROM last_fix f JOIN routes r ON r.route_id=f.route_id)""",
+    "bounded_reach": """SELECT source_id, stop_id, round(m*10)::bigint AS metres10 FROM walked4""",
+    "route_search": """SELECT route_id, 1 AS rank, number, stop_count FROM cards WHERE vehicle_type='minibus' AND contains(lower(concat_ws(' ',number,route_long_name,first,last,route_short_name)),'1')""",
+    "corridor_gates": """SELECT reason, count(*) AS corridors FROM (SELECT id, CASE WHEN id%3=0 AND id%101/100e0>=0.5e0 THEN 'covered' WHEN id%3<>0 AND id%101/100e0>=0.98e0 AND id%2=0 THEN 'duplicate' WHEN id%4<1 THEN 'gap' WHEN n<5 THEN 'few stops' WHEN km/(1+id%9*0.1e0)>0.5e0 AND km/(km/(1+id%9*0.1e0))>1.6e0 THEN 'wanders' WHEN km>80 THEN 'too long' WHEN od>2 AND km/od>3.2e0 THEN 'zigzag'
+        WHEN id IN (SELECT a.id FROM tracks a JOIN tracks b ON a.id=b.id AND abs(a.seq-b.seq)>=4 JOIN tracks m ON m.id=a.id AND m.seq>least(a.seq,b.seq) AND m.seq<greatest(a.seq,b.seq) WHERE 12742000e0*asin((0e0+sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2))))<1200 AND 12742000e0*asin((0e0+sqrt(pow(sin((radians(m.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(m.lat))*pow(sin((radians(m.lon)-radians(a.lon))/2),2))))>=3500) THEN 'spur' ELSE 'picked' END AS reason
+        FROM (SELECT id, count(*) AS n, coalesce(sum(d),0)/1000 AS km, 12742000e0*asin((0e0+sqrt(pow(sin((radians(arg_max(lat,seq))-radians(arg_min(lat,seq)))/2),2)+cos(radians(arg_min(lat,seq)))*cos(radians(arg_max(lat,seq)))*pow(sin((radians(arg_max(lon,seq))-radians(arg_min(lon,seq)))/2),2))))/1000 AS od FROM (SELECT *, 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER w))/2),2)+cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER w))/2),2)))) AS d FROM tracks WINDOW w AS (PARTITION BY id ORDER BY seq)) GROUP BY 1)) GROUP BY 1""",
+    "stops_along_shape": """SELECT shape_id, count(*) AS stops, round(max(off))::bigint AS farthest FROM (SELECT shape_id, stop_id, min(sqrt(pow(px-t*qx,2)+pow(py-t*qy,2))) AS off FROM (SELECT *, CASE WHEN qx*qx+qy*qy>0 THEN least(1e0,greatest(0e0,(px*qx+py*qy)/(qx*qx+qy*qy))) ELSE 0e0 END AS t FROM (
+        SELECT g.shape_id, s.stop_id, (s.lon-g.lon)*cos(radians(s.lat))*111320 AS px, (s.lat-g.lat)*111320e0 AS py, (lon2-g.lon)*cos(radians(s.lat))*111320 AS qx, (lat2-g.lat)*111320e0 AS qy FROM (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM spots WHERE route_id<6 WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) g, stops s WHERE lat2 IS NOT NULL)) GROUP BY 1,2) WHERE off<=120 GROUP BY 1""",
 }
 
 

@@ -83,7 +83,7 @@ class Network:
     def shape_points(self) -> DataFrame:
         """A polyline for each route and direction: one trip's stops in order, with the place between."""
         trip = self.trips.groupBy("route_id", "direction_id").agg(F.min("trip_id").alias("trip_id"))
-        rows = self.stop_times.join(F.broadcast(trip), "trip_id").join(F.broadcast(self.stops), "stop_id")  # at most two trips for each route
+        rows = self.stop_times.join(F.broadcast(trip), "trip_id").join(self.stops, "stop_id")  # at most two trips for each route
         return rows.select(F.concat_ws("_", "route_id", "direction_id").alias("shape_id"), "route_id", "direction_id", "seq", "lat", "lon", "stop_id")
 
     @cached_property

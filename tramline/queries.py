@@ -112,7 +112,7 @@ def edges_runnable(n: Network) -> DataFrame:
 
 @query
 def network_state(n: Network) -> DataFrame:
-    return service.network_state(n.routes, service.service_windows(n.frequencies), 10800)
+    return service.network_state(service.service_windows(n.frequencies), 10800)
 
 
 @query
