@@ -42,3 +42,17 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_journeys_keep_their_rules(spark):
+    found = QUERIES["journey_plan"](spark, SMALL).toPandas()
+    assert set(found["od_id"]) == set(range(12))
+    for _, own in found.groupby("od_id"):
+        assert sorted(own["n"]) == list(range(1, len(own) + 1))
+        rides = own[~own["kind"].isin(["walk", "none"])]
+        assert (rides["fare"] >= 5).all() and (rides["boardings"] >= 1).all() and (rides["minutes"] > 0).all()
+        assert not rides.duplicated(["routes", "fare", "minutes"]).any()
+        assert own["reason"].notna().sum() == (own["kind"] == "none").sum()
+        by_kind = rides.drop_duplicates("kind").set_index("kind")
+        if {"partial"} & set(by_kind.index):
+            assert not {"recommended", "fastest", "cheapest"} & set(by_kind.index)

@@ -227,3 +227,26 @@ def test_options_alike(spark, many):
     rows = [(0, "ride", 20, 15), (0, "ride", 20, 15), (0, "walk", 0, 15), (0, "walk", 0, 15)]
     df = spark.createDataFrame(rows if many else rows[:1], "od_id long, kind string, fare int, minutes int")
     assert search.distinct_options(df, ["fare", "minutes"], "kind").count() == (3 if many else 1)
+
+
+def test_avoided_routes_cost_more(spark):
+    stops, routes, trips, times = mini(spark)
+    all_edges = edges.edge_means(edges.riding_times(edges.guarded(edges.hops(times, trips, routes, stops))))
+    p = patterns.longest(patterns.sequences(times, trips))
+    timed, heads = search.timed_patterns(p, all_edges), spark.createDataFrame([(1, 0, 4.0)], "route_id long, direction_id int, headway_min double")
+    boards, start = search.boardings(p, routes, heads, "fastest"), spark.createDataFrame([(0, 1, 0.0)], "od_id long, stop_id long, cost double")
+    one = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, 1)).where("stop_id = 5").first()
+    avoid = spark.createDataFrame([(0, one.path[0].route_id)], "od_id long, route_id long")
+    two = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, 1, avoid=avoid)).where("stop_id = 5").first()
+    assert two.path[0].route_id != one.path[0].route_id and two.cost > one.cost
+    everywhere = spark.createDataFrame([(0, k) for k in (1, 2, 3, 4)], "od_id long, route_id long")
+    all_shunned = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, 1, avoid=everywhere)).where("stop_id = 5").first()
+    assert abs(all_shunned.cost - one.cost - 1800 - 3 * 300) < 1e-6
+
+
+def test_station_notes(spark):
+    from tramline.operators import journey
+
+    stations = spark.createDataFrame([(1, "محطة السادات (التحرير)"), (2, "مار جرجس"), (3, "x")], "stop_id long, name string")
+    notes = spark.createDataFrame([("السادات", "note one"), ("مار جرجس", "note two")], "station_ar string, note_ar string")
+    assert {r.stop_id: r.note for r in journey.station_notes(stations, notes).collect()} == {1: "note one", 2: "note two", 3: None}

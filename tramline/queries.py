@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tramline import session
 from tramline.functions import constants as C
 from tramline.functions import fares, geo, schedule, text
-from tramline.operators import audits, browse, edges, matching, patterns, reconstruct, search, service, shapes, spatial
+from tramline.operators import audits, browse, edges, journey, matching, patterns, reconstruct, search, service, shapes, spatial
 from tramline.plans.network import Network
 from tramline.streaming import live
 
@@ -457,3 +457,15 @@ def bbox_errors(n: Network) -> DataFrame:
     lat, lon = F.col("lat"), F.col("lon")
     code = F.when(lat.isNull() | lon.isNull(), "missing").when(~lat.between(22.0, 32.0) | ~lon.between(24.0, 37.0), "outside").otherwise("ok")
     return n.positions.withColumn("lat", F.when(F.col("session_id") % 11 == 0, lat + 10).otherwise(lat)).groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@query
+def journey_plan(n: Network) -> DataFrame:
+    """Options for requests between places on both sides of the network, on a Wednesday at nine."""
+    p = session.materialize(_patterns(n), "patterns")
+    timed = session.materialize(search.timed_patterns(p, edges.blended(_edges(n))), "timed")
+    model = journey.Model(n.stops, n.routes, p, timed, session.materialize(service.headways(n.frequencies), "headways"), session.materialize(spatial.walk_links(n.stops), "walks"))
+    k = F.col("c_custkey")
+    wanted = n._read("customer").where(k < 12).select(k.alias("od_id"), (30.02 + (k % 7) * 0.004).alias("lat1"), (31.20 + (k % 5) * 0.006).alias("lon1"), (30.02 + (k % 3) * 0.2).alias("lat2"), (31.235 - (k % 4) * 0.002).alias("lon2"))
+    found = journey.plan(model, wanted, service.service_windows(n.frequencies), service.inactive_on(n.trips, n.calendar, "wednesday"), 9 * 3600)
+    return found.select("od_id", "n", "kind", "boardings", "minutes", "metres", "fare", F.array_join(F.col("routes").cast("array<string>"), ",").alias("routes"), "reason")
