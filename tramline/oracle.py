@@ -142,7 +142,7 @@ QUERIES |= {
     "gtfs_times": """SELECT trip_id, seq, printf('%02d:%02d:%02d', t//3600, t%3600//60, t%60) AS text, t::int AS sec FROM stop_times""",
     "order_clock": """SELECT event_id, lower(dayname(ts)) AS dow, (hour(ts)*3600+minute(ts)*60+second(ts))::int AS sec, strftime(CASE WHEN date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 9 HOUR>ts+INTERVAL 3 HOUR THEN date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 6 HOUR ELSE date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 30 HOUR END,'%Y-%m-%dT%H:%M:%SZ') AS next,
         CASE WHEN round_even(value,0)>=60 THEN printf('%dh%02dm', round_even(value,0)::bigint//60, round_even(value,0)::bigint%60) ELSE printf('%dm', round_even(value,0)::bigint) END AS text FROM events""",
-    "raptor_rounds": """SELECT od_id, stop_id, round(cost*10)::bigint AS cost10 FROM reach2""",
+    "search_rounds": """SELECT od_id, stop_id, round(cost*10)::bigint AS cost10 FROM reach2""",
     "shape_lengths": """SELECT shape_id, count(*) AS points, round(max(along))::bigint AS metres FROM spot_along GROUP BY 1""",
     "shape_along": """SELECT shape_id AS query_id, s1<=500 AND s2<=500 AS on_shape, round(CASE WHEN s1<=500 AND s2<=500 THEN abs(a2-a1) ELSE 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat2)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(lat2))*pow(sin((radians(lon2)-radians(lon1))/2),2)))) END)::bigint AS metres FROM (SELECT q.shape_id, lat1, lon1, lat2, lon2, min(d1) AS s1, arg_min(along,(d1,seq)) AS a1, min(d2) AS s2, arg_min(along,(d2,seq)) AS a2 FROM (
         SELECT q.*, p.seq, p.along, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon1))/2),2)))) AS d1, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat2))/2),2)+cos(radians(lat2))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon2))/2),2)))) AS d2 FROM (SELECT shape_id, arg_min(lat,seq) FILTER (seq=2)+0.0001e0 AS lat1, arg_min(lon,seq) FILTER (seq=2)+0.0001e0 AS lon1, arg_max(lat,seq)+0.0002e0 AS lat2, arg_max(lon,seq)+0.0002e0 AS lon2 FROM spots GROUP BY 1 HAVING max(seq)>=3) q JOIN spot_along p USING (shape_id)) q GROUP BY 1,2,3,4,5)""",

@@ -235,7 +235,7 @@ def order_clock(n: Network) -> DataFrame:
 
 
 @query
-def raptor_rounds(n: Network) -> DataFrame:
+def search_rounds(n: Network) -> DataFrame:
     """Fastest arrivals at all stops from three origins, with two boardings at most."""
     p = _patterns(n)
     timed = search.timed_patterns(p, edges.blended(_edges(n)))
