@@ -208,10 +208,12 @@ def anchor_places(docs: DataFrame, window: int) -> DataFrame:
 def repeated_places(docs: DataFrame, window: int = 35, shard: int = SHARD, many: int = MANY) -> DataFrame:
     """key_id, key_text and spans, an array of (place, mask): windows from place on whose bit is set repeat."""
     places = materialize(anchor_places(docs, window), "anchor-places")
-    often = places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # What joins back to places is written first: Spark deals a very common anchor's rows to several tasks only where
+    # both sides come straight from a shuffle.
+    often = materialize(places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     shared = materialize(places.join(often, "anchor"), "shared-places")
     contexts = materialize(shared.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.max("n").alias("n"), F.min(F.struct("key_id", "key_text", "place")).alias("sample")), "contexts")
-    variety = contexts.groupBy("anchor").agg(F.count("*").alias("variety"), F.sum("times").alias("all")).where("variety > 1")
+    variety = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("variety")).where("variety > 1"), "variety")
     # A context that occurs twice needs no comparison for itself, but those that differ from it do need it.
     different = contexts.join(variety, "anchor").select("anchor", "context", "n", "variety", "sample.*")
     texts = docs.select("text", *_key(F.col("doc_id"), F.col("text")))
@@ -252,10 +254,10 @@ def repeated_places(docs: DataFrame, window: int = 35, shard: int = SHARD, many:
 
     one_each = lots.dropDuplicates(["anchor", "context"]).select("anchor", "context", "words")
     hashes = materialize(one_each.mapInArrow(hashed, "anchor long, context long, bit long, hash long"), "window-hashes")
-    again = hashes.groupBy("anchor", "hash").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "hash")
+    again = materialize(hashes.groupBy("anchor", "hash").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "hash"), "repeated-hashes")
     counted = hashes.join(again, ["anchor", "hash"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("mask"))
     copies = contexts.where("times > 1").select("anchor", "context", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    masks = matched.unionByName(counted).unionByName(copies).where("mask <> 0").groupBy("anchor", "context").agg(F.bit_or("mask").alias("mask"))
+    masks = materialize(matched.unionByName(counted).unionByName(copies).where("mask <> 0").groupBy("anchor", "context").agg(F.bit_or("mask").alias("mask")), "masks")
     spans = shared.join(masks, ["anchor", "context"]).groupBy("key_id", "key_text").agg(F.collect_set(F.struct("place", "mask")).alias("spans"))
     return spans
 
