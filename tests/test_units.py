@@ -250,3 +250,9 @@ def test_station_notes(spark):
     stations = spark.createDataFrame([(1, "شارع السادات (التحرير)"), (2, "مار جرجس"), (3, "x")], "stop_id long, name string")
     notes = spark.createDataFrame([("السادات", "note one"), ("مار جرجس", "note two")], "station_ar string, note_ar string")
     assert {r.stop_id: r.note for r in journey.station_notes(stations, notes).collect()} == {1: "note one", 2: "note two", 3: None}
+
+
+def test_trusted_corridors_count_as_faster(spark):
+    rows = spark.createDataFrame([(1, 2, 7, 0, 100.0), (2, 3, 7, 0, 100.0), (1, 2, 8, 0, 100.0)], "u long, v long, route_id long, direction_id int, sec double")
+    trusted = spark.createDataFrame([(7, 1), (7, 2)], "route_id long, stop_id long")
+    assert {(r.u, r.route_id): r.sec for r in edges.discounted(rows, trusted).collect()} == {(1, 7): 75.0, (2, 7): 100.0, (1, 8): 100.0}
