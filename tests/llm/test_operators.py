@@ -137,6 +137,26 @@ def test_pieces_decode_to_the_text_and_vary(spark):
     assert encode_pieces(documents(spark, []), PIECE).count() == 0
 
 
+def test_pieces_vary_from_occurrence_to_occurrence():
+    codec = PieceCodec(PIECE, 0.1, 42)
+    word, long = "▁understand", "▁" + "中文字符" * 12
+    docs = [(k, " ".join(["understand", "extraordinarily"] * 100) + " " + "中文字符" * 12) for k in range(10)]
+    ids, offsets = codec.encode(docs)
+    seen = {}
+    for (number, text), a, b in zip(docs, offsets, offsets[1:], strict=False):
+        stretches = codec.stretches(text)
+        keys = codec.keys(number, len(stretches)).tolist()
+        own = [codec.word(w, k) for w, k in zip(stretches, keys, strict=True)]
+        assert ids[a:b].tolist() == [i for x in own for i in x]
+        for w, x in zip(stretches, own, strict=True):
+            seen.setdefault(w, []).append(tuple(x))
+    # Ten merges make a whole word: each is taken with 0.9, at every occurrence anew.
+    whole = tuple(codec.word(word, -1))
+    assert len(seen[word]) == 1000 and len(set(seen[word])) > 10
+    assert abs(seen[word].count(whole) / 1000 - sum(tuple(codec.word(word, k)) == whole for k in range(20_000)) / 20_000) < 0.06
+    assert long not in seen or len(set(seen[long])) > 1
+
+
 def test_first_fit_takes_the_first_with_room():
     r, tree, room = random.Random(3), RoomTree(50, 100), [100] * 64
     for _ in range(200):
