@@ -152,6 +152,47 @@ def test_search_and_itinerary(spark):
     assert search.search(timed, search.boardings(p, routes, heads, "fastest"), walks, origins, 1).where("size(path) > 0").count() == 0
 
 
+def test_search_goes_on_until_nothing_improves(spark):
+    import heapq
+    import random
+
+    r = random.Random(5)
+    # A chain that needs a boarding for each of its eight lines, then lines and walks at random.
+    lines = [[k, k + 1] for k in range(8)] + [r.sample(range(16), 3) for _ in range(5)]
+    timed = [(k, 0, pos, stop, pos * (10.0 + 7 * k), pos * 500.0) for k, line in enumerate(lines) for pos, stop in enumerate(line)]
+    boards = [(k, 0, 40.0 + k, 90.0 + 2 * k, (0, 1, 2)[k % 3], (0.0, 300.0, 120.0)[k % 3], 0.01 * (k % 2)) for k in range(len(lines))]
+    walks = [(8, 12, 100.0), (12, 13, 100.0), (13, 14, 100.0)] + [(*r.sample(range(16), 2), float(r.randint(200, 900))) for _ in range(6)]
+    best, queue, seen = {}, [(0.0, 0, 0, False)], set()
+    while queue:
+        cost, stop, mask, ridden = heapq.heappop(queue)
+        if (stop, mask, ridden) in seen:
+            continue
+        seen.add((stop, mask, ridden))
+        if stop not in best:
+            best[stop] = cost
+        for k, line in enumerate(lines):
+            if stop in line:
+                _, _, first, later, bit, money, per_metre = boards[k]
+                at, paid = line.index(stop), 0.0 if bit & mask else money
+                for n in range(1, len(line) - at):
+                    heapq.heappush(queue, (cost + (later if ridden else first) + paid + n * (10.0 + 7 * k + 500 * per_metre), line[at + n], mask | bit, True))
+        for u, v, sec in walks:
+            if u == stop and ridden:
+                heapq.heappush(queue, (cost + sec * 1.5, v, mask, True))
+    frame = spark.createDataFrame
+    found = search.search(
+        frame(timed, "route_id long, direction_id int, pos int, stop_id long, t double, metres double"),
+        frame(boards, "route_id long, direction_id int, first double, later double, bit int, money double, per_metre double"),
+        frame(walks, "u long, v long, sec double"), frame([(0, 0, 0.0)], "od_id long, stop_id long, cost double"), walk_times=1.5,
+    )
+    got = {r.stop_id: r.cost for r in search.best_by_stop(found).collect()}
+    assert got.keys() == best.keys() and {8, 14} <= got.keys()
+    assert all(abs(got[k] - best[k]) < 1e-6 for k in best)
+    chain = frame([(k, k + 1, 10.0) for k in range(20)], "u long, v long, dist_m double")
+    reached = search.bounded_reach(chain, frame([(0, 0)], "source_id long, stop_id long"), 155.0)
+    assert sorted((r.stop_id, r.metres) for r in reached.collect()) == [(k, 10.0 * k) for k in range(16)]
+
+
 def test_shapes(spark):
     rows = [("s", k, 30.0 + 0.01 * k, 31.0) for k in range(6)]
     line = spark.createDataFrame(rows, "shape_id string, seq int, lat double, lon double")

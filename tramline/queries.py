@@ -249,7 +249,7 @@ def _planned(n: Network, profile: str) -> DataFrame:
     timed, heads = session.materialize(search.timed_patterns(p, edges.blended(_edges(n))), "timed"), service.headways(n.frequencies)
     boards = search.boardings(p, n.routes, heads, profile)
     origins = n.stops.where("stop_id IN (0, 7, 14)").select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost"))
-    answers = search.best_by_stop(search.search(timed, boards, spatial.walk_links(n.stops), origins, rounds=2, walk_times=C.PROFILES[profile][1]))
+    answers = search.best_by_stop(search.search(timed, boards, spatial.walk_links(n.stops), origins, walk_times=C.PROFILES[profile][1]))
     return search.itineraries(answers.where(F.size("path") > 0), timed, n.routes, heads)
 
 
