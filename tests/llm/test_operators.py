@@ -340,6 +340,29 @@ def labelled(spark, n=700):
     return rows + [(9000, None), (9001, ""), (9002, " \n"), (9003, "zqurkx"), (None, "null id")], spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
 
 
+def test_toxicity_reads_the_middle_of_long_words():
+    r = random.Random(6)
+    clean = lambda n: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(n))
+    grams = lambda t: {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+    for n in (63, 64, 100, 120, 121, 500):
+        word = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(n))
+        parts = [p.decode() for p in toxicity.pieces(word.encode())]
+        assert max(map(len, parts)) <= 62 and set().union(*map(grams, parts)) == grams(word)
+    assert toxicity.pieces(b"short") == [b"short"]
+    texts = [" ".join(clean(3) for _ in range(40)) + (" zqurkxvy zqurkx" * 3 if k % 2 else "") for k in range(200)]
+    model = toxicity.train([t.encode() for t in texts], np.array([k % 2 for k in range(200)]))
+
+    def odds(text: str) -> float:
+        bags = toxicity.WordBags()
+        numbers = bags.numbers(text.encode())
+        return float(model.texts(model.words(*bags.new())[numbers], np.array([len(numbers)]))[0][0])
+
+    # A text without spaces is cut into pieces by length: what lies in its middle counts as it does at its ends.
+    around = clean(400)
+    assert odds(around[:400] + "zqurkxvyzqurkx" * 8 + around[400:]) > odds(around) + 1
+    assert odds("\u00a0".join([around[:400], *["zqurkxvy"] * 12, around[400:]])) > odds(around) + 1
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows, labels = labelled(spark)
     docs, held = documents(spark, rows), toxicity.fold("doc_id", 3, 1)

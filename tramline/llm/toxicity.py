@@ -1,7 +1,8 @@
 """Toxicity of texts: subword-bag embeddings, averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its hashed character n-grams (three to five characters, with marks for
-the word's ends), so an unseen misspelling shares most of its vector with the word it stands for. The vectors of a
+the word's ends), so an unseen misspelling shares most of its vector with the word it stands for. What is longer than a
+word of any language (text without spaces) is cut into overlapping pieces that count as words. The vectors of a
 window's words are averaged and go through a linear softmax; a text's score is that of its most toxic window, so a long
 text does not dilute a few words. All windows of the whole text are scored. Vectors and softmax are learnt together by
 Adam on the windows that decide the scores of a bounded sample of labelled documents.
@@ -28,6 +29,8 @@ BUCKETS = 1 << 18
 LEAST_DOCS, PRIOR_DOCS = 3, 4
 #: Words in a window; windows start at every half of it.
 WINDOW = 32
+#: Characters of a word that is scored in one piece, and characters that a longer one's pieces share.
+LONG, LAP = 62, 4
 #: Labelled documents, and bytes of their texts, that training gathers at most (they are drawn by a hash of their id).
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 11 << 20
 
@@ -35,11 +38,19 @@ SAMPLE_DOCS, SAMPLE_BYTES = 4000, 11 << 20
 def subwords(word: bytes) -> list[int]:
     """Buckets of a word's character n-grams."""
     text = f"<{word.decode('utf-8', 'replace').lower()}>"
-    if len(text) > 64:  # what is no word in any language gives the n-grams of its ends
-        text = text[:32] + text[-32:]
     return [zlib.crc32(text[i : i + n].encode()) % BUCKETS for n in (3, 4, 5) for i in range(max(1, len(text) - n + 1))]
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word of up to LONG characters; a longer one (of a script without spaces, or joined words) in pieces of as many.
+
+    Each piece repeats the last LAP characters of the one before, so that each n-gram of the word is in a piece.
+    """
+    if len(word) <= LONG or len(text := word.decode("utf-8", "replace")) <= LONG:
+        return [word]
+    return [text[k : k + LONG].encode() for k in range(0, len(text) - LAP, LONG - LAP)]
+
+
 class WordBags:
     """Numbers distinct words and holds the n-gram buckets of each."""
 
@@ -48,6 +59,8 @@ class WordBags:
 
     def numbers(self, text: bytes) -> np.ndarray:
         words = text.split()
+        if len(text) > LONG and max(map(len, words), default=0) > LONG:
+            words = [p for w in words for p in pieces(w)]
         return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
 
     def new(self) -> tuple[np.ndarray, np.ndarray]:
