@@ -1,6 +1,6 @@
 """Packing of documents into training sequences: first-fit decreasing with a tournament tree, in random groups.
 
-Rows are dealt by a seeded hash of their place in the input into groups of about group_bytes of text, which bounds what
+Rows are dealt by a generator, seeded for each partition of the input, into groups of about group_bytes of text, which bounds what
 a task holds, however many rows share an id or source. In a group, each document gives full sequences as long as it
 lasts; what remains of it is packed, longest first, into the first open sequence with room, which a tournament tree of
 the sequences' room finds in logarithmic time. The sequences left least full are then cut up to fill the others, and
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.batches import slices, texts
+from tramline.llm.batches import slices
 from tramline.llm.tokens import WordEncoder, kept
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -112,7 +112,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int =
         encoder = kept(WordEncoder, tokenizer, False)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in slices(batches):
-            ids, offsets = encoder.encode(texts(batch), end_id)
+            ids, offsets = encoder.encode(batch.column("text"), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             dealt = pa.array(rng.integers(0, groups, batch.num_rows), pa.int64())
             yield pa.RecordBatch.from_arrays([dealt, batch.column("doc_id"), lists], ["group", "doc_id", "ids"])

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.batches import slices, texts
-from tramline.llm.tokens import WordEncoder, kept, tokenizer_path
+from tramline.llm.batches import slices
+from tramline.llm.tokens import WordEncoder, kept
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -31,7 +31,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = kept(WordEncoder, tokenizer, True), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids, offsets = encoder.encode(texts(batch), end_id)
+            ids, offsets = encoder.encode(batch.column("text"), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             columns = [batch.column("doc_id"), pa.array(np.full(batch.num_rows, part), pa.int32()), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), lists]
             before += int(offsets[-1])
@@ -71,6 +71,3 @@ def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
-
-def byte_level(name: str = "byte_bpe_50k.json") -> str:
-    return tokenizer_path(name)
