@@ -22,9 +22,6 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
-#: Letters before white space, a full stop or a comma (one word to the tokenizers) with the one space before it; else a
-#: chunk without white space; else a run of white space up to the character that a word may take.
-SPACED = re.compile(f" ?[{LATIN}]+(?=[,.{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+?(?= ?[^{WHITE}])|[{WHITE}]")
 LETTERS = re.compile(f" ?[{LATIN}]+")
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others in order for the characters from 256 on.
