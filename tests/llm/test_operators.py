@@ -4,10 +4,12 @@ extra columns with clashing names."""
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ pytest.importorskip("tramline.llm")
 
 from tramline.llm import exact_dedup, neighbours, quality, simhash, substring, token_counts, token_files, toxicity  # noqa: E402
 from tramline.llm.packing import RoomTree, pack, pack_documents  # noqa: E402
-from tramline.llm.pieces import PieceCodec, decode_pieces, encode_pieces  # noqa: E402
+from tramline.llm.pieces import PieceCodec, decode, decode_pieces, encode_pieces, piece_texts  # noqa: E402
 from tramline.llm.tokens import WordEncoder, tokenizer_path  # noqa: E402
 
 BYTE, WORD, PIECE = (tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -99,20 +101,46 @@ def test_token_files_hold_indexes_and_bloom_filters(spark, tmp_path):
 
 
 def test_token_counts_at_every_prefix(spark):
-    rows = list(enumerate(odd_texts(120)))
+    rows = list(enumerate(odd_texts(120))) + [(None, "null id"), (5000, "words and more " * 40), (5001, "x" + "\u00a0'll  y'rex 're \n\n z " * 5)]
     encoder = WordEncoder(BYTE, True)
     count = lambda t: len(encoder.tokenizer.encode(t, add_special_tokens=False).ids)
-    got = {r.doc_id: r for r in token_counts.token_counts(documents(spark, rows), BYTE, limit=10, prefixes=True).collect()}
-    plain = {r.doc_id: r for r in token_counts.token_counts(documents(spark, rows), BYTE, limit=10).collect()}
+    store = token_counts.prefix_store(documents(spark, rows), BYTE)
+    tables = {r.doc_id: r.prefix_tokens for r in token_counts.prefix_tokens(store).collect()}
+    plain = {r.doc_id: r for r in token_counts.token_counts(store, limit=10).collect()}
+    assert len(plain) == len(rows)
     for k, t in rows:
         t = t or ""
-        assert got[k].prefix_tokens == [count(t[:n]) for n in range(len(t) + 1)]
+        every = [count(t[:n]) for n in range(len(t) + 1)]
+        assert tables[k] == every
         assert (plain[k].n_bytes, plain[k].n_tokens, plain[k].over_limit) == (len(t.encode()), count(t), count(t) > 10)
-    answers = token_counts.token_counts(documents(spark, rows), BYTE, prefixes=True).select("doc_id", token_counts.tokens_at(F.col("prefix_tokens"), F.lit(7)).alias("at"), token_counts.longest_within(F.col("prefix_tokens"), F.lit(4)).alias("cut"))
+        assert plain[k].chars_within == max(n for n, c in enumerate(every) if c <= 10)
+    answers = token_counts.prefix_tokens(store).select("doc_id", token_counts.tokens_at(F.col("prefix_tokens"), F.lit(7)).alias("at"), token_counts.longest_within(F.col("prefix_tokens"), F.lit(4)).alias("cut"))
+    known = dict(rows)
     for r in answers.collect():
-        t = rows[r.doc_id][1] or ""
+        t = known[r.doc_id] or ""
         assert r.at == count(t[:7]) and r.cut == max(n for n in range(len(t) + 1) if count(t[:n]) <= 4)
-    assert token_counts.token_counts(documents(spark, []), BYTE).count() == 0
+    assert token_counts.token_counts(token_counts.prefix_store(documents(spark, []), BYTE)).count() == 0
+
+
+def test_steps_of_any_size_are_stored():
+    for steps in ([], [1, 0, -3, 127], [1, 200, -150], [70000]):
+        assert token_counts.counts_of(token_counts.packed(np.array(steps, np.int32))).tolist() == np.cumsum(steps).astype(int).tolist()
+
+
+def test_very_long_words_take_linear_time():
+    """A megabyte of one letter, and one with apostrophes: counted at every prefix, encoded, and cut with dropout."""
+    counter, codec = token_counts.PrefixCounter(BYTE), PieceCodec(PIECE, 0.1, 42)
+    encoder = WordEncoder(BYTE, True)
+    for text in ("a" * 1_000_000, "don't'll" * 125_000):
+        begun = time.monotonic()
+        steps, _ = counter.steps_of(pa.array([text]))
+        assert time.monotonic() - begun < 20
+        assert len(steps) == len(text) and int(steps.sum()) == len(encoder.encode([text])[0])
+        assert int(steps[:5000].sum()) == len(encoder.encode([text[:5000]])[0])
+        begun = time.monotonic()
+        ids, _ = codec.encode([(1, text)])
+        assert time.monotonic() - begun < 30
+        assert decode(ids.tolist(), piece_texts(PIECE)).decode() == text
 
 
 def test_pieces_decode_to_the_text_and_vary(spark):
@@ -221,31 +249,59 @@ def test_simhash(spark, corpus):
     least = {f: min((d for (d, _), g in zip(corpus, fps, strict=True) if g in groups[f] and d is not None), default=None) for f in fps}
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(((d, f"{f:016x}", least[f]) for (d, _), f in zip(corpus, fps, strict=True)), key=key)
-    kept = simhash.drop_near_copies(documents(spark, corpus))
+    kept = simhash.drop_near_copies(documents(spark, corpus), 3, bits=64, reach=3, part_bits=32, part_reach=1)
     assert kept.columns == documents(spark, []).columns
     assert kept.count() == len({id(groups[f]) for f in fps})
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     assert simhash.drop_near_copies(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 2, 4])
-def test_tree_links_connect_all_that_is_near(spark, parts):
-    rng = np.random.default_rng(parts)
+def test_near_copies_by_five_word_shingles(spark):
+    """All pairs with a Jaccard similarity of 0.87 or more are linked, and none below 0.7; one of each group stays."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(900)]
+    rows = []
+    for k in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(150, 400))]
+        rows.append((10 * k, " ".join(words)))
+        for n in range(1, 4):  # copies with a few words changed in one place, and with many changed everywhere
+            changed = list(words)
+            if n < 3:
+                changed[50 : 50 + n] = ["changed"] * n
+            else:
+                changed = [w if r.random() < 0.8 else "other" for w in words]
+            rows.append((10 * k + n, " ".join(changed)))
+    rows += [(9000, None), (9001, ""), (9002, " "), (None, "null id"), (None, "null id")]
+    kept = {x.doc_id for x in simhash.drop_near_copies(documents(spark, rows)).collect()}
+    assert kept == {10 * k for k in range(60)} | {10 * k + 3 for k in range(60)} | {9000, None}
+    ids = [d for d, _ in rows]
+    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    found = {x.doc_id: x.component_id for x in simhash.near_duplicates(documents(spark, rows[:240]), **simhash.NEAR).collect()}
+    for i in range(240):
+        for j in range(i):
+            union = len(shingles[i] | shingles[j])
+            similar = len(shingles[i] & shingles[j]) / union if union else 1
+            assert similar < 0.87 or found[ids[i]] == found[ids[j]]
+            assert similar > 0.7 or found[ids[i]] != found[ids[j]]
+
+
+@pytest.mark.parametrize("part_bits", [32, 16])
+def test_tree_links_connect_all_that_is_near(spark, part_bits):
+    rng = np.random.default_rng(part_bits)
     fps = rng.integers(0, 1 << 63, 700, np.uint64)
     near = [f ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False))) for f in fps[:200]]
     dense = [fps[0] ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for b, c in rng.integers(0, 64, (150, 2))]
     every = sorted({int(f) for f in [*fps, *near, *dense]})
-    table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in every], "fp long")
-    edges = simhash.links(table, 3, parts, sample=512, shard=40, home_block=16, block=32).collect()
-    bits = lambda x: int(np.int64(x).view(np.uint64))
-    assert all(bin(bits(a) ^ bits(b)).count("1") <= 3 for a, b in edges)
+    table = spark.createDataFrame([(k, bytearray(f.to_bytes(8, "big"))) for k, f in enumerate(every)], "id long, fp binary")
+    edges = [(every[a], every[b]) for a, b in simhash.links(table, 64, 3, part_bits, 1, sample=512, shard=40, home_block=16, block=32).collect()]
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in edges)
     array = np.array(every, np.uint64)
     want = brute_components([(every[i], every[j]) for i in range(len(every)) for j in np.flatnonzero(np.bitwise_count(array[i] ^ array) <= 3)], every)
-    got = brute_components([(bits(a), bits(b)) for a, b in edges], every)
+    got = brute_components(edges, every)
     assert {n: sorted(g) for n, g in got.items()} == {n: sorted(g) for n, g in want.items()}
-    roots = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())) if edges else {}
-    signed = lambda f: int(np.uint64(f).view(np.int64))
-    assert all(roots.get(signed(f), signed(f)) == min(map(signed, g)) for f, g in want.items())
+    place = {f: k for k, f in enumerate(every)}
+    roots = dict(map(tuple, simhash.components(spark.createDataFrame([(place[a], place[b]) for a, b in edges], "a long, b long")).collect())) if edges else {}
+    assert all(roots.get(place[f], place[f]) == min(place[x] for x in g) for f, g in want.items())
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -343,7 +399,7 @@ def labelled(spark, n=700):
 def test_toxicity_reads_the_middle_of_long_words():
     r = random.Random(6)
     clean = lambda n: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(n))
-    grams = lambda t: {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+    grams = lambda t: {t[i : i + n] for n in toxicity.GRAMS for i in range(len(t) - n + 1)}
     for n in (63, 64, 100, 120, 121, 500):
         word = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(n))
         parts = [p.decode() for p in toxicity.pieces(word.encode())]

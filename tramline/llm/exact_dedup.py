@@ -12,7 +12,7 @@ smallest), and of rows that agree in both, one; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.session import materialize
@@ -28,31 +28,34 @@ def heavy_digests(rows: DataFrame, total: int, support: float = SUPPORT) -> Data
     return materialize(exact.where(F.col("n") > support * total), "heavy-digests")
 
 
-def dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of each row."""
-    keep = F.struct(F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"))
-    digests = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), keep.alias("own"))
-    rows = materialize(digests, "digests")
+def decided(rows: DataFrame, support: float) -> DataFrame:
+    """rows with keep (the own of the row that stays) and n (rows of the digest). rows: digest, own (id and row)."""
     heavy = F.broadcast(heavy_digests(rows.select("digest", F.col("own").alias("keep")), rows.count(), support))
     rest = rows.join(heavy, "digest", "left_anti")
     groups = rest.groupBy("digest").agg(F.max("own").alias("keep"), F.count("*").alias("n"))
-    found = rows.join(heavy, "digest").unionByName(rest.join(groups, "digest"))
-    return found.select(
+    return rows.join(heavy, "digest").unionByName(rest.join(groups, "digest"))
+
+
+def _digests(doc_id: Column, text: Column, row: Column) -> list[Column]:
+    return [F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"), F.struct(doc_id.cast("long").alias("id"), row.alias("row")).alias("own")]
+
+
+def dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of each row."""
+    rows = materialize(docs.select(*_digests(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id())), "digests")
+    return decided(rows, support).select(
         F.col("own.id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("own.row") == F.col("keep.row")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay. Rows of heavy digests that don't stay go before the shuffle."""
-    all_columns = docs.columns
-    docs = docs.select(F.struct("*").alias("doc"))
-    docs = docs.withColumns({"digest": F.sha2(F.coalesce("doc.text", F.lit("")), 256), "keep": F.struct(F.col("doc.doc_id").cast("long").alias("id"))})
-    rows = materialize(docs.select("digest", "keep"), "digests")
-    heavy = heavy_digests(rows, rows.count(), support).select("digest", F.col("keep").alias("winner"))
-    left = docs.join(F.broadcast(heavy), "digest", "left").where(F.col("winner").isNull() | F.col("keep").eqNullSafe(F.col("winner")))
-    order = Window.partitionBy("digest").orderBy(F.col("keep.id").desc_nulls_last())
-    return left.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc.*").select(*all_columns)
+    """The rows of docs that stay. Rows are numbered and written; digests and numbers alone are shuffled, and the numbers
+    of the rows that go are written, so that Spark knows their size when it picks the join that takes them out."""
+    numbered = materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    rows = materialize(numbered.select(*_digests(F.col("doc.doc_id"), F.col("doc.text"), F.col("row"))), "digests")
+    gone = materialize(decided(rows, support).where("own.row <> keep.row").select("own.row"), "copies")
+    return numbered.join(gone, "row", "left_anti").select("doc.*")
 
 
 OP10_SQL = """

@@ -9,7 +9,7 @@ from tramline.llm import exact_dedup, neighbours, quality, simhash, substring, t
 from tramline.llm.packing import pack_documents
 from tramline.llm.pieces import decode_pieces, encode_pieces
 from tramline.llm.tokens import tokenizer_path
-from tramline.session import scratch_dir, ship_package, table
+from tramline.session import materialize, scratch_dir, ship_package, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, reach=3)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, bits=64, reach=3, part_bits=32, part_reach=1)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts at all prefixes are stored; the rows, with the longest prefix within the limit, are read from them."""
     ship_package(spark)
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+    store = materialize(token_counts.prefix_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), "prefix-counts")
+    return token_counts.token_counts(store, limit=1024)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
