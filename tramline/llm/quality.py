@@ -5,21 +5,19 @@ labelled documents, with second-order gains; they are then flattened into arrays
 all documents of a batch walk down a tree together, a level at a time.
 
 Defined results: null and empty texts have the statistics of an empty text; repeated rows are scored each; an empty
-table gives no rows; without labels of both classes the score is constant.
+table gives no rows; without labels of both classes the score is constant; a column that has the name of a result is
+replaced by it, and all others are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.batches import byte_texts, slices
-from tramline.llm.toxicity import labelled_sample
+from tramline.llm.toxicity import labelled_sample, named, scored
 
 #: Labelled documents, and bytes of their texts, that training gathers at most (they are drawn by a hash of their id).
 SAMPLE_DOCS, SAMPLE_BYTES = 8000, 24 << 20
@@ -101,11 +99,5 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn=None, docs_most: int
 
 def score_quality(docs: DataFrame, model: Trees, threshold: float = 0.7) -> DataFrame:
     """All columns of docs, with quality_score double and quality_predicted int (1 from the threshold on) after them."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            odds = model.odds(np.array([statistics(t) for t in byte_texts(batch)]))
-            scores = 1 / (1 + np.exp(-odds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*batch.schema.names, "quality_score", "quality_predicted"])
-
-    return docs.mapInArrow(score, docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(0).alias("quality_predicted")).schema)
+    score = lambda texts: 1 / (1 + np.exp(-model.odds(np.array([statistics(t) for t in texts]))))
+    return named(scored(docs, lambda: score, threshold), docs.columns, "quality")

@@ -1,20 +1,22 @@
 """Toxicity of texts: subword-bag embeddings, averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its hashed character n-grams (three to five characters, with marks for
-the word's ends), so an unseen misspelling shares most of its vector with the word it stands for. What is longer than a
+A word's vector is the mean of the vectors of its hashed character n-grams (four to six characters, with marks for the
+word's ends), so an unseen misspelling shares most of its vector with the word it stands for. What is longer than a
 word of any language (text without spaces) is cut into overlapping pieces that count as words. The vectors of a
 window's words are averaged and go through a linear softmax; a text's score is that of its most toxic window, so a long
 text does not dilute a few words. All windows of the whole text are scored. Vectors and softmax are learnt together by
-Adam on the windows that decide the scores of a bounded sample of labelled documents.
+Adam on the windows that decide the scores of a bounded sample of labelled documents. They start at random, near zero;
+vectors of n-grams that occur in both classes about as often as any other stay at zero, as they tell nothing.
 
 Defined results: null, empty or white texts have no words and get the score of no evidence (the softmax's bias);
-repeated rows are scored each; an empty table gives no rows; without labels of both classes the score is constant.
+repeated rows are scored each; an empty table gives no rows; without labels of both classes the score is constant; a
+column that has the name of a result is replaced by it, and all others are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,13 @@ from tramline.llm.batches import byte_texts, slices
 from tramline.llm.tokens import _Index
 
 BUCKETS = 1 << 18
-#: N-grams in fewer of the sampled documents than this keep the weight zero: they tell documents apart, not classes.
-LEAST_DOCS, PRIOR_DOCS = 3, 4
+#: Characters of the n-grams. N-grams in fewer of the sampled documents than LEAST_DOCS keep the weight zero (they tell
+#: documents apart, not classes), as do those in a class less than TELLS standard deviations more or less than expected.
+GRAMS, LEAST_DOCS, TELLS = (4, 5, 6), 3, 4.0
 #: Words in a window; windows start at every half of it.
 WINDOW = 32
 #: Characters of a word that is scored in one piece, and characters that a longer one's pieces share.
-LONG, LAP = 62, 4
+LONG, LAP = 62, max(GRAMS) - 1
 #: Labelled documents, and bytes of their texts, that training gathers at most (they are drawn by a hash of their id).
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 11 << 20
 
@@ -38,7 +41,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 4000, 11 << 20
 def subwords(word: bytes) -> list[int]:
     """Buckets of a word's character n-grams."""
     text = f"<{word.decode('utf-8', 'replace').lower()}>"
-    return [zlib.crc32(text[i : i + n].encode()) % BUCKETS for n in (3, 4, 5) for i in range(max(1, len(text) - n + 1))]
+    return [zlib.crc32(text[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(max(1, len(text) - n + 1))]
 
 
 def pieces(word: bytes) -> list[bytes]:
@@ -116,7 +119,7 @@ class Model:
         return odds, first, docs[first]
 
 
-def train(texts: list[bytes], labels: np.ndarray, dim: int = 4, rounds: int = 40, rate: float = 0.05, decay: float = 1e-5, drop: float = 0.3, scale: float = 32.0, seed: int = 42) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, dim: int = 4, rounds: int = 100, rate: float = 0.1, decay: float = 1e-5, drop: float = 0.3, scale: float = 32.0, seed: int = 42) -> Model:
     rng = np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
         share = float(np.mean(labels)) if len(labels) else 0.5
@@ -126,19 +129,22 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 4, rounds: int = 40
     lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
     flat = np.concatenate(numbers)
     buckets, starts = bags.new()
+    all_sizes = np.diff(starts)
     begin, end, _ = windows(lengths)
     # In how many clean and toxic documents each n-gram is.
     seen = np.zeros((2, BUCKETS))
     for found, label in zip(numbers, labels, strict=True):
         words = np.unique(found)
-        sizes = np.diff(starts)[words]
+        sizes = all_sizes[words]
         seen[label, np.unique(buckets[np.repeat(starts[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())])] += 1
-    in_docs, rate_all = seen.sum(0), labels.mean()
-    # The first component starts at the n-gram's log-odds, drawn to the mean by PRIOR_DOCS documents of the usual mixture.
-    post = (seen[1] + PRIOR_DOCS * rate_all) / (in_docs + PRIOR_DOCS)
-    vectors = rng.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32)
-    vectors[:, 0] = np.log(post / (1 - post)) - np.log(rate_all / (1 - rate_all))
-    vectors[in_docs < LEAST_DOCS] = 0
+    in_docs, share = seen.sum(0), labels.mean()
+    tells = (in_docs >= LEAST_DOCS) & (np.abs(seen[1] - in_docs * share) >= TELLS * np.sqrt(in_docs * share * (1 - share)))
+    # Of each word, the n-grams that tell something; what it is averaged over stays the number of all.
+    known = tells[buckets]
+    own = np.bincount(np.repeat(np.arange(len(all_sizes)), all_sizes)[known], minlength=len(all_sizes))
+    owner, buckets, starts = np.repeat(np.arange(len(own)), own), buckets[known], np.cumsum(own) - own
+    vectors = rng.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32) * tells[:, None]
+    vectors[:, 0] = 0
     softmax = rng.normal(0, 0.01, (dim, 2)).astype(np.float32)
     softmax[0] = -scale, scale
     bias = np.array([1.0, -1.0], np.float32)
@@ -146,16 +152,16 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 4, rounds: int = 40
     balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     for t in range(1, rounds + 1):
         model = Model(vectors @ (softmax[:, 1] - softmax[:, 0]), bias[1] - bias[0])
-        odds, first, docs = model.texts(model.words(buckets, starts)[flat], lengths)
+        word_scores = np.bincount(owner, model.weights[buckets], len(own)) / all_sizes
+        odds, first, docs = model.texts(word_scores[flat], lengths)
         error = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - labels) * balance / len(labels)
         # Buckets of the deciding windows' words, each with its share of the document's average.
         b, e = begin[first], end[first]
         word_at = np.repeat(b, e - b) + np.arange((e - b).sum()) - np.repeat(np.cumsum(e - b) - (e - b), e - b)
-        words, share = flat[word_at], np.repeat(1 / (e - b), e - b) * (rng.random(len(word_at)) >= drop)
-        sizes = np.diff(starts)[words]
-        at = np.repeat(starts[words], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        each, owner = np.repeat(share / sizes, sizes), np.repeat(np.repeat(docs, e - b), sizes)
-        push = np.bincount(buckets[at], each * error[owner], BUCKETS) * (in_docs >= LEAST_DOCS)  # of each bucket on the loss, for a unit of log-odds
+        words, weight = flat[word_at], np.repeat(error[docs] / (e - b), e - b) * (rng.random(len(word_at)) >= drop)
+        sizes = own[words]
+        at = np.repeat(starts[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        push = np.bincount(buckets[at], np.repeat(weight / all_sizes[words], sizes), BUCKETS)  # of each bucket on the loss, for a unit of log-odds
         pull = vectors.T @ push
         grads = [np.outer(push.astype(np.float32), softmax[:, 1] - softmax[:, 0]) + decay * vectors, np.stack([-pull, pull], 1) + decay * softmax, error.sum() * np.array([-1.0, 1.0])]
         for p, g, (m, v) in zip((vectors, softmax, bias), grads, state, strict=True):
@@ -200,22 +206,51 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn=None, docs_most: in
     return train(*labelled_sample(docs, labels, "toxic", learn, docs_most, bytes_most))
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, limit: int = 500_000) -> DataFrame:
-    """All columns of docs, with toxic_score double and toxic_predicted int (1 from the threshold on) after them."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # BUCKETS numbers
+def _scorer(weights: np.ndarray, bias: float, limit: int = 500_000) -> Callable[[list[bytes]], np.ndarray]:
+    """Scores of texts, with those of up to limit distinct words kept between calls."""
+    model, bags, known = Model(weights.astype(np.float64), bias), WordBags(), np.zeros(0)
+
+    def score(texts: list[bytes]) -> np.ndarray:
+        nonlocal bags, known
+        if len(bags.index) > limit:
+            bags, known = WordBags(), np.zeros(0)
+        numbers = [bags.numbers(t) for t in texts]
+        known = np.concatenate([known, model.words(*bags.new())])
+        odds = model.texts(known[np.concatenate(numbers)], np.fromiter(map(len, numbers), np.int64, len(numbers)))[0]
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+    return score
+
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        model, bags, known = Model(weights.astype(np.float64), bias), WordBags(), np.zeros(0)
+def scored(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.ndarray]], threshold: float) -> DataFrame:
+    """doc (a row of docs), score double and predicted int (1 from the threshold on). make gives a task its scorer."""
+    inner = docs.select(F.struct("*").alias("doc"), "text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
         for batch in slices(batches):
-            if len(bags.index) > limit:
-                bags, known = WordBags(), np.zeros(0)
-            numbers = [bags.numbers(t) for t in byte_texts(batch)]
-            known = np.concatenate([known, model.words(*bags.new())])
-            lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            odds = model.texts(known[np.concatenate(numbers)], lengths)[0]
-            scores = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*batch.schema.names, "toxic_score", "toxic_predicted"])
-
-    schema = docs.select("*", F.lit(0.0).alias("toxic_score"), F.lit(0).alias("toxic_predicted")).schema
-    return docs.mapInArrow(score, schema)
+            scores = score(byte_texts(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], ["doc", "score", "predicted"])
+
+    return inner.mapInArrow(each, inner.select("doc", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
+
+
+def named(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The columns of docs, and name_score and name_predicted in the place of any that are called so."""
+    results = [F.col("score").alias(f"{name}_score"), F.col("predicted").alias(f"{name}_predicted")]
+    return rows.select(*[F.col("doc")[c].alias(c) for c in columns if c not in (f"{name}_score", f"{name}_predicted")], *results)
+
+
+def _toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # BUCKETS numbers
+    return scored(docs, lambda: _scorer(*shared.value), threshold)
+
+
+def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """All columns of docs, with toxic_score double and toxic_predicted int (1 from the threshold on) after them."""
+    return named(_toxic(docs, model, threshold), docs.columns, "toxic")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score less than the threshold."""
+    return _toxic(docs, model, threshold).where("predicted = 0").select("doc.*")
