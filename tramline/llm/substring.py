@@ -17,7 +17,8 @@ Results come back by context, are joined to the anchors' places, and gathered by
 places meets in one row. Hashes have 64 bits for the anchor and 64 for the context or window within it.
 
 Defined results: a null text has no words; texts shorter than a window keep all words; rows that repeat in id and text
-are copies like others; an empty table gives no rows; other columns are ignored or kept, whatever their names.
+are copies like others; an empty table gives no rows; other columns are ignored or kept, whatever their names. A window
+may have any number of words from one on.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from tramline.llm.batches import byte_texts, slices
 from tramline.session import materialize
 
 SEED = 42
-#: Words of an anchor's n-gram; contexts in a shard; different contexts of an anchor up to which shards compare them.
-GRAM, SHARD, MANY = 8, 1024, 512
+#: Contexts in a shard; different contexts of an anchor up to which shards compare them.
+SHARD, MANY = 1024, 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -79,16 +80,23 @@ def _first_least(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+def gram(window: int) -> int:
+    """Words of an anchor's n-gram: 8, or what a shorter window has, or as many as leave a context 63 windows at most."""
+    if window < 1:
+        raise ValueError(f"a window has one word at least, not {window}")
+    return min(window, max(8, window - 62))
+
+
 def anchors(words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Document, anchor, first window in the document, number of windows, and context of each anchor place."""
     n = np.diff(offsets)
     total = len(words)
     if total < window:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    rolling = Rolling(words)
-    at = np.arange(total - GRAM + 1)
-    grams = rolling.stretch(at, at + GRAM)
-    place = _first_least(grams, window - GRAM + 1)  # of each run of n-grams that a window would hold
+    rolling, n_words = Rolling(words), gram(window)
+    at = np.arange(total - n_words + 1)
+    grams = rolling.stretch(at, at + n_words)
+    place = _first_least(grams, window - n_words + 1)  # of each run of n-grams that a window would hold
     doc = np.repeat(np.arange(len(n)), n)[: len(place)]
     real = np.arange(len(place)) + window <= offsets[1:][doc]
     starts, place, doc = np.flatnonzero(real), place[real], doc[real]
