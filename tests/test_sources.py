@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tramline.sources import gtfs
+from tramline.sources import gtfs, maps
 
 FEED = {
     "stops": "﻿stop_id,stop_name,stop_lat,stop_lon\ns1,\"A, first\",30.0,31.0\ns2,B,30.01,31.0\n",
@@ -74,3 +74,65 @@ def test_caches_and_logs(spark, tmp_path):
     for _ in range(2):
         gtfs.log_gaps(spark.createDataFrame([("x", [30.12345, 31.0])], "kind string, start array<double>"), str(tmp_path / "log"))
     assert [r.start for r in spark.read.json(str(tmp_path / "log")).collect()] == [[30.123, 31.0]] * 2
+
+
+def test_map_extract_and_stations(spark, tmp_path):
+    member = lambda kind, ref: {"type": kind, "ref": ref, "role": ""}
+    node = lambda k, lat, lon, **tags: {"id": k, "lat": lat, "lon": lon, "tags": tags}
+    doc = {
+        "routes": [
+            {"id": 1, "tags": {"type": "route", "route": "monorail"}, "members": [member("n", 11), member("w", 12), member("n", 13), member("n", 14), member("n", 10)]},
+            {"id": 2, "tags": {"type": "route", "route": "bus"}, "members": [member("n", 15)]},
+            {"id": 3, "tags": {"type": "site", "route": "tram"}, "members": []},
+        ],
+        "nodes": {"10": node(10, 50.0, 31.0, name="Far"), "11": node(11, 30.0, 31.0, **{"name:en": "A", "name": "x", "name:ar": "أ"}), "13": node(13, None, None), "14": node(14, 30.1234567, 31.0), "15": node(15, 30.0, 31.0), "16": node(16, 30.0, 31.0, railway="station"), "17": node(17, 50.0, 31.0, railway="station")},
+    }
+    (tmp_path / "extract.json").write_text(json.dumps(doc), encoding="utf-8")
+    relations, nodes = maps.read_extract(spark, str(tmp_path / "extract.json"))
+    routes, kept = maps.transit_extract(relations, nodes)
+    assert [r.id for r in routes.collect()] == [1] and sorted(r.id for r in kept.collect()) == [10, 11, 13, 14, 16]
+    stations = maps.ordered_stations(routes, kept).orderBy("pos").collect()
+    assert [tuple(r) for r in stations] == [(1, 0, 11, "A", "أ", 30.0, 31.0), (1, 1, 14, "node 14", "", 30.123457, 31.0), (1, 2, 10, "Far", "", 50.0, 31.0)]
+
+
+def test_documents_beside_a_network(spark, tmp_path):
+    (tmp_path / "marks.json").write_text(json.dumps({"documents": {"t": [{"route": "r", "route_num": "5", "fare_egp": 7.5, "corridor": "a – b - c"}]}}), encoding="utf-8")
+    rows = maps.landmark_corridors(spark, str(tmp_path / "marks.json")).orderBy("pos").collect()
+    assert [(r.tag, r.route, r.fare_egp, r.pos, r.landmark) for r in rows] == [("t", "r", 7.5, 0, "a"), ("t", "r", 7.5, 1, "b"), ("t", "r", 7.5, 2, "c")]
+    (tmp_path / "roads.json").write_text(json.dumps({"a": 1, "b": 2, "coordinates": [[31.0, 30.0], [31.1, 30.1]]}) + "\n")
+    assert [tuple(r) for r in maps.road_geometry(spark, str(tmp_path / "roads.json")).orderBy("seq").collect()] == [(1, 2, 0, 30.0, 31.0), (1, 2, 1, 30.1, 31.1)]
+    (tmp_path / "notes.json").write_text(json.dumps({"station_notes": {"k": {"station_ar": "ا", "note_ar": "ب"}}, "lines": {}}), encoding="utf-8")
+    assert [tuple(r) for r in maps.station_notes(spark, str(tmp_path / "notes.json")).collect()] == [("k", "ا", "ب")]
+    (tmp_path / "none.json").write_text("{}")
+    assert maps.station_notes(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_walks_and_drives_between_places(spark):
+    pairs = spark.createDataFrame([(0, 30.0, 31.0, 30.0, 31.01), (1, 30.0, 31.0, 30.01, 31.0), (2, 30.0, 31.0, 30.02, 31.0)], "ordinal int, lat1 double, lon1 double, lat2 double, lon2 double")
+    cache = spark.createDataFrame([("30.0,31.0;30.0,31.01", 1200.0, 900.0), ("30.0,31.0;30.01,31.0", 9000.0, 7000.0), ("drive_30.0,31.0;30.02,31.0", 3000.0, 300.0)], "cache_key string, distance_m double, duration_sec double")
+    walks = maps.routes_between(pairs, cache).orderBy("ordinal").collect()
+    assert [r.source for r in walks] == ["cache", "straight", "straight"] and walks[0].distance_m == 1200.0 and abs(walks[1].duration_sec - walks[1].distance_m / 1.25) < 1e-9
+    drives = maps.routes_between(pairs, cache, "drive").orderBy("ordinal").collect()
+    assert [r.source for r in drives] == ["straight", "straight", "cache"] and abs(drives[0].duration_sec - drives[0].distance_m / 11) < 1e-9
+    places = spark.createDataFrame([(1, 0, 30.0, 31.0), (1, 1, 30.0, 31.01), (1, 2, 30.0, 31.02), (2, 0, 30.0, 31.0)], "table_id int, ordinal int, lat double, lon double")
+    table = maps.walking_table(places, cache).collect()
+    assert len(table) == 6 and {(r["from"], r["to"]): r.distance_m for r in table}[0, 1] == 1200.0
+
+
+def test_translations_sheets_reports_and_versions(spark, tmp_path):
+    columns = "table_name string, field_name string, language string, field_value string, translation string"
+    old = spark.createDataFrame([("stops", "stop_name", "ar", "A", "one")], columns)
+    new = spark.createDataFrame([("stops", "stop_name", "A", "two"), ("stops", "stop_name", "B", "three"), ("stops", "stop_name", "B", "three"), ("stops", "stop_name", "C", "")], "table_name string, field_name string, field_value string, translation string")
+    assert sorted((r.field_value, r.translation) for r in maps.with_translations(old, new).collect()) == [("A", "one"), ("B", "three")]
+    near = spark.createDataFrame([("x", "n1", 0.5), ("x", "n2", 0.9), ("x", "n3", 0.9), ("x", "n4", 0.1)], "landmark string, name string, score double")
+    sheet = maps.review_sheet(spark.createDataFrame([("x",), ("y",)], "landmark string"), near)
+    assert {r.landmark: (r.candidate_1, r.candidate_2, r.candidate_3) for r in sheet.collect()} == {"x": ("n2", "n3", "n1"), "y": (None, None, None)}
+    maps.write_sheet(sheet, str(tmp_path / "sheet"))
+    assert spark.read.csv(str(tmp_path / "sheet"), header=True).count() == 2
+    for _ in range(2):
+        maps.write_report(near, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 4
+    copy = maps.write_version(near, str(tmp_path / "table"), "20260101")
+    assert spark.read.parquet(copy).count() == 4
+    with pytest.raises(AnalysisException):
+        maps.write_version(near, str(tmp_path / "table"), "20260101")

@@ -209,6 +209,143 @@ def test_shapes(spark):
     assert [round(r.lat, 2) for r in cut.orderBy("n").collect()] == [30.04, 30.03, 30.02]
 
 
+def test_first_heads_are_those_of_a_walk_in_order(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, f"n{k % 3}", 30.0 + r.random() * 0.01, 31.0 + r.random() * 0.01) for k in range(120)] + [(200 + k, "chain", 30.1, 31.0 + 0.0008 * k) for k in range(25)]
+    table = spark.createDataFrame(rows, "stop_id long, stop_name string, lat double, lon double")
+
+    def brute(metres, by_name):
+        heads, out = [], {}
+        for k, name, lat, lon in rows:
+            out[k] = next((h for h, n, a, b in heads if (n == name or not by_name) and spatial._metres(a, b, lat, lon) <= metres), None)
+            if out[k] is None:
+                heads.append((k, name, lat, lon))
+                out[k] = k
+        return out
+
+    assert dict(map(tuple, spatial.cluster_same_names(table, 150.0).collect())) == brute(150.0, True)
+    assert dict(map(tuple, reconstruct.grid_clusters(table, 100.0).collect())) == brute(100.0, False)
+    merged = spatial.canonical(spark.createDataFrame([(1, 5), (2, 6)], "trip_id long, stop_id long"), spark.createDataFrame([(5, 4), (6, 6)], "stop_id long, canonical_id long"), "stop_id")
+    assert sorted((x.trip_id, x.stop_id) for x in merged.collect()) == [(1, 4), (2, 6)]
+
+
+def test_nearest_stops_are_those_of_all_distances(spark):
+    import random
+
+    r = random.Random(4)
+    stops = [(k, 30.0 + r.random() * 0.05, 31.0 + r.random() * 0.05) for k in range(150)] + [(500, 30.0, 31.0), (501, 30.0, 31.0)]
+    points = [(k, 29.98 + r.random() * 0.1, 30.98 + r.random() * 0.1) for k in range(40)] + [(90, 30.0, 31.0), (91, 45.0, 31.0), (92, -33.0, -70.0)]
+    frame = spark.createDataFrame(stops, "stop_id long, lat double, lon double"), spark.createDataFrame(points, "point_id long, lat double, lon double")
+    got = {(x.point_id, x.rank): x.stop_id for x in spatial.nearest_stops(frame[1], frame[0], 4, 3000.0).collect()}
+    want = {}
+    for k, lat, lon in points:
+        near = sorted((spatial._metres(lat, lon, a, b), s) for s, a, b in stops)
+        want |= {(k, n + 1): s for n, (d, s) in enumerate(near[:4]) if d <= 3000}
+    assert got == want
+    anywhere = {x.point_id: x.stop_id for x in spatial.nearest_anywhere(frame[1], frame[0]).collect()}
+    assert anywhere == {k: min((spatial._metres(lat, lon, a, b), s) for s, a, b in stops)[1] for k, lat, lon in points}
+
+
+def test_snapping_prefers_connected_dry_and_really_near_stops(spark):
+    stops = spark.createDataFrame([(1, 30.0, 31.0), (2, 30.0, 31.002), (3, 30.0, 31.004), (4, 30.0, 31.006), (9, 31.0, 31.0)], "stop_id long, lat double, lon double")
+    points = spark.createDataFrame([(1, 30.0, 31.001), (2, 31.0, 31.001), (3, 33.0, 31.0)], "point_id long, lat double, lon double")
+    degrees = spark.createDataFrame([(1, 1), (2, 5), (3, 2), (4, 3), (9, 1)], "stop_id long, degree long")
+    of = lambda df: [(x.point_id, x.stop_id) for x in df.orderBy("point_id", "rank").collect()]
+    pool = spatial.snap_candidates(points, stops, degrees)
+    assert of(pool) == [(1, 2), (1, 3), (1, 4), (2, 9)]  # the last has no stop with two edges: its nearest stays
+    alias = spark.createDataFrame([(2, 3)], "stop_id long, canonical_id long")
+    assert of(spatial.snap_candidates(points, stops, degrees, alias)) == [(1, 3), (1, 4), (2, 9)]
+    bank = spark.createDataFrame([(1, 29.99, 31.003, 30.01, 31.003)], "edge_id long, a_lat double, a_lon double, b_lat double, b_lon double")
+    far = spark.createDataFrame([(30.5, 31.0)], "lat double, lon double")
+    assert of(spatial.snap_candidates(points, stops, degrees, None, bank, far)) == [(1, 2), (2, 9)]
+    wet = spark.createDataFrame([(1, 29.99, 31.0015, 30.01, 31.0015)], bank.schema)
+    assert of(spatial.snap_candidates(points, stops, degrees, None, wet, far)) == [(1, 2), (1, 3), (1, 4), (2, 9)]  # all are across
+    walked = spark.createDataFrame([(1, 2, 900.0), (1, 4, 700.0)], "point_id long, stop_id long, distance_m double")
+    ranked = [(x.point_id, x.rank, x.stop_id) for x in spatial.reranked(pool, walked, 2).orderBy("point_id", "rank").collect()]
+    assert ranked == [(1, 1, 4), (1, 2, 2), (2, 1, 9)]
+
+
+def test_bridges_gather_crossings_in_order(spark):
+    rows = [("a", 1, 30.0, 31.0), ("a", 5, 30.002, 31.0), ("b", 1, 30.0035, 31.0), ("b", 2, 30.0, 31.0), ("c", 1, 30.1, 31.0)]
+    found, want = spatial.bridges(spark.createDataFrame(rows, "shape_id string, seq int, lat double, lon double")), []
+    for lat, n in ((30.0, 2), (30.002, 1), (30.0035, 1), (30.1, 1)):
+        own = next((c for c in want if spatial._metres(c[0], 31.0, lat, 31.0) <= 300), None)
+        if own:
+            own[:] = [(own[0] * own[1] + lat * n) / (own[1] + n), own[1] + n]
+        else:
+            want.append([lat, n])
+    assert sorted((round(x.lat, 6), x.crossings) for x in found.collect()) == sorted((round(a, 6), n) for a, n in want)
+
+
+def test_fares_colours_and_modes_shown(spark):
+    rows = spark.createDataFrame([("metro",), ("bus",), ("apm",), ("new",)], "v string")
+    got = {x.v: x for x in rows.select("v", fares.fare_bands(F.col("v")).alias("b"), fares.route_colour(F.col("v")).alias("c"), fares.price_text(F.lit("walk"), F.lit(0)).alias("w"), fares.price_text(F.lit("x"), F.lit(20)).alias("p")).collect()}
+    assert [tuple(x) for x in got["metro"].b] == [(8, 10), (15, 12), (22, 15), (None, 20)] and got["bus"].b is None and [tuple(x) for x in got["apm"].b] == [(None, 0)]
+    assert got["new"].c == got["bus"].c != got["metro"].c and (got["bus"].w, got["bus"].p) == ("Free", "20 EGP")
+    modes = spark.createDataFrame([("Metro, lrt,,metro",), ("boat,bus,tram",), ("",), (None,)], "m string")
+    assert values(spark, [tuple(x) for x in modes.collect()], "m string", *text.wanted_modes(F.col("m"))) == [(["metro", "lrt"], []), (["tram"], ["boat", "bus"]), (None, None), (None, None)]
+    assert values(spark, [(30.0, 31.123456, 30.5, 31.1)], "a double, b double, c double, d double", text.place_key(*map(F.col, "abcd"))) == [("30.0,31.12346;30.5,31.1",)]
+
+
+def test_corridors_are_joined_by_edges_siblings_roads_or_not(spark):
+    frame = spark.createDataFrame
+    stops = frame([(k, 30.0, 31.0 + 0.01 * k) for k in range(8)] + [(13, 30.002, 31.03), (20, 30.0, 31.0451), (21, 30.0, 31.0549)], "stop_id long, lat double, lon double")
+    edge_rows = [(0, 1, 960.0), (1, 2, 960.0), (0, 2, 5000.0), (2, 13, 1000.0)]
+    chosen = frame([(1, n, s) for n, s in enumerate([0, 2, 3, 4, 6])] + [(2, 0, 5)], "corridor_id long, n int, stop_id long")
+    candidates = frame([(1, n, 0, s) for n, s in enumerate([0, 2, 3, 4, 6])] + [(1, 2, 1, 13)], "corridor_id long, pos int, rank int, stop_id long")
+    roads = frame([(4, 6, k, 30.0, 31.04 + 0.005 * k) for k in range(5)] + [(3, 4, 0, 30.0, 31.03), (3, 4, 1, 30.9, 31.0), (3, 4, 2, 30.0, 31.04)], "a long, b long, seq int, lat double, lon double")
+    joined = reconstruct.connected(chosen, candidates, frame(edge_rows, "u long, v long, dist_m double"), stops, roads)
+    assert [(x.n, x.how, x.stops) for x in joined.orderBy("n").collect()] == [(0, "direct", [0, 1, 2]), (1, "sibling", [2, 13]), (2, "gap", None), (3, "road", [4, 20, 5, 21, 6])]
+    one = reconstruct.rebuilt(joined).first()
+    assert one.stops == [0, 1, 2, 13, 4, 20, 5, 21, 6] and (one.segments, one.connected, one.siblings, one.roads) == (4, 3, 1, 1)
+    assert abs(one.unconnected_m - spatial._metres(30.0, 31.03, 30.0, 31.04)) < 1e-6
+    without = reconstruct.connected(chosen, candidates, frame(edge_rows, "u long, v long, dist_m double"), stops)
+    assert [x.how for x in without.orderBy("n").collect()] == ["direct", "sibling", "gap", "gap"]
+
+
+def test_what_a_rider_is_told(spark):
+    frame = spark.createDataFrame
+    path = [("ride", 1, 0, 10, 12, 200.0), ("walk", None, None, 12, 20, 100.0), ("ride", 2, 0, 20, 21, 90.0), ("ride", 3, 0, 21, 22, 60.0)]
+    answers = frame([(0, 22, 900.0, path)], "od_id long, stop_id long, cost double, path " + search.PATH)
+    timed = frame([(1, 0, k, 10 + k, 100.0 * k, 1000.0 * k) for k in range(4)] + [(2, 0, k, 20 + k, 90.0 * k, 500.0 * k) for k in range(2)] + [(3, 0, k, 21 + k, 60.0 * k, 700.0 * k) for k in range(2)], "route_id long, direction_id int, pos int, stop_id long, t double, metres double")
+    routes = frame([(1, "metro", "NAT"), (2, "metro", "NAT"), (3, "bus", "CTA")], "route_id long, vehicle_type string, agency_id string")
+    heads = frame([(1, 0, 4.0), (2, 0, 10.0)], "route_id long, direction_id int, headway_min double")
+    pattern = frame([(1, 0, [10, 11, 12, 13]), (2, 0, [20, 21]), (3, 0, [21, 22])], "route_id long, direction_id int, stops array<long>")
+    ridden = search.rides(answers, timed, routes, heads)
+    legs = [(x.n, x.route_id, x.stops, x.towards, x.from_route, x.on_foot) for x in search.rail_legs(ridden, answers, pattern).orderBy("n").collect()]
+    assert legs == [(1, 1, 2, 13, None, None), (2, 2, 1, 21, 1, True), (3, 3, 1, 22, 2, False)]
+    assert {x.vehicle_type: (x.stops, x.fare_egp) for x in search.fare_breakdown(ridden).collect()} == {"metro": (3, 10), "bus": (1, 20)}
+    told = search.instructions(ridden, answers).orderBy("n").collect()
+    assert [(x.kind, x.route_id, x.stops, x.fare_egp) for x in told] == [("ride", 1, 2, 10), ("walk", None, 0, 0), ("ride", 2, 1, 0), ("ride", 3, 1, 20)]
+    total = search.itineraries(answers, timed, routes, heads).first()
+    assert total.fare == sum(x.fare_egp for x in told) and total.minutes == -(-sum(x.sec + x.wait_sec for x in told) // 60)
+
+
+def test_equivalents_with_a_vehicle_under_way_come_first(spark):
+    frame = spark.createDataFrame
+    pattern = frame([(k, 0, [1, 2, 3]) for k in range(1, 7)] + [(9, 0, [3, 2, 1])], "route_id long, direction_id int, stops array<long>")
+    routes = frame([(k, "bus" if k in (1, 4, 9) else "metro") for k in (1, 2, 3, 4, 5, 6, 9)], "route_id long, vehicle_type string")
+    coming = frame([(3, 0, 1, 500), (5, 0, 1, 90), (5, 0, 1, 30), (2, 0, 2, 5)], "route_id long, direction_id int, stop_id long, eta_sec long")
+    found = patterns.equivalent_routes(pattern, frame([(7, 1, 1, 3)], "journey_id long, route_id long, board long, alight long"), routes, coming)
+    assert [(x.other, x.eta_sec) for x in found.orderBy("place").collect()] == [(1, None), (5, 30), (3, 500), (4, None)]
+    arriving = frame([(1, "s", None), (2, "s", 5), (3, "s", 2)], "session_id long, stop string, eta_sec long")
+    assert [x.session_id for x in live.next_arrivals(arriving, "stop", 2).orderBy("n").collect()] == [3, 2]
+    fixes = frame([(1, 1, 30.0, 31.0, 1.0), (None, 1, 30.0, 31.0, 1.0), (2, 1, 40.0, 31.0, 1.0), (3, 1, 30.0, 31.0, None)], "session_id long, route_id long, lat double, lon double, at double")
+    assert [x.error for x in live.report_errors(fixes).orderBy("session_id").collect()] == ["missing", None, "outside", "time"]
+
+
+def test_reports_on_answers_and_matches(spark):
+    frame = spark.createDataFrame
+    options = frame([(1, "walk"), (1, "fastest"), (2, "partial"), (3, "none")], "od_id long, kind string")
+    pairs = frame([(k, "a", f"b{k}") for k in range(1, 5)], "od_id long, origin string, destination string")
+    assert [(x.answered, x.complete) for x in audits.answered(options, pairs).orderBy("od_id").collect()] == [(True, True), (True, False), (False, False), (False, False)]
+    assert [tuple(x) for x in audits.frequency_order(frame([("x",), ("y",), ("y",), ("a",)], "k string"), "k").collect()] == [("y", 2), ("a", 1), ("x", 1)]
+    matches = frame([(1, "exact"), (1, "fuzzy"), (1, "unresolved"), (2, "road"), (3, "alias")], "corridor_id long, how string")
+    assert {x.bucket: x.corridors for x in audits.resolved_shares(matches).collect()} == {">=60%": 1, "<40%": 1, ">=80%": 1}
+
+
 def test_anchors_drop_outliers(spark):
     rows = [(1, k, 0, k, 30.0 + 0.01 * k, 31.0) for k in range(6)]
     rows[3] = (1, 3, 0, 99, 31.0, 32.0)

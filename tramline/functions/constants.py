@@ -37,3 +37,9 @@ FUZZY_LEAST, CONTAINS_CHARS, CONTAINS_RATIO, CANDIDATES = 0.86, 5, 0.45, 12
 # Weights of a search by profile: transfer seconds, times walking, seconds for a pound, gated transfer seconds.
 PROFILES = {"recommended": (420, 1.6, 90, 180), "regular": (900, 1.5, 0, 450), "cheapest": (240, 1.0, 10000, 120), "fastest": (240, 1.0, 0, 120)}
 MICROBUS_TRANSFER_S = 300
+
+# The colour of each kind of vehicle on a map.
+COLOURS = {
+    "metro": "#6DA4C2", "monorail": "#9C6DC2", "lrt": "#4DA89B", "tram": "#C2A76D", "apm": "#8895A0", "bus": "#E29578",
+    "minibus": "#D4A373", "microbus": "#C77DFF",
+}

@@ -44,6 +44,24 @@ def shown_flat_fare(vehicle, agency_id) -> Column:
     return F.when(~vehicle.isin(*C.BANDED_FARES, "microbus"), leg_fare(vehicle, agency_id, F.lit(0.0)))
 
 
+def fare_bands(vehicle) -> Column:
+    """Bands of a kind of vehicle, as an array of (up_to_stops, fare_egp); null for kinds without."""
+    kind = "array<struct<up_to_stops:int,fare_egp:int>>"
+    bands = F.lit(None).cast(kind)
+    for name, tiers in C.BANDED_FARES.items():
+        rows = F.array(*[F.struct(F.lit(most).cast("int").alias("up_to_stops"), F.lit(price).alias("fare_egp")) for most, price in tiers])
+        bands = F.when(vehicle == name, rows.cast(kind)).otherwise(bands)
+    return bands
+
+
+def route_colour(vehicle) -> Column:
+    return F.coalesce(literal_map(C.COLOURS)[vehicle], F.lit(C.COLOURS["bus"]))
+
+
+def price_text(kind, fare) -> Column:
+    return F.when(kind == "walk", "Free").otherwise(F.concat(fare.cast("string"), F.lit(" EGP")))
+
+
 def expected_wait(headway_min, floor=None) -> Column:
     """Seconds: half of the headway up to a cap, but no less than floor."""
     wait = F.least(F.coalesce(F.nullif(headway_min, F.lit(0.0)), F.lit(C.FALLBACK_HEADWAY_MIN)) * 30.0, F.lit(C.WAIT_CAP_S))

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tramline.functions.constants import RAIL
+
 # Words that open a place's name and say what kind of place it is; words that name a road or an area.
 PLACE_WORDS = "شارع|ش|ميدان|م|كوبري|كوبرى|محور|طريق|منطقة|حي|مساكن|مدينة|جراج"
 STATION_WORDS = "محطة|شارع|ش|ميدان|م"
@@ -57,7 +59,7 @@ def normalise_station(name: Column) -> Column:
 
 def search_text(text: Column) -> Column:
     """Lower case, letters that are written in several ways as one, compounds joined, no punctuation."""
-    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "إأآىة", "اااي" + "ه")
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "إأآىة", "ااايه")
     t = F.regexp_replace(t, "[\\u064B-\\u065F\\u0670]", "")
     # Compounds and their joined forms.
     for apart, joined in (("mini bus", "minibus"), ("micro bus", "microbus"), ("ميني باص", "مينيباص"), ("ميكرو باص", "ميكروباص")):
@@ -71,6 +73,20 @@ def variants(name: Column) -> Column:
     return F.array_distinct(F.filter(F.array(name, bare), lambda x: x != ""))
 
 
+def place_key(lat1, lon1, lat2, lon2) -> Column:
+    """The key of a cached route between two places: five decimals, about a metre."""
+    at = lambda x: F.round(x, 5).cast("string")
+    return F.concat(at(lat1), F.lit(","), at(lon1), F.lit(";"), at(lat2), F.lit(","), at(lon2))
+
+
+def wanted_modes(text) -> tuple[Column, Column]:
+    """Known and unknown modes of a list with commas; null for an empty list, which stands for every mode."""
+    modes = F.array_distinct(F.filter(F.transform(F.split(F.lower(text), ","), lambda m: F.trim(m)), lambda x: x != ""))
+    known = F.array(*map(F.lit, RAIL))
+    some = F.coalesce(text, F.lit("")) != ""
+    return F.when(some, F.array_intersect(modes, known)), F.when(some, F.sort_array(F.array_except(modes, known)))
+
+
 def in_parentheses(name: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("[(（]([^)）]+)[)）]"), 1)
 

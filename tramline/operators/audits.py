@@ -10,7 +10,7 @@ from tramline.functions.geo import planar_metres
 
 def ordered_pairs(points: DataFrame) -> DataFrame:
     """All ordered pairs of a report's named points (some tens): origin, destination."""
-    return F.broadcast(points.select(F.col("name").alias("origin"))).join(points.select(F.col("name").alias("destination")), F.col("origin") != F.col("destination"))
+    return points.select(F.col("name").alias("origin")).join(points.select(F.col("name").alias("destination")), F.col("origin") != F.col("destination"))
 
 
 def coverage(pairs: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def compared(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def upper_median(values: str):
-    """The upper of the two middle values of an even number of them."""
-    return F.element_at(F.sort_array(F.collect_list(values)), F.expr(f"int(count({values}) div 2 + 1)"))
+    """The upper of the two middle values of an even number of them, from counts of the values."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{values})")
 
 
 def far_pairs(points: DataFrame, k: int, seed: int = 7) -> DataFrame:
@@ -63,10 +63,32 @@ def far_pairs(points: DataFrame, k: int, seed: int = 7) -> DataFrame:
 
     a = points.select(F.col("name").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = points.select(F.col("name").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    pairs = F.broadcast(a).join(b, F.col("a") < F.col("b")).withColumn("m", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    pairs = a.join(b, F.col("a") < F.col("b")).withColumn("m", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     edge = pairs.agg(F.percentile("m", 0.75).alias("edge"))
-    return pairs.join(F.broadcast(edge), F.col("m") >= F.col("edge")).orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(k).select("a", "b", "m")
+    return pairs.join(edge, F.col("m") >= F.col("edge")).orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(k).select("a", "b", "m")
 
 
 def tally(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.bround(100 * F.count("*") / F.sum(F.count("*")).over(Window.partitionBy()), 1).alias("pct"))
+
+
+def frequency_order(rows: DataFrame, key: str) -> DataFrame:
+    """Values with how often they occur, the most frequent first, and of equals the one that comes first in the alphabet."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)
+
+
+def resolved_shares(matches: DataFrame) -> DataFrame:
+    """Corridors by the share of their landmarks (corridor_id, how) that were matched to a stop."""
+    share = F.avg((~F.col("how").isin("road", "unresolved")).cast("double"))
+    each = matches.groupBy("corridor_id").agg(share.alias("share"))
+    bucket = F.when(F.col("share") >= 0.8, ">=80%").when(F.col("share") >= 0.6, ">=60%").when(F.col("share") >= 0.4, ">=40%").otherwise("<40%")
+    return each.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("corridors"))
+
+
+def answered(options: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (od_id, origin, destination) with whether an option (od_id, kind) rides at all (answered), and whether one does
+    that is not partial (complete)."""
+    rides = F.max(~F.col("kind").isin("walk", "none")).alias("answered")
+    whole = F.max(~F.col("kind").isin("walk", "none", "partial")).alias("complete")
+    found = options.groupBy("od_id").agg(rides, whole)
+    return pairs.join(found, "od_id", "left").select("od_id", "origin", "destination", F.coalesce("answered", F.lit(False)).alias("answered"), F.coalesce("complete", F.lit(False)).alias("complete"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.fares import literal_map, shown_flat_fare
+from tramline.functions.fares import fare_bands, literal_map, route_colour, shown_flat_fare
 from tramline.functions.text import SYNONYMS, route_number, search_text
 
 
@@ -54,9 +54,20 @@ def route_detail(variants: DataFrame, stops: DataFrame, route_id: int) -> DataFr
     return own.join(stops.select("stop_id", "stop_name"), "stop_id")
 
 
+def route_facts(routes: DataFrame, windows: DataFrame, headways: DataFrame) -> DataFrame:
+    """What a route's page shows beside its stops, of each direction: number, colour, fare or bands, hours and headway."""
+    hours = windows.groupBy("route_id").agg(F.min("start_sec").alias("first_sec"), F.max("end_sec").alias("last_sec"))
+    known = routes.join(hours, "route_id", "left").join(headways, "route_id", "left")
+    vehicle = F.col("vehicle_type")
+    return known.select(
+        "route_id", "direction_id", route_number(F.col("route_short_name")).alias("number"), "vehicle_type", route_colour(vehicle).alias("colour"), shown_flat_fare(vehicle, F.col("agency_id")).alias("fare"),
+        fare_bands(vehicle).alias("bands"), "first_sec", "last_sec", "headway_min", "reconstructed",
+    )
+
+
 def localised(names: DataFrame, translations: DataFrame) -> DataFrame:
-    """name, and its translation (field_value, translation) or itself."""
-    last = translations.groupBy(F.col("field_value").alias("name")).agg(F.last("translation").alias("t"))
+    """name, and its translation or itself. translations: field_value, translation, and _row, of which the last wins."""
+    last = translations.groupBy(F.col("field_value").alias("name")).agg(F.max_by("translation", "_row").alias("t"))
     return names.join(last, "name", "left").withColumn("local", F.coalesce("t", "name")).drop("t")
 
 

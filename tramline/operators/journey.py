@@ -82,7 +82,7 @@ def plan(model: Model, requests: DataFrame, windows: DataFrame, inactive: DataFr
     used = options.groupBy("od_id").agg(F.array_distinct(F.flatten(F.collect_list("routes"))).alias("used"), F.min("minutes").alias("least"))
     avoid = used.select("od_id", F.explode("used").alias("route_id"))
     other = _told(open_, _searched(open_, start, exits, "fastest", "alternative", min_walk, min_transfers, avoid)).join(used, "od_id")
-    slow = F.greatest(F.col("least") * ALTERNATIVE_TIMES, F.col("least") + ALTERNATIVE_MORE_MIN)
+    slow = F.col("least") * ALTERNATIVE_TIMES + ALTERNATIVE_MORE_MIN
     other = other.where((F.size(F.array_except("routes", "used")) > 0) & (F.col("minutes") <= slow)).drop("used", "least")
     # Requests without an option: how near does the network come?
     rest = materialize(requests.join(options.select("od_id"), "od_id", "left_anti"), "rest")
@@ -104,7 +104,11 @@ def plan(model: Model, requests: DataFrame, windows: DataFrame, inactive: DataFr
 
 def nearest_hubs(requests: DataFrame, stops: DataFrame) -> DataFrame:
     """The nearest stop to each end of a request, however far."""
-    side = lambda k: _ends(requests, stops, k, 1, 100_000.0).select(F.col("point_id").alias("od_id"), F.col("stop_id").alias(f"hub{k}"), F.round("dist_m").cast("long").alias(f"hub{k}_m"))
+
+    def side(k: int) -> DataFrame:
+        points = requests.select(F.col("od_id").alias("point_id"), F.col(f"lat{k}").alias("lat"), F.col(f"lon{k}").alias("lon"))
+        return spatial.nearest_anywhere(points, stops).select(F.col("point_id").alias("od_id"), F.col("stop_id").alias(f"hub{k}"), F.round("dist_m").cast("long").alias(f"hub{k}_m"))
+
     return requests.select("od_id").join(side(1), "od_id", "left").join(side(2), "od_id", "left")
 
 
@@ -113,7 +117,7 @@ def station_notes(stations: DataFrame, notes: DataFrame) -> DataFrame:
     from tramline.functions.text import normalise_station
 
     bare = F.trim(F.regexp_replace("name", "\\s*[(（][^)）]*[)）]\\s*", " "))
-    known = notes.select(normalise_station(F.col("station_ar")).alias("key"), "note_ar").groupBy("key").agg(F.first("note_ar").alias("note"))
+    known = notes.select(normalise_station(F.col("station_ar")).alias("key"), "note_ar").groupBy("key").agg(F.min("note_ar").alias("note"))
     keyed = stations.withColumns({"whole": normalise_station(F.col("name")), "bare": normalise_station(bare)})
     one, two = known.withColumnsRenamed({"key": "whole", "note": "n1"}), known.withColumnsRenamed({"key": "bare", "note": "n2"})
     return keyed.join(one, "whole", "left").join(two, "bare", "left").select("stop_id", F.coalesce("n1", "n2").alias("note"))

@@ -57,13 +57,17 @@ def fuzzy(landmarks: DataFrame, normed: DataFrame, least: float = C.FUZZY_LEAST,
     """The most alike keys of each landmark (landmark, key), with a ratio of least or more.
 
     Strings so alike have lengths l and m with 2 min / (l + m) >= least, and share a pair of neighbouring characters:
-    pairs are joined on those, then filtered by length, before the ratio is computed.
+    pairs are joined on those, then filtered by length, and by the characters that they share in any order, which are
+    no fewer than those that match, before the ratio is computed.
     """
     pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     left = landmarks.select("landmark", "key").where(F.length("key") > 1).distinct()
     right = normed.groupBy(F.col("key").alias("name")).agg(F.min("stop_id").alias("stop_id")).where(F.length("name") > 1)
     met = left.withColumn("g", F.explode(pairs(F.col("key")))).join(right.withColumn("g", F.explode(pairs(F.col("name")))), "g")
     close = met.where(2 * F.least(F.length("key"), F.length("name")) >= least * (F.length("key") + F.length("name"))).select("landmark", "key", "name", "stop_id").distinct()
+    times = lambda text, c: F.length(text) - F.length(F.replace(F.col(text), c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split("key", "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times("key", c), times("name", c))))
+    close = close.where(2 * shared >= least * (F.length("key") + F.length("name")))
     scored = close.withColumn("score", similarity("key", "name")).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("landmark", "key").orderBy(F.desc("score"), "name"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -31,17 +31,21 @@ def pattern_stops(patterns: DataFrame) -> DataFrame:
     return patterns.select("route_id", "direction_id", F.posexplode("stops").alias("pos", "stop_id"))
 
 
-def equivalent_routes(patterns: DataFrame, journeys: DataFrame, headways: DataFrame, most: int = 4) -> DataFrame:
+def equivalent_routes(patterns: DataFrame, journeys: DataFrame, routes: DataFrame, arrivals: DataFrame, most: int = 4) -> DataFrame:
     """Routes that also go from a journey's board to its alight (journey_id, route_id, board, alight), by their first
-    visits: the journey's own first, then by headway. One direction of a route counts, the first that does."""
+    visits. One direction of a route counts, the first that does. The journey's own comes first; then those with a vehicle
+    under way, the soonest first (arrivals: route_id, direction_id, stop_id, eta_sec); then those of the same kind."""
     at = pattern_stops(patterns).groupBy("route_id", "direction_id", "stop_id").agg(F.min("pos").alias("pos"))
     boards = at.select(F.col("route_id").alias("other"), "direction_id", F.col("stop_id").alias("board"), F.col("pos").alias("from_pos"))
     alights = at.select(F.col("route_id").alias("other"), "direction_id", F.col("stop_id").alias("alight"), F.col("pos").alias("to_pos"))
     both = journeys.join(boards, "board").join(alights, ["other", "direction_id", "alight"]).where("from_pos < to_pos")
-    one = both.groupBy("journey_id", "route_id", "other").agg(F.min("direction_id").alias("direction_id"))
-    timed = one.join(headways.withColumnRenamed("route_id", "other"), ["other", "direction_id"], "left")
-    order = Window.partitionBy("journey_id").orderBy((F.col("other") == F.col("route_id")).desc(), F.col("headway_min").asc_nulls_last(), "other")
-    return timed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("journey_id", "place", "other", "direction_id", "headway_min")
+    one = both.groupBy("journey_id", "route_id", "board", "other").agg(F.min("direction_id").alias("direction_id"))
+    soonest = arrivals.groupBy(F.col("route_id").alias("other"), "direction_id", F.col("stop_id").alias("board")).agg(F.min("eta_sec").alias("eta_sec"))
+    kind = lambda k: routes.select(F.col("route_id").alias(k), F.col("vehicle_type").alias(f"{k}_kind"))
+    known = one.join(soonest, ["other", "direction_id", "board"], "left").join(kind("other"), "other").join(kind("route_id"), "route_id")
+    known = known.withColumn("same_kind", F.col("other_kind") == F.col("route_id_kind"))
+    order = Window.partitionBy("journey_id").orderBy((F.col("other") == F.col("route_id")).desc(), F.col("eta_sec").asc_nulls_last(), F.desc("same_kind"), "other")
+    return known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("journey_id", "place", "other", "direction_id", "eta_sec", "same_kind")
 
 
 def towards(patterns: DataFrame, pairs: DataFrame) -> DataFrame:

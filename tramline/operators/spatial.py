@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tramline.functions import constants as C
 from tramline.functions.geo import haversine, segments_cross
+from tramline.operators.graph import components
+from tramline.session import materialize
 
 
 def _cells(lat, lon, metres: float, most_lat: float = 60.0) -> tuple[Column, Column]:
@@ -39,6 +41,13 @@ def walk_links(stops: DataFrame, metres: float = C.WALK_M) -> DataFrame:
     return pairs.select(F.col("id1").alias("u"), F.col("id2").alias("v"), "dist_m", (F.col("dist_m") / C.WALK_SPEED).alias("sec"))
 
 
+def dry_links(links: DataFrame, stops: DataFrame, edges: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Walking links (u, v) that don't cross water away from a bridge."""
+    place = lambda k, n: stops.select(F.col("stop_id").alias(k), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"))
+    paths = links.select("u", "v", F.struct("u", "v").alias("path_id")).join(place("u", 1), "u").join(place("v", 2), "v")
+    return links.join(crossings(paths, edges, bridges).select("u", "v"), ["u", "v"], "left_anti")
+
+
 def rail_links(stops: DataFrame, edges: DataFrame, walks: DataFrame, metres: float = C.RAIL_WALK_M) -> DataFrame:
     """Links between stations of different rail modes that have no walking link yet: u < v, dist_m."""
     rail = edges.where(F.col("vehicle_type").isin(*C.RAIL))
@@ -49,11 +58,85 @@ def rail_links(stops: DataFrame, edges: DataFrame, walks: DataFrame, metres: flo
 
 
 def nearest_stops(points: DataFrame, stops: DataFrame, k: int, metres: float = C.SNAP_M) -> DataFrame:
-    """The k nearest stops within metres of each point (point_id, lat, lon): point_id, rank, stop_id, dist_m."""
-    left = points.select(F.col("point_id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    order = Window.partitionBy("id1").orderBy("dist_m", "id2")
-    near = near_pairs(left, _side(stops, 2), metres).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return near.select(F.col("id1").alias("point_id"), "rank", F.col("id2").alias("stop_id"), "dist_m")
+    """The k nearest stops within metres of each point (point_id, lat, lon): point_id, rank, stop_id, dist_m.
+
+    Stops are put into small cells, with the box around each cell's stops. Of the cells near a point, only those are
+    opened whose nearest corner lies within the farthest corner of the cells that surely hold k stops.
+    """
+    part = 16
+    step = metres / 111000.0
+    wide = step / math.cos(math.radians(60.0))
+    small = stops.select("stop_id", "lat", "lon", F.floor(F.col("lat") / (step / part)).alias("small_lat"), F.floor(F.col("lon") / (wide / part)).alias("small_lon"))
+    boxes = small.groupBy("small_lat", "small_lon").agg(F.count("*").alias("n"), F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"), F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"))
+    boxes = boxes.withColumns({"cell_lat": F.floor(F.col("small_lat") / part), "cell_lon": F.floor(F.col("small_lon") / part)})
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    near = points.select("point_id", "lat", "lon", *_cells(F.col("lat"), F.col("lon"), metres)).withColumn("i", around).withColumn("j", around)
+    near = near.withColumns({"cell_lat": F.col("cell_lat") + F.col("i"), "cell_lon": F.col("cell_lon") + F.col("j")}).drop("i", "j").join(boxes, ["cell_lat", "cell_lon"])
+    inside = lambda x, lo, hi: F.greatest(F.col(lo), F.least(F.col(hi), F.col(x)))
+    corner = lambda x, lo, hi: F.when(F.abs(F.col(x) - F.col(lo)) > F.abs(F.col(x) - F.col(hi)), F.col(lo)).otherwise(F.col(hi))
+    # A box is no more than some hundred metres wide: its nearest and farthest places are known to well under a percent.
+    least = haversine(F.col("lat"), F.col("lon"), inside("lat", "lat_lo", "lat_hi"), inside("lon", "lon_lo", "lon_hi")) * 0.99 - 1
+    most = haversine(F.col("lat"), F.col("lon"), corner("lat", "lat_lo", "lat_hi"), corner("lon", "lon_lo", "lon_hi")) * 1.01 + 1
+    bound = near.withColumns({"least": least, "most": most}).where(F.col("least") <= metres)
+    held = F.sum("n").over(Window.partitionBy("point_id").orderBy("most", "small_lat", "small_lon").rowsBetween(Window.unboundedPreceding, 0))
+    enough = F.min(F.when(F.col("held") >= k, F.col("most"))).over(Window.partitionBy("point_id"))
+    opened = bound.withColumn("held", held).withColumn("enough", enough).where(F.col("enough").isNull() | (F.col("least") <= F.col("enough")))
+    met = opened.select("point_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "small_lat", "small_lon").join(small, ["small_lat", "small_lon"])
+    measured = met.select("point_id", "stop_id", haversine(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")).alias("dist_m")).where(F.col("dist_m") <= metres)
+    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("dist_m", "stop_id"))
+    return measured.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "rank", "stop_id", "dist_m")
+
+
+def nearest_anywhere(points: DataFrame, stops: DataFrame) -> DataFrame:
+    """The nearest stop to each point, however far: rings that widen for the points that found none."""
+    found, left, metres = None, points, C.SNAP_M
+    while True:
+        near = materialize(nearest_stops(left, stops, 1, metres), "nearest")
+        found = near if found is None else found.unionByName(near)
+        left = materialize(left.join(near.select("point_id"), "point_id", "left_anti"), "without-stop")
+        if metres > 2 * math.pi * C.EARTH_M or not left.limit(1).count():
+            return found
+        metres *= 8
+
+
+#: Stops looked at around a place, those kept of them, and edges that a usable stop has at least.
+SNAP_RAW, SNAP_POOL, SNAP_DEGREE = 100, 50, 2
+
+
+def snap_candidates(points: DataFrame, stops: DataFrame, degrees: DataFrame, aliases: DataFrame | None = None, edges: DataFrame | None = None, bridges: DataFrame | None = None) -> DataFrame:
+    """Stops that a point (point_id, lat, lon) may be snapped to, nearest first: point_id, rank, stop_id, dist_m.
+
+    Of the SNAP_RAW nearest, each stands for its canonical stop (aliases: stop_id, canonical_id); those with too few edges
+    (degrees: stop_id, degree) go, then those across water (edges and bridges, as in crossings), unless all would go. A
+    point whose stops all have too few edges keeps the nearest alone.
+    """
+    near = nearest_stops(points, stops, SNAP_RAW)
+    if aliases is not None:
+        near = near.join(aliases, "stop_id", "left").withColumn("stop_id", F.coalesce("canonical_id", "stop_id")).drop("canonical_id")
+    known = near.join(degrees.select("stop_id", "degree"), "stop_id", "left").withColumn("good", F.coalesce(F.col("degree") >= SNAP_DEGREE, F.lit(False)))
+    any_good = F.max("good").over(Window.partitionBy("point_id"))
+    kept = known.withColumn("any_good", any_good).where("good OR (NOT any_good AND rank = 1)")
+    once = kept.groupBy("point_id", "stop_id").agg(F.min("dist_m").alias("dist_m"))
+    order = Window.partitionBy("point_id").orderBy("dist_m", "stop_id")
+    pool = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SNAP_POOL)
+    if edges is not None and bridges is not None:
+        pool = materialize(pool, "pool")
+        ends = points.select("point_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+        paths = pool.select("point_id", "stop_id").join(ends, "point_id").join(stops.select("stop_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "stop_id")
+        wet = crossings(paths.withColumn("path_id", F.struct("point_id", "stop_id")), edges, bridges).select("point_id", "stop_id", F.lit(True).alias("wet"))
+        marked = pool.join(wet, ["point_id", "stop_id"], "left").withColumn("dry", F.col("wet").isNull())
+        pool = marked.withColumn("any_dry", F.max("dry").over(Window.partitionBy("point_id"))).where("dry OR NOT any_dry").withColumn("rank", F.row_number().over(order))
+    return pool.select("point_id", "rank", "stop_id", "dist_m")
+
+
+def reranked(candidates: DataFrame, walked: DataFrame, k: int) -> DataFrame:
+    """The k candidates of each point that are nearest on foot: by walked (point_id, stop_id, distance_m) where a point has
+    any such figure, else by what is known of them."""
+    both = candidates.join(walked.select("point_id", "stop_id", "distance_m"), ["point_id", "stop_id"], "left")
+    some = F.max(F.col("distance_m").isNotNull()).over(Window.partitionBy("point_id"))
+    real = both.withColumn("some", some).where("distance_m IS NOT NULL OR NOT some").withColumn("metres", F.coalesce("distance_m", "dist_m"))
+    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("metres", "stop_id"))
+    return real.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "rank", "stop_id", "metres")
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
@@ -70,14 +153,57 @@ def crossings(paths: DataFrame, edges: DataFrame, bridges: DataFrame, tolerance:
     """Paths (path_id, lat1, lon1, lat2, lon2) that cut an edge of a water polygon (edge_id, a_lat, a_lon, b_lat, b_lon)
     whose middle is farther than tolerance from every bridge (lat, lon). Without bridges, none is illegal.
 
-    edges and bridges describe one place's water: some tens of rows, broadcast.
+    Paths and edges meet in the cells that the boxes around them touch.
     """
-    known = bridges.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    mid = edges.withColumns({"m_lat": (F.col("a_lat") + F.col("b_lat")) / 2, "m_lon": (F.col("a_lon") + F.col("b_lon")) / 2, "one": F.lit(1)})
-    bridged = mid.join(F.broadcast(known.limit(1).select(F.lit(1).alias("one"))), "one", "left_semi")
-    far = bridged.join(F.broadcast(known), haversine(F.col("m_lat"), F.col("m_lon"), F.col("r_lat"), F.col("r_lon")) <= tolerance, "left_anti")
+    known = bridges.select(F.lit(1).alias("one"), F.monotonically_increasing_id().alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    sided = edges.withColumn("one", F.lit(1)).join(known.select("one").limit(1), "one", "left_semi")
+    mid = sided.select(F.col("edge_id").alias("id1"), ((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat1"), ((F.col("a_lon") + F.col("b_lon")) / 2).alias("lon1"))
+    bridged = near_pairs(mid, known.drop("one"), tolerance).select(F.col("id1").alias("edge_id"))
+    far = sided.join(bridged, "edge_id", "left_anti")
+    cell = 0.01
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
+    tiled = paths.withColumn("cx", span("lat1", "lat2")).withColumn("cy", span("lon1", "lon2"))
+    sides = far.withColumn("cx", span("a_lat", "b_lat")).withColumn("cy", span("a_lon", "b_lon"))
     cut = segments_cross(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return paths.join(F.broadcast(far), cut, "left_semi")
+    hit = tiled.join(sides, ["cx", "cy"]).where(cut).select("path_id").distinct()
+    return paths.join(hit, "path_id", "left_semi")
+
+
+def polygon_edges(polygon: list[tuple[float, float]]) -> list[tuple]:
+    """edge_id, a_lat, a_lon, b_lat, b_lon of a polygon's sides."""
+    return [(k, *a, *b) for k, (a, b) in enumerate(zip(polygon, polygon[1:] + polygon[:1], strict=True))]
+
+
+def bridges(flips: DataFrame, metres: float = 300.0, grain: float = 1e-5) -> DataFrame:
+    """Where routes cross a border (shape_id, seq, lat, lon): lat, lon and crossings of each bridge.
+
+    In order of the first shape that crosses there, a place joins the first bridge whose middle is within metres, and the
+    middle moves to the mean. A bridge lies within the places that near ones join up (twice as far), so only such groups
+    are handled in one piece; places are counted in a grain of about a metre first, so that a group has as many rows as
+    its ground has grains, however many vehicles cross.
+    """
+    import pandas as pd
+
+    lat, lon = F.round(F.col("lat") / grain).cast("long"), F.round(F.col("lon") / grain).cast("long")
+    places = flips.groupBy(lat.alias("y"), lon.alias("x")).agg(F.count("*").alias("n"), F.min(F.struct("shape_id", "seq")).alias("first"), F.sum("lat").alias("lats"), F.sum("lon").alias("lons"))
+    places = materialize(places.select((F.col("y") * (1 << 32) + F.col("x")).alias("stop_id"), "n", "first", (F.col("lats") / F.col("n")).alias("lat"), (F.col("lons") / F.col("n")).alias("lon")), "crossings")
+    near = near_pairs(_side(places, 1), _side(places, 2), 2 * metres).where("id1 < id2").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    chains = components(near).select(F.col("node").alias("stop_id"), "root")
+    grouped = places.join(chains, "stop_id", "left").withColumn("chain", F.coalesce("root", "stop_id"))
+
+    def gather(f: pd.DataFrame) -> pd.DataFrame:
+        found: list[list[float]] = []
+        for r in f.sort_values(["shape_id", "seq"]).itertuples():
+            own = next((c for c in found if _metres(c[0], c[1], r.lat, r.lon) <= metres), None)
+            if own is None:
+                found.append([r.lat, r.lon, r.n])
+            else:
+                total = own[2] + r.n
+                own[:] = (own[0] * own[2] + r.lat * r.n) / total, (own[1] * own[2] + r.lon * r.n) / total, total
+        return pd.DataFrame([(c[0], c[1], int(c[2])) for c in found], columns=["lat", "lon", "crossings"])
+
+    rows = grouped.select("chain", "first.shape_id", "first.seq", "lat", "lon", "n")
+    return rows.groupBy("chain").applyInPandas(gather, "lat double, lon double, crossings long")
 
 
 def cell_representatives(stops: DataFrame, degrees: float = 0.01) -> DataFrame:
@@ -87,24 +213,38 @@ def cell_representatives(stops: DataFrame, degrees: float = 0.01) -> DataFrame:
     return stops.groupBy(x.alias("cell_x"), y.alias("cell_y")).agg(F.min_by("stop_id", F.struct(off, "stop_id")).alias("stop_id"), F.count("*").alias("stops"))
 
 
-def cluster_same_names(stops: DataFrame, metres: float = C.CLUSTER_M, order: str = "stop_id") -> DataFrame:
-    """stop_id, canonical_id: in order, a stop joins the first cluster of its name whose first stop is within metres.
+def first_heads(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """stop_id, canonical_id: in order of id, a stop joins the first head among the stops near it, or becomes one itself.
 
-    Stops of one name are few, so each name's are handled together; the order decides, as clusters grow one by one.
+    pairs: id1 < id2 of stops that are near each other. All stops whose smaller neighbours are decided are decided at
+    once, in rounds until none is left: a stop near a head is none, and one whose smaller neighbours are all none is one.
     """
-    import pandas as pd
-
-    def cluster(f: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple] = []
-        out = []
-        for r in f.sort_values(order).itertuples():
-            found = next((h for h in heads if _metres(h[1], h[2], r.lat, r.lon) <= metres), None)
-            if found is None:
-                heads.append(found := (r.stop_id, r.lat, r.lon))
-            out.append((r.stop_id, found[0]))
-        return pd.DataFrame(out, columns=["stop_id", "canonical_id"])
-
-    return stops.select("stop_id", "stop_name", "lat", "lon").groupBy("stop_name").applyInPandas(cluster, "stop_id long, canonical_id long")
+    pairs = materialize(pairs.select("id1", "id2"), "near-pairs")
+    state = materialize(nodes.select("stop_id", F.lit(None).cast("boolean").alias("head")), "heads")
+    while True:
+        before = pairs.join(state.select(F.col("stop_id").alias("id1"), F.col("head").alias("head1")), "id1")
+        seen = before.groupBy(F.col("id2").alias("stop_id")).agg(F.max(F.coalesce("head1", F.lit(False))).alias("near_head"), F.max(F.col("head1").isNull()).alias("waits"))
+        now = F.when(F.col("head").isNotNull(), F.col("head")).when(F.col("near_head"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)
+        state = materialize(state.join(seen, "stop_id", "left").select("stop_id", now.alias("head")), "heads")
+        if not state.where("head IS NULL").limit(1).count():
+            break
+    heads = pairs.join(state.where("head").select(F.col("stop_id").alias("id1")), "id1").groupBy(F.col("id2").alias("stop_id")).agg(F.min("id1").alias("of"))
+    joined = state.join(heads, "stop_id", "left")
+    return joined.select("stop_id", F.when(F.col("head"), F.col("stop_id")).otherwise(F.col("of")).alias("canonical_id"))
+
+
+def cluster_same_names(stops: DataFrame, metres: float = C.CLUSTER_M) -> DataFrame:
+    """stop_id, canonical_id: in order of id, a stop joins the first cluster of its name whose first stop is within metres."""
+    near = near_pairs(_side(stops, 1, "stop_name"), _side(stops, 2, "stop_name"), metres).where("id1 < id2 AND stop_name1 = stop_name2")
+    return first_heads(stops, near)
+
+
+def canonical(rows: DataFrame, aliases: DataFrame, *columns: str) -> DataFrame:
+    """rows with canonical stops in the place of those that were merged into them (aliases: stop_id, canonical_id)."""
+    for c in columns:
+        to = aliases.where("stop_id <> canonical_id").select(F.col("stop_id").alias(c), "canonical_id")
+        rows = rows.join(to, c, "left").withColumn(c, F.coalesce("canonical_id", c)).drop("canonical_id")
+    return rows
 
 
 def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:

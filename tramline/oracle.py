@@ -4,6 +4,30 @@ from __future__ import annotations
 
 _AGENCIES = "['CTA','CTA_M','LTRA_M','BOX','P_B_8','P_O_14','COOP','MM','GRN','PGT','NAT','CAI_APM','GOV_CTA','GOV_CTA_M']"
 
+
+
+def _m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Metres between two places."""
+    return f"(12742000e0*asin(sqrt(pow(sin((radians({lat2})-radians({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2))))"
+
+
+def _turn(a: str, b: str, c: str) -> str:
+    """Whether going from a to b to c (columns' prefixes) turns left."""
+    return f"(({c}_lon-{a}_lon)*({b}_lat-{a}_lat)>({b}_lon-{a}_lon)*({c}_lat-{a}_lat))"
+
+
+def _heads(metres: int, by: str) -> str:
+    """Of each group of stops, those that are near no head of a smaller id."""
+    return f"""SELECT {by} AS grp, list_reduce(list([{{'id':stop_id,'lat':lat,'lon':lon}}] ORDER BY stop_id), lambda acc, x: CASE WHEN len(list_filter(acc, lambda h: {_m('h.lat','h.lon','x[1].lat','x[1].lon')}<={metres}))>0 THEN acc ELSE list_concat(acc, x) END) AS heads FROM stops GROUP BY 1"""
+
+
+def _canonical(heads: str, metres: int, by: str) -> str:
+    return f"SELECT s.stop_id, list_filter(heads, lambda h: {_m('h.lat','h.lon','s.lat','s.lon')}<={metres})[1].id AS canonical_id FROM stops s JOIN {heads} h ON h.grp={by}"
+
+
+#: The keys of recursive parts, whose rows are replaced by better ones until none is found.
+KEYS = {"reached": "od_id, stop_id", "railed": "od_id, stop_id", "walked": "source_id, stop_id"}
+
 #: Common table expressions; sql() prepends those that a query names.
 PARTS = {
     "stops": "SELECT s_suppkey AS stop_id, n_name AS stop_name, 30.02e0+((s_suppkey*7919)%1000)*0.00003e0 AS lat, 31.20e0+((s_suppkey*6271)%1000)*0.000035e0 AS lon FROM supplier JOIN nation ON s_nationkey=n_nationkey",
@@ -50,35 +74,46 @@ PARTS = {
         FROM (SELECT *, lag(stop_id) OVER (PARTITION BY route_id, direction_id ORDER BY pos) AS before FROM visits) v LEFT JOIN blend b ON b.u=v.before AND b.v=v.stop_id AND b.route_id=v.route_id AND b.direction_id=v.direction_id""",
     "boards": """SELECT p.route_id, p.direction_id, least(coalesce(nullif(headway_min,0),20e0)*30,1200e0) AS first, greatest(least(coalesce(nullif(headway_min,0),20e0)*30,1200e0), CASE WHEN rail THEN 120e0 WHEN vehicle_type='microbus' THEN 540e0 ELSE 240e0 END) AS later
         FROM patterns p JOIN routes r ON r.route_id=p.route_id LEFT JOIN headways h ON h.route_id=p.route_id AND h.direction_id=p.direction_id""",
-    "reach0": "SELECT stop_id AS od_id, stop_id, 0e0 AS cost FROM stops WHERE stop_id IN (0,7,14)",
-    "ride1": """SELECT od_id, stop_id, min(c+t) AS cost FROM (SELECT od_id, l.stop_id, l.t, min(r.cost+b.first-e.t) AS c FROM reach0 r JOIN timed e ON e.stop_id=r.stop_id JOIN boards b ON b.route_id=e.route_id AND b.direction_id=e.direction_id
-        JOIN timed l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos GROUP BY 1,2,3, l.route_id, l.direction_id, l.pos) GROUP BY 1,2""",
-    "here1": "SELECT od_id, stop_id, min(cost) AS cost FROM (SELECT * FROM ride1 UNION ALL SELECT * FROM reach0) GROUP BY 1,2",
-    "reach1": "SELECT od_id, stop_id, min(cost) AS cost FROM (SELECT * FROM here1 UNION ALL SELECT h.od_id, w.v, h.cost+w.sec FROM here1 h JOIN walks w ON w.u=h.stop_id WHERE NOT EXISTS (SELECT 1 FROM reach0 z WHERE z.od_id=h.od_id AND z.stop_id=h.stop_id)) GROUP BY 1,2",
-    "ride2": """SELECT od_id, stop_id, min(c+t) AS cost FROM (SELECT od_id, l.stop_id, l.t, min(r.cost+b.later-e.t) AS c FROM reach1 r JOIN timed e ON e.stop_id=r.stop_id JOIN boards b ON b.route_id=e.route_id AND b.direction_id=e.direction_id
-        JOIN timed l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos GROUP BY 1,2,3, l.route_id, l.direction_id, l.pos) GROUP BY 1,2""",
-    "here2": "SELECT od_id, stop_id, min(cost) AS cost FROM (SELECT * FROM ride2 UNION ALL SELECT * FROM reach1) GROUP BY 1,2",
-    "reach2": "SELECT od_id, stop_id, min(cost) AS cost FROM (SELECT * FROM here2 UNION ALL SELECT h.od_id, w.v, h.cost+w.sec FROM ride2 h JOIN walks w ON w.u=h.stop_id JOIN here2 z ON z.od_id=h.od_id AND z.stop_id=h.stop_id AND z.cost=h.cost) GROUP BY 1,2",
     "rail_visits": "SELECT v.* FROM visits v JOIN routes r ON r.route_id=v.route_id WHERE rail",
     "rail_walks": "SELECT u, v FROM pairs WHERE u<>v AND dist_m>0 AND dist_m<=750 AND u IN (SELECT stop_id FROM rail_visits) AND v IN (SELECT stop_id FROM rail_visits)",
-    "hops1": "SELECT l.stop_id, min(l.pos-e.pos) AS cost FROM rail_visits e JOIN rail_visits l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos WHERE e.stop_id=(SELECT min(stop_id) FROM rail_visits) GROUP BY 1",
-    "here_r1": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM hops1 UNION ALL SELECT min(stop_id), 0 FROM rail_visits) GROUP BY 1",
-    "reach_r1": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM here_r1 UNION ALL SELECT w.v, h.cost+3 FROM here_r1 h JOIN rail_walks w ON w.u=h.stop_id WHERE h.cost>0) GROUP BY 1",
-    "here_r2": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM reach_r1 UNION ALL SELECT l.stop_id, r.cost+3+l.pos-e.pos FROM reach_r1 r JOIN rail_visits e ON e.stop_id=r.stop_id JOIN rail_visits l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos) GROUP BY 1",
-    "reach_r2": "SELECT stop_id, min(cost) AS cost FROM (SELECT * FROM here_r2 UNION ALL SELECT w.v, h.cost+3 FROM here_r2 h JOIN rail_walks w ON w.u=h.stop_id LEFT JOIN reach_r1 z ON z.stop_id=h.stop_id WHERE z.cost IS NULL OR h.cost<z.cost) GROUP BY 1",
     "positions": """SELECT event_id, user_id AS session_id, user_id%60 AS route_id, (floor(epoch_us(ts)/86400e6)::bigint%2)::int AS direction_id, 30.0e0+value*0.0001e0 AS lat, 31.2e0+json_extract_string(props,'$.k')::int*0.0005e0 AS lon,
         epoch_us(ts)/600e6 AS tm, event_type='error' AS ended FROM events""",
     "last_fix": """SELECT * FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
         SELECT *, sum(changed) OVER (PARTITION BY session_id ORDER BY tm,event_id ROWS UNBOUNDED PRECEDING) AS ride FROM (SELECT *, coalesce((lag(route_id) OVER s<>route_id OR lag(direction_id) OVER s<>direction_id OR lag(ended) OVER s)::int,0) AS changed FROM positions WHERE tm<=(SELECT min(tm)+4000 FROM positions) WINDOW s AS (PARTITION BY session_id ORDER BY tm,event_id)))
         WINDOW r AS (PARTITION BY session_id,ride ORDER BY tm,event_id)) WHERE n=1 AND NOT ended AND (SELECT min(tm)+4000 FROM positions)-tm<=90""",
-    "undirected": "SELECT u, v, min(d) AS d FROM (SELECT u, v, dist_m AS d FROM edges WHERE dist_m<=700 UNION ALL SELECT v, u, dist_m FROM edges WHERE dist_m<=700) GROUP BY 1,2",
-    "walked0": "SELECT stop_id AS source_id, stop_id, 0e0 AS m FROM stops WHERE stop_id<5",
-    "walked1": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked0 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked0 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
-    "walked2": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked1 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked1 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
-    "walked3": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked2 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked2 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
-    "walked4": "SELECT source_id, stop_id, min(m) AS m FROM (SELECT * FROM walked3 UNION ALL SELECT r.source_id, e.v, r.m+e.d FROM walked3 r JOIN undirected e ON e.u=r.stop_id WHERE r.m+e.d<=1500) GROUP BY 1,2",
     "cards": """SELECT p.route_id, nullif(regexp_replace(route_short_name,'[^0-9]','','g'),'') AS number, route_long_name, route_short_name, vehicle_type, a.stop_name AS first, b.stop_name AS last, len(stops)::int AS stop_count
         FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY direction_id) AS n FROM patterns) p JOIN routes r ON r.route_id=p.route_id JOIN stops a ON a.stop_id=p.stops[1] JOIN stops b ON b.stop_id=p.stops[len(p.stops)] WHERE n=1""",
+    "starts": "SELECT stop_id AS od_id, stop_id FROM stops WHERE stop_id%20=0",
+    "rides_on": "SELECT e.route_id, e.direction_id, e.stop_id AS a, l.stop_id AS b, min(l.t-e.t) AS sec FROM timed e JOIN timed l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos GROUP BY 1,2,3,4",
+    "ways_on": "SELECT a, b, min(first+sec) AS begun, min(later+sec) AS on_sec FROM rides_on x JOIN boards y ON y.route_id=x.route_id AND y.direction_id=x.direction_id GROUP BY 1,2",
+    "reached": """SELECT od_id, b AS stop_id, begun AS cost FROM starts JOIN ways_on ON a=stop_id WHERE b<>od_id
+        UNION SELECT c.od_id, c.stop_id, min(c.cost) AS cost FROM (SELECT r.od_id, x.b AS stop_id, r.cost+x.on_sec AS cost FROM reached r JOIN ways_on x ON x.a=r.stop_id UNION ALL SELECT r.od_id, w.v, r.cost+w.sec FROM reached r JOIN walks w ON w.u=r.stop_id) c
+        LEFT JOIN recurring.reached o ON o.od_id=c.od_id AND o.stop_id=c.stop_id WHERE c.stop_id<>c.od_id AND (o.cost IS NULL OR c.cost<o.cost) GROUP BY 1,2""",
+    "rail_hops": "SELECT e.stop_id AS a, l.stop_id AS b, min(l.pos-e.pos)::double AS hops FROM rail_visits e JOIN rail_visits l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos GROUP BY 1,2",
+    "railed": """SELECT (SELECT min(stop_id) FROM rail_visits) AS od_id, b AS stop_id, hops AS cost FROM rail_hops WHERE a=(SELECT min(stop_id) FROM rail_visits) AND b<>a
+        UNION SELECT c.od_id, c.stop_id, min(c.cost) AS cost FROM (SELECT r.od_id, x.b AS stop_id, r.cost+3+x.hops AS cost FROM railed r JOIN rail_hops x ON x.a=r.stop_id UNION ALL SELECT r.od_id, w.v, r.cost+3 FROM railed r JOIN rail_walks w ON w.u=r.stop_id) c
+        LEFT JOIN recurring.railed o ON o.od_id=c.od_id AND o.stop_id=c.stop_id WHERE c.stop_id<>c.od_id AND (o.cost IS NULL OR c.cost<o.cost) GROUP BY 1,2""",
+    "undirected": "SELECT u, v, min(d) AS d FROM (SELECT u, v, dist_m AS d FROM edges UNION ALL SELECT v, u, dist_m FROM edges) GROUP BY 1,2",
+    "walked": """SELECT stop_id AS source_id, stop_id, 0e0 AS m FROM stops
+        UNION SELECT r.source_id, e.v AS stop_id, min(r.m+e.d) AS m FROM walked r JOIN undirected e ON e.u=r.stop_id LEFT JOIN recurring.walked o ON o.source_id=r.source_id AND o.stop_id=e.v WHERE r.m+e.d<=1500 AND (o.m IS NULL OR r.m+e.d<o.m) GROUP BY 1,2""",
+    "heads_150": _heads(150, "stop_name"),
+    "heads_1000": _heads(1000, "stop_name"),
+    "heads_100": _heads(100, "1"),
+    "merged_1000": _canonical("heads_1000", 1000, "s.stop_name"),
+    "places": "SELECT c_custkey AS point_id, 30.0e0+(c_custkey%97)*0.001e0 AS lat, 31.19e0+(c_custkey%89)*0.001e0 AS lon FROM customer",
+    "raw_near": f"SELECT point_id, stop_id, d, row_number() OVER (PARTITION BY point_id ORDER BY d, stop_id) AS rank FROM (SELECT point_id, stop_id, {_m('p.lat','p.lon','s.lat','s.lon')} AS d FROM places p, stops s) WHERE d<=5000 QUALIFY rank<=100",
+    "good_near": "SELECT *, max(good) OVER (PARTITION BY point_id) AS any_good FROM (SELECT n.*, coalesce(degree>=2,false) AS good FROM raw_near n LEFT JOIN (SELECT u, count(*) AS degree FROM edges GROUP BY 1) e ON e.u=n.stop_id)",
+    "pool": "SELECT point_id, stop_id, d, CASE WHEN point_id%3<>0 THEN d*(1+(point_id+stop_id)%5*0.25e0) ELSE d END AS metres FROM good_near WHERE good OR (NOT any_good AND rank=1) QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, stop_id)<=50",
+    "water": "SELECT * FROM (VALUES (0,30.028e0,31.205e0,30.045e0,31.205e0),(1,30.045e0,31.205e0,30.045e0,31.225e0),(2,30.045e0,31.225e0,30.036e0,31.215e0),(3,30.036e0,31.215e0,30.028e0,31.225e0),(4,30.028e0,31.225e0,30.028e0,31.205e0)) t(edge_id,a_lat,a_lon,b_lat,b_lon)",
+    "far_water": f"SELECT * FROM water w WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s.stop_id%10=0 AND {_m('(a_lat+b_lat)/2','(a_lon+b_lon)/2','s.lat','s.lon')}<=500) AND EXISTS (SELECT 1 FROM stops WHERE stop_id%10=0)",
+    "walk_ends": "SELECT w.u, w.v, a.lat AS p_lat, a.lon AS p_lon, b.lat AS q_lat, b.lon AS q_lon FROM walks w JOIN stops a ON a.stop_id=w.u JOIN stops b ON b.stop_id=w.v",
+    "coming": f"""SELECT t.route_id, t.direction_id, t.stop_id, min(round_even({_m('f.lat','f.lon','s.lat','s.lon')}/CASE WHEN speed BETWEEN 1 AND 25 THEN speed WHEN vehicle_type='metro' THEN 11e0 WHEN vehicle_type IN ('minibus','microbus') THEN 7e0 ELSE 6e0 END,0)::bigint) AS eta_sec
+        FROM last_fix f JOIN routes r ON r.route_id=f.route_id JOIN (SELECT DISTINCT route_id, direction_id, stop_id FROM visits) t ON t.route_id=f.route_id AND t.direction_id=f.direction_id JOIN stops s ON s.stop_id=t.stop_id GROUP BY 1,2,3""",
+    "bends": "SELECT shape_id, seq, lat, lon, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, count(*) OVER (PARTITION BY shape_id) AS n FROM spots WINDOW w AS (PARTITION BY shape_id ORDER BY seq)",
+    "short_walks": "SELECT p.u, p.v, p.dist_m, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2, greatest(3,trunc(p.dist_m/60)::int) AS steps FROM pairs p JOIN stops a ON a.stop_id=p.u JOIN stops b ON b.stop_id=p.v WHERE p.u<p.v AND p.dist_m>0 AND p.dist_m<=500",
+    "samples": "SELECT u, v, i, i=0 OR i=steps AS edge, lat1+(lat2-lat1)*(i/steps) AS lat, lon1+(lon2-lon1)*(i/steps) AS lon FROM (SELECT *, unnest(range(steps+1)) AS i FROM short_walks)",
+    "road_points": "SELECT DISTINCT lat, lon FROM spots",
+    "gaps": "SELECT u, v, i, edge, coalesce(min(sqrt(pow((r.lat-s.lat)*111000e0,2)+pow((r.lon-s.lon)*96000e0,2))),2*0.002e0*111000e0) AS gap FROM samples s LEFT JOIN road_points r ON abs(floor(r.lat/0.002e0)-floor(s.lat/0.002e0))<=2 AND abs(floor(r.lon/0.002e0)-floor(s.lon/0.002e0))<=2 GROUP BY 1,2,3,4",
     "tracks": "SELECT trip_id AS id, seq, lat, lon FROM stop_times s JOIN stops p ON p.stop_id=s.stop_id",
 }
 
@@ -96,8 +131,9 @@ def sql(query: str) -> str:
                 need(PARTS[name])
 
     need(query)
-    parts = [f"{name} AS MATERIALIZED ({PARTS[name]})" for name in PARTS if name in needed]
-    return f"WITH {', '.join(parts)} {query}" if parts else query
+    head = lambda name: f"{name} USING KEY ({KEYS[name]}) AS" if name in KEYS else f"{name} AS MATERIALIZED"
+    parts = [f"{head(name)} ({PARTS[name]})" for name in PARTS if name in needed]
+    return f"WITH RECURSIVE {', '.join(parts)} {query}" if parts else query
 
 
 QUERIES = {
@@ -124,9 +160,9 @@ QUERIES = {
     "cell_representatives": """SELECT cell_x, cell_y, arg_min(stop_id, (off, stop_id)) AS stop_id, count(*) AS stops FROM (SELECT *, pow(lat-(cell_y+0.5e0)*0.01e0,2)+pow(lon-(cell_x+0.5e0)*0.01e0,2) AS off FROM (SELECT *, floor(lon/0.01e0)::bigint AS cell_x, floor(lat/0.01e0)::bigint AS cell_y FROM stops)) GROUP BY 1,2""",
     "pattern_longest": "SELECT route_id, direction_id, trip_id, len(stops)::int AS n, array_to_string(stops,',') AS stops FROM patterns",
     "pattern_variants": """SELECT route_id, direction_id, row_number() OVER (PARTITION BY route_id,direction_id ORDER BY len(stops) DESC, first_trip)::int AS variant, trips, array_to_string(stops,',') AS stops FROM (SELECT route_id, direction_id, stops, min(trip_id) AS first_trip, count(*) AS trips FROM sequences GROUP BY 1,2,3)""",
-    "equivalent_routes": """SELECT journey_id, place, other, direction_id, round(headway_min*10)::bigint AS headway10 FROM (SELECT j.journey_id, o.other, o.direction_id, headway_min, row_number() OVER (PARTITION BY j.journey_id ORDER BY (o.other=j.route_id) DESC, headway_min NULLS LAST, o.other) AS place
+    "equivalent_routes": """SELECT journey_id, place, other, direction_id, eta_sec, same_kind FROM (SELECT *, row_number() OVER (PARTITION BY journey_id ORDER BY (other=route_id) DESC, eta_sec NULLS LAST, same_kind DESC, other) AS place FROM (SELECT j.journey_id, j.route_id, o.other, o.direction_id, c.eta_sec, x.vehicle_type=y.vehicle_type AS same_kind
         FROM (SELECT route_id*2+direction_id AS journey_id, route_id, stops[1] AS board, stops[4] AS alight FROM patterns WHERE len(stops)>=4) j JOIN (SELECT b.route_id AS other, b.stop_id AS board, a.stop_id AS alight, min(b.direction_id) AS direction_id FROM first_visits b JOIN first_visits a ON a.route_id=b.route_id AND a.direction_id=b.direction_id AND b.pos<a.pos GROUP BY 1,2,3) o ON o.board=j.board AND o.alight=j.alight
-        LEFT JOIN headways h ON h.route_id=o.other AND h.direction_id=o.direction_id) WHERE place<=4""",
+        JOIN routes x ON x.route_id=j.route_id JOIN routes y ON y.route_id=o.other LEFT JOIN coming c ON c.route_id=o.other AND c.direction_id=o.direction_id AND c.stop_id=j.board)) WHERE place<=4""",
     "route_towards": """SELECT pair_id, arg_min(stops[len(stops)], direction_id) AS terminus FROM (SELECT route_id AS pair_id, route_id, stops[2] AS f, stops[4] AS s FROM patterns WHERE direction_id=1 AND len(stops)>=4) q JOIN patterns p USING (route_id)
         WHERE list_position(stops,f)>0 AND list_position(stops,s)>list_position(stops,f) GROUP BY 1""",
     "interchange_stations": "SELECT stop_id, count(DISTINCT v.route_id) AS lines, count(DISTINCT vehicle_type) AS modes, count(DISTINCT v.route_id)>1 OR count(DISTINCT vehicle_type)>1 AS interchange FROM visits v JOIN routes r ON r.route_id=v.route_id WHERE rail GROUP BY 1",
@@ -142,7 +178,7 @@ QUERIES |= {
     "gtfs_times": """SELECT trip_id, seq, printf('%02d:%02d:%02d', t//3600, t%3600//60, t%60) AS text, t::int AS sec FROM stop_times""",
     "order_clock": """SELECT event_id, lower(dayname(ts)) AS dow, (hour(ts)*3600+minute(ts)*60+second(ts))::int AS sec, strftime(CASE WHEN date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 9 HOUR>ts+INTERVAL 3 HOUR THEN date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 6 HOUR ELSE date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 30 HOUR END,'%Y-%m-%dT%H:%M:%SZ') AS next,
         CASE WHEN round_even(value,0)>=60 THEN printf('%dh%02dm', round_even(value,0)::bigint//60, round_even(value,0)::bigint%60) ELSE printf('%dm', round_even(value,0)::bigint) END AS text FROM events""",
-    "search_rounds": """SELECT od_id, stop_id, round(cost*10)::bigint AS cost10 FROM reach2""",
+    "search_rounds": "SELECT od_id, stop_id, round(cost*10)::bigint AS cost10 FROM (SELECT od_id, stop_id, cost FROM reached UNION ALL SELECT od_id, stop_id, 0 FROM starts)",
     "shape_lengths": """SELECT shape_id, count(*) AS points, round(max(along))::bigint AS metres FROM spot_along GROUP BY 1""",
     "shape_along": """SELECT shape_id AS query_id, s1<=500 AND s2<=500 AS on_shape, round(CASE WHEN s1<=500 AND s2<=500 THEN abs(a2-a1) ELSE 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat2)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(lat2))*pow(sin((radians(lon2)-radians(lon1))/2),2)))) END)::bigint AS metres FROM (SELECT q.shape_id, lat1, lon1, lat2, lon2, min(d1) AS s1, arg_min(along,(d1,seq)) AS a1, min(d2) AS s2, arg_min(along,(d2,seq)) AS a2 FROM (
         SELECT q.*, p.seq, p.along, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon1))/2),2)))) AS d1, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat2))/2),2)+cos(radians(lat2))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon2))/2),2)))) AS d2 FROM (SELECT shape_id, arg_min(lat,seq) FILTER (seq=2)+0.0001e0 AS lat1, arg_min(lon,seq) FILTER (seq=2)+0.0001e0 AS lon1, arg_max(lat,seq)+0.0002e0 AS lat2, arg_max(lon,seq)+0.0002e0 AS lon2 FROM spots GROUP BY 1 HAVING max(seq)>=3) q JOIN spot_along p USING (shape_id)) q GROUP BY 1,2,3,4,5)""",
@@ -161,18 +197,35 @@ QUERIES |= {
     "route_detail": """SELECT direction_id, variant, variant=1 AS main, pos::int AS pos, v.stop_id, stop_name FROM (SELECT direction_id, variant, unnest(stops) AS stop_id, unnest(range(len(stops))) AS pos FROM (SELECT route_id, direction_id, stops, row_number() OVER (PARTITION BY route_id,direction_id ORDER BY len(stops) DESC, first_trip)::int AS variant FROM (SELECT route_id, direction_id, stops, min(trip_id) AS first_trip FROM sequences GROUP BY 1,2,3)) WHERE route_id=3) v JOIN stops s ON s.stop_id=v.stop_id""",
     "route_cards": """SELECT p.route_id, nullif(regexp_replace(route_short_name,'[^0-9]','','g'),'') AS number, vehicle_type, a.stop_name AS "from", b.stop_name AS "to", len(stops)::int AS stop_count, round(headway_min*10)::bigint AS headway10, reconstructed, CASE WHEN vehicle_type IN ('metro','monorail','lrt','apm','microbus') THEN NULL WHEN agency_id='GRN' THEN 25 WHEN vehicle_type='tram' THEN 0 ELSE 20 END::bigint AS fare
         FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY direction_id) AS n FROM patterns) p JOIN routes r ON r.route_id=p.route_id JOIN stops a ON a.stop_id=p.stops[1] JOIN stops b ON b.stop_id=p.stops[len(p.stops)] LEFT JOIN headways h ON h.route_id=p.route_id AND h.direction_id=p.direction_id WHERE n=1""",
-    "match_contains": """SELECT landmark, stop_id, matched FROM (SELECT l.landmark, n.stop_id, n.k AS matched, row_number() OVER (PARTITION BY l.landmark ORDER BY abs(length(n.k)-length(l.k)), n.k, n.stop_id) AS r FROM (SELECT DISTINCT p_name AS landmark, replace(p_name,' ','') AS k FROM part WHERE p_partkey%7=0) l JOIN (SELECT replace(p_name||p_type,' ','') AS k, min(p_partkey) AS stop_id FROM part GROUP BY 1) n
+    "match_contains": """SELECT landmark, stop_id, matched FROM (SELECT l.landmark, n.stop_id, n.k AS matched, row_number() OVER (PARTITION BY l.landmark ORDER BY abs(length(n.k)-length(l.k)), n.k, n.stop_id) AS r FROM (SELECT DISTINCT p_name AS landmark, replace(p_name,' ','') AS k FROM part) l JOIN (SELECT replace(p_name||p_type,' ','') AS k, min(p_partkey) AS stop_id FROM part GROUP BY 1) n
         ON n.k<>l.k AND length(l.k)>=5 AND length(n.k)>=5 AND (contains(n.k,l.k) OR contains(l.k,n.k)) AND least(length(n.k),length(l.k))/greatest(length(n.k),length(l.k))>=0.45e0) WHERE r=1""",
     "live_active": """SELECT route_id, count(*) AS active FROM last_fix GROUP BY 1""",
-    "rail_plan": """SELECT stop_id, min(cost)::bigint AS cost FROM reach_r2 GROUP BY 1""",
+    "rail_plan": "SELECT stop_id, cost::bigint AS cost FROM (SELECT stop_id, cost FROM railed UNION ALL SELECT min(stop_id), 0 FROM rail_visits)",
     "live_eta": """SELECT session_id, round_even(d/v,0)::bigint AS eta_sec, round_even(d,0)::bigint AS distance_m, round_even((SELECT min(tm)+4000 FROM positions)-tm,0)::bigint AS age_sec FROM (SELECT *, 12742000e0*asin((0e0+sqrt(pow(sin((radians(30.05e0)-radians(lat))/2),2)+cos(radians(lat))*cos(radians(30.05e0))*pow(sin((radians(31.22e0)-radians(lon))/2),2)))) AS d, CASE WHEN speed BETWEEN 1 AND 25 THEN speed WHEN vehicle_type='metro' THEN 11e0 WHEN vehicle_type IN ('minibus','microbus') THEN 7e0 ELSE 6e0 END AS v FROM last_fix f JOIN routes r ON r.route_id=f.route_id)""",
-    "bounded_reach": """SELECT source_id, stop_id, round(m*10)::bigint AS metres10 FROM walked4""",
+    "bounded_reach": "SELECT source_id, stop_id, round(m*10)::bigint AS metres10 FROM walked",
     "route_search": """SELECT route_id, 1 AS rank, number, stop_count FROM cards WHERE vehicle_type='minibus' AND contains(lower(concat_ws(' ',number,route_long_name,first,last,route_short_name)),'1')""",
     "corridor_gates": """SELECT reason, count(*) AS corridors FROM (SELECT id, CASE WHEN id%3=0 AND id%101/100e0>=0.5e0 THEN 'covered' WHEN id%3<>0 AND id%101/100e0>=0.98e0 AND id%2=0 THEN 'duplicate' WHEN id%4<1 THEN 'gap' WHEN n<5 THEN 'few stops' WHEN km/(1+id%9*0.1e0)>0.5e0 AND km/(km/(1+id%9*0.1e0))>1.6e0 THEN 'wanders' WHEN km>80 THEN 'too long' WHEN od>2 AND km/od>3.2e0 THEN 'zigzag'
         WHEN id IN (SELECT a.id FROM tracks a JOIN tracks b ON a.id=b.id AND abs(a.seq-b.seq)>=4 JOIN tracks m ON m.id=a.id AND m.seq>least(a.seq,b.seq) AND m.seq<greatest(a.seq,b.seq) WHERE 12742000e0*asin((0e0+sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2))))<1200 AND 12742000e0*asin((0e0+sqrt(pow(sin((radians(m.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(m.lat))*pow(sin((radians(m.lon)-radians(a.lon))/2),2))))>=3500) THEN 'spur' ELSE 'picked' END AS reason
         FROM (SELECT id, count(*) AS n, coalesce(sum(d),0)/1000 AS km, 12742000e0*asin((0e0+sqrt(pow(sin((radians(arg_max(lat,seq))-radians(arg_min(lat,seq)))/2),2)+cos(radians(arg_min(lat,seq)))*cos(radians(arg_max(lat,seq)))*pow(sin((radians(arg_max(lon,seq))-radians(arg_min(lon,seq)))/2),2))))/1000 AS od FROM (SELECT *, 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER w))/2),2)+cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER w))/2),2)))) AS d FROM tracks WINDOW w AS (PARTITION BY id ORDER BY seq)) GROUP BY 1)) GROUP BY 1""",
     "stops_along_shape": """SELECT shape_id, count(*) AS stops, round(max(off))::bigint AS farthest FROM (SELECT shape_id, stop_id, min(sqrt(pow(px-t*qx,2)+pow(py-t*qy,2))) AS off FROM (SELECT *, CASE WHEN qx*qx+qy*qy>0 THEN least(1e0,greatest(0e0,(px*qx+py*qy)/(qx*qx+qy*qy))) ELSE 0e0 END AS t FROM (
-        SELECT g.shape_id, s.stop_id, (s.lon-g.lon)*cos(radians(s.lat))*111320 AS px, (s.lat-g.lat)*111320e0 AS py, (lon2-g.lon)*cos(radians(s.lat))*111320 AS qx, (lat2-g.lat)*111320e0 AS qy FROM (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM spots WHERE route_id<6 WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) g, stops s WHERE lat2 IS NOT NULL)) GROUP BY 1,2) WHERE off<=120 GROUP BY 1""",
+        SELECT g.shape_id, s.stop_id, (s.lon-g.lon)*cos(radians(s.lat))*111320 AS px, (s.lat-g.lat)*111320e0 AS py, (lon2-g.lon)*cos(radians(s.lat))*111320 AS qx, (lat2-g.lat)*111320e0 AS qy FROM (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM spots WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) g, stops s WHERE lat2 IS NOT NULL)) GROUP BY 1,2) WHERE off<=120 GROUP BY 1""",
+}
+
+QUERIES |= {
+    "stop_clusters": _canonical("heads_150", 150, "s.stop_name"),
+    "grid_clusters": _canonical("heads_100", 100, "1"),
+    "stop_times_canonical": "SELECT canonical_id AS stop_id, count(*) AS visits, count(DISTINCT trip_id) AS trips FROM stop_times s JOIN merged_1000 m ON m.stop_id=s.stop_id GROUP BY 1",
+    "snapped_stops": "SELECT point_id, rank, stop_id, round(metres*10)::bigint AS metres10 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY metres, stop_id)::int AS rank FROM pool) WHERE rank<=3",
+    "nearest_hubs": f"SELECT point_id, arg_min(stop_id, (d, stop_id)) AS stop_id, round(min(d))::bigint AS metres FROM (SELECT point_id, stop_id, {_m('(p.lat+CASE WHEN point_id%10=0 THEN 5e0 ELSE 0e0 END)', 'p.lon', 's.lat', 's.lon')} AS d FROM places p, stops s) GROUP BY 1",
+    "water_crossings": f"SELECT u, v FROM walk_ends w WHERE NOT EXISTS (SELECT 1 FROM (SELECT a_lat, a_lon, b_lat, b_lon FROM far_water) f WHERE {_turn('p', 'a', 'b')}<>{_turn('q', 'a', 'b')} AND {_turn('p', 'q', 'a')}<>{_turn('p', 'q', 'b')})",
+    "route_facts": """SELECT r.route_id, direction_id, nullif(regexp_replace(route_short_name,'[^0-9]','','g'),'') AS number, CASE vehicle_type WHEN 'metro' THEN '#6DA4C2' WHEN 'monorail' THEN '#9C6DC2' WHEN 'lrt' THEN '#4DA89B' WHEN 'tram' THEN '#C2A76D' WHEN 'apm' THEN '#8895A0' WHEN 'minibus' THEN '#D4A373' WHEN 'microbus' THEN '#C77DFF' ELSE '#E29578' END AS colour,
+        CASE WHEN vehicle_type IN ('metro','monorail','lrt','apm','microbus') THEN NULL WHEN agency_id='GRN' THEN 25 WHEN vehicle_type='tram' THEN 0 ELSE 20 END::bigint AS fare, CASE vehicle_type WHEN 'metro' THEN '8:10;15:12;22:15;:20' WHEN 'monorail' THEN '5:20;10:40;15:55;:80' WHEN 'lrt' THEN '3:10;7:15;:20' WHEN 'apm' THEN ':0' END AS bands, first_sec, last_sec, round(headway_min*10)::bigint AS headway10
+        FROM routes r LEFT JOIN (SELECT route_id, min(start_sec) AS first_sec, max(end_sec) AS last_sec FROM windows GROUP BY 1) w ON w.route_id=r.route_id LEFT JOIN headways h ON h.route_id=r.route_id""",
+    "name_frequencies": "SELECT stop_name, count(*) AS n FROM stop_times t JOIN stops s ON s.stop_id=t.stop_id GROUP BY 1",
+    "report_errors": "SELECT CASE WHEN session_id%13=0 THEN 'missing' WHEN lat NOT BETWEEN 22 AND 32 OR lon NOT BETWEEN 24 AND 37 THEN 'outside' ELSE 'taken' END AS error, count(*) AS n FROM (SELECT session_id, CASE WHEN session_id%11=0 THEN lat+10 ELSE lat END AS lat, lon FROM positions) GROUP BY 1",
+    "barrier_flags": "SELECT u, v, round(ends)::bigint AS ends, round(worst)::bigint AS worst FROM (SELECT u, v, max(gap) FILTER (edge) AS ends, max(gap) FILTER (NOT edge) AS worst FROM gaps GROUP BY 1,2) WHERE ends<=150 AND worst>=180 AND worst>=greatest(ends,30e0)*2.5e0",
+    "needle_spikes": f"""SELECT shape_id, n::int AS before, CASE WHEN n>4 THEN len(list_reduce(list([{{'lat':lat,'lon':lon,'nlat':nlat,'nlon':nlon}}] ORDER BY seq) FILTER (nlat IS NOT NULL), lambda acc, x: CASE WHEN {_m('acc[len(acc)].lat', 'acc[len(acc)].lon', 'x[1].lat', 'x[1].lon')}>800 AND {_m('x[1].lat', 'x[1].lon', 'x[1].nlat', 'x[1].nlon')}>800
+        AND {_m('acc[len(acc)].lat', 'acc[len(acc)].lon', 'x[1].nlat', 'x[1].nlon')}<120 THEN acc ELSE list_concat(acc, x) END))+1 ELSE n END::int AS after FROM bends GROUP BY shape_id, n""",
 }
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline import session
@@ -127,9 +128,7 @@ def rail_links(n: Network) -> DataFrame:
 
 @query
 def knn_stops(n: Network) -> DataFrame:
-    k = F.col("c_custkey")
-    points = n._read("customer").select(k.alias("point_id"), (30.0 + (k % 97) * 0.001).alias("lat"), (31.19 + (k % 89) * 0.001).alias("lon"))
-    return spatial.nearest_stops(points, n.stops, 3).select("point_id", "rank", "stop_id", tenths("dist_m").alias("dist10"))
+    return spatial.nearest_stops(_customers(n), n.stops, 3).select("point_id", "rank", "stop_id", tenths("dist_m").alias("dist10"))
 
 
 @query
@@ -160,10 +159,13 @@ def pattern_variants(n: Network) -> DataFrame:
 
 @query
 def equivalent_routes(n: Network) -> DataFrame:
-    p = _patterns(n)
+    p = session.materialize(_patterns(n), "patterns")
     journeys = p.where(F.size("stops") >= 4).select((F.col("route_id") * 2 + F.col("direction_id")).alias("journey_id"), "route_id", F.col("stops")[0].alias("board"), F.col("stops")[3].alias("alight"))
-    found = patterns.equivalent_routes(p, journeys, service.headways(n.frequencies))
-    return found.select("journey_id", "place", "other", "direction_id", tenths("headway_min").alias("headway10"))
+    now = _now(n)
+    at = patterns.pattern_stops(p).select("route_id", "direction_id", "stop_id").distinct().join(n.stops.select("stop_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")), "stop_id")
+    v = live.latest(n.positions, now).join(n.routes.select("route_id", "vehicle_type"), "route_id").join(at, ["route_id", "direction_id"])
+    coming = live.arrivals(v, F.col("s_lat"), F.col("s_lon"), now, F.col("vehicle_type"))
+    return patterns.equivalent_routes(p, journeys, n.routes, coming)
 
 
 @query
@@ -236,21 +238,56 @@ def order_clock(n: Network) -> DataFrame:
 
 @query
 def search_rounds(n: Network) -> DataFrame:
-    """Fastest arrivals at all stops from three origins, with two boardings at most."""
-    p = _patterns(n)
-    timed = search.timed_patterns(p, edges.blended(_edges(n)))
-    boards = search.boardings(p, n.routes, service.headways(n.frequencies), "fastest")
-    origins = n.stops.where("stop_id IN (0, 7, 14)").select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost"))
-    return search.best_by_stop(search.search(timed, boards, spatial.walk_links(n.stops), origins, rounds=2)).select("od_id", "stop_id", tenths("cost").alias("cost10"))
+    """Fastest arrivals at all stops from every twentieth, with as many boardings as it takes."""
+    plan = _planner(n)
+    return search.best_by_stop(plan.search(_origins(n), "fastest")).select("od_id", "stop_id", tenths("cost").alias("cost10"))
+
+@dataclass
+class Planner:
+    """Written tables that searches read in every round."""
+
+    patterns: DataFrame
+    timed: DataFrame
+    routes: DataFrame
+    headways: DataFrame
+    walks: DataFrame
+
+    def search(self, origins: DataFrame, profile: str) -> DataFrame:
+        boards = search.boardings(self.patterns, self.routes, self.headways, profile)
+        return search.search(self.timed, boards, self.walks, origins, walk_times=C.PROFILES[profile][1])
+
+
+def _planner(n: Network) -> Planner:
+    p = session.materialize(_patterns(n), "patterns")
+    # Only pairs of stops that follow each other in a pattern are ridden: other edges need no mean and no median.
+    at = patterns.pattern_stops(p).withColumn("v", F.lead("stop_id").over(Window.partitionBy("route_id", "direction_id").orderBy("pos")))
+    ridden = at.where("v IS NOT NULL").select(F.col("stop_id").alias("u"), "v").distinct()
+    blended = edges.blended(edges.edge_means(_times(n).join(ridden, ["u", "v"], "left_semi")))
+    timed = session.materialize(search.timed_patterns(p, blended), "timed")
+    return Planner(p, timed, n.routes, session.materialize(service.headways(n.frequencies), "headways"), session.materialize(spatial.walk_links(n.stops), "walks"))
+
+
+def _origins(n: Network) -> DataFrame:
+    """The stated set of origins: every stop whose id is divisible by 20."""
+    return n.stops.where("stop_id % 20 = 0").select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost"))
+
+
+def _answers(n: Network, plan: Planner, profile: str) -> DataFrame:
+    return session.materialize(search.best_by_stop(plan.search(_origins(n), profile)).where(F.size("path") > 0), "answers")
 
 
 def _planned(n: Network, profile: str) -> DataFrame:
-    p = _patterns(n)
-    timed, heads = session.materialize(search.timed_patterns(p, edges.blended(_edges(n))), "timed"), service.headways(n.frequencies)
-    boards = search.boardings(p, n.routes, heads, profile)
-    origins = n.stops.where("stop_id IN (0, 7, 14)").select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost"))
-    answers = search.best_by_stop(search.search(timed, boards, spatial.walk_links(n.stops), origins, walk_times=C.PROFILES[profile][1]))
-    return search.itineraries(answers.where(F.size("path") > 0), timed, n.routes, heads)
+    plan = _planner(n)
+    return search.itineraries(_answers(n, plan, profile), plan.timed, n.routes, plan.headways)
+
+
+@query
+def itinerary_steps(n: Network) -> DataFrame:
+    """What to do on each recommended journey, in order."""
+    plan = _planner(n)
+    answers = _answers(n, plan, "recommended")
+    told = search.instructions(search.rides(answers, plan.timed, n.routes, plan.headways), answers)
+    return told.select("od_id", "stop_id", "n", "kind", "route_id", "vehicle_type", "start", "end", "stops", tenths("wait_sec").alias("wait10"), tenths("sec").alias("sec10"), F.round("metres").cast("long").alias("metres"), "fare_egp")
 
 
 @query
@@ -263,25 +300,44 @@ def itinerary_cheapest(n: Network) -> DataFrame:
     return _planned(n, "cheapest")
 
 
-@query
-def rail_plan(n: Network) -> DataFrame:
-    """Fewest hops on rail, three more for each change or walk, from the first station."""
-    p = _patterns(n).join(n.routes.where("rail").select("route_id"), "route_id")
+def _rail(n: Network) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Journeys on rail from the first station, with the fewest hops, three more for each change or walk; and what they need."""
+    p = session.materialize(_patterns(n).join(n.routes.where("rail").select("route_id"), "route_id"), "patterns")
     at = patterns.pattern_stops(p)
-    timed = at.select("route_id", "direction_id", "pos", "stop_id", F.col("pos").cast("double").alias("t"), F.lit(0.0).alias("metres"))
+    timed = session.materialize(at.select("route_id", "direction_id", "pos", "stop_id", F.col("pos").cast("double").alias("t"), F.lit(0.0).alias("metres")), "timed")
     zero = F.lit(0.0)
     boards = p.select("route_id", "direction_id", zero.alias("first"), F.lit(3.0).alias("later"), F.lit(0).alias("bit"), zero.alias("money"), zero.alias("per_metre"))
     stations = at.select("stop_id").distinct()
     walks = spatial.walk_links(n.stops, C.RAIL_WALK_M).join(stations.withColumnRenamed("stop_id", "u"), "u", "left_semi").join(stations.withColumnRenamed("stop_id", "v"), "v", "left_semi").select("u", "v", F.lit(3.0).alias("sec"))
     origin = stations.agg(F.min("stop_id").alias("stop_id")).select(F.lit(0).cast("long").alias("od_id"), "stop_id", zero.alias("cost"))
-    return search.best_by_stop(search.search(timed, boards, walks, origin, rounds=2)).select("stop_id", F.col("cost").cast("long").alias("cost"))
+    return session.materialize(search.best_by_stop(search.search(timed, boards, session.materialize(walks, "walks"), origin)), "answers"), timed, p
+
+
+@query
+def rail_plan(n: Network) -> DataFrame:
+    return _rail(n)[0].select("stop_id", F.col("cost").cast("long").alias("cost"))
+
+
+@query
+def rail_legs(n: Network) -> DataFrame:
+    """Lines of each rail journey, in order, and where and how to change."""
+    answers, timed, p = _rail(n)
+    answers = answers.where(F.size("path") > 0)
+    return search.rail_legs(search.rides(answers, timed, n.routes, service.headways(n.frequencies)), answers, p).drop("od_id")
+
+
+@query
+def rail_fares(n: Network) -> DataFrame:
+    """The ticket of each mode of each rail journey."""
+    answers, timed, _ = _rail(n)
+    return search.fare_breakdown(search.rides(answers.where(F.size("path") > 0), timed, n.routes, service.headways(n.frequencies))).drop("od_id")
 
 
 @query
 def bounded_reach(n: Network) -> DataFrame:
-    sources = n.stops.where("stop_id < 5").select(F.col("stop_id").alias("source_id"), "stop_id")
-    links = _edges(n).where("dist_m <= 700").select("u", "v", "dist_m")
-    return search.bounded_reach(links, sources, 1500.0, 4).select("source_id", "stop_id", tenths("metres").alias("metres10"))
+    """Metres from every stop along known edges to all that lies within 1,500."""
+    sources = n.stops.select(F.col("stop_id").alias("source_id"), "stop_id")
+    return search.bounded_reach(_edges(n).select("u", "v", "dist_m"), sources, 1500.0).select("source_id", "stop_id", tenths("metres").alias("metres10"))
 
 
 @query
@@ -320,13 +376,12 @@ def spur_detect(n: Network) -> DataFrame:
 def needle_spikes(n: Network) -> DataFrame:
     lines = n.shape_points.groupBy("shape_id").agg(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
     points = F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
-    return lines.select("shape_id", F.size("p").alias("before"), F.size(shapes.without_needles(points, 800.0, 400.0)).alias("after"))
+    return lines.select("shape_id", F.size("p").alias("before"), F.size(shapes.without_needles(points)).alias("after"))
 
 
 @query
 def stops_along_shape(n: Network) -> DataFrame:
-    line = n.shape_points.where("route_id < 6").select("shape_id", "seq", "lat", "lon")
-    return shapes.stops_along(line, n.stops).groupBy("shape_id").agg(F.count("*").alias("stops"), F.round(F.max("off")).cast("long").alias("farthest"))
+    return shapes.stops_along(n.shape_points.select("shape_id", "seq", "lat", "lon"), n.stops).groupBy("shape_id").agg(F.count("*").alias("stops"), F.round(F.max("off")).cast("long").alias("farthest"))
 
 
 @query
@@ -370,7 +425,7 @@ def route_detail(n: Network) -> DataFrame:
 @query
 def match_contains(n: Network) -> DataFrame:
     """Part names as landmarks, set against names of stops made of parts' names and brands."""
-    marks = n._read("part").where("p_partkey % 7 = 0").select(F.col("p_name").alias("landmark")).distinct().withColumn("key", text.normalise(F.col("landmark")))
+    marks = n._read("part").select(F.col("p_name").alias("landmark")).distinct().withColumn("key", text.normalise(F.col("landmark")))
     names = n._read("part").select(F.col("p_partkey").alias("stop_id"), text.normalise(F.concat_ws(" ", "p_name", "p_type")).alias("key")).distinct()
     return matching.contains_match(marks, names).select("landmark", "stop_id", "matched")
 
@@ -384,7 +439,7 @@ def match_fuzzy(n: Network) -> DataFrame:
 
 @query
 def match_cascade(n: Network) -> DataFrame:
-    stops = n._read("part").where("p_partkey < 200").select(F.col("p_partkey").alias("stop_id"), F.lit(None).cast("string").alias("name_ar"), F.concat_ws(" ", "p_name", F.concat(F.lit("("), "p_brand", F.lit(")"))).alias("name_en"))
+    stops = n._read("part").select(F.col("p_partkey").alias("stop_id"), F.lit(None).cast("string").alias("name_ar"), F.concat_ws(" ", "p_name", F.concat(F.lit("("), "p_brand", F.lit(")"))).alias("name_en"))
     marks = n._read("part").select(F.col("p_name").alias("landmark")).union(n._read("part").select("p_brand")).distinct()
     return matching.cascade(marks, stops).select("landmark", "how", F.size("candidates").alias("candidates"))
 
@@ -410,10 +465,22 @@ def hop_apportioned(n: Network) -> DataFrame:
     return reconstruct.apportioned(line).select("line", "direction_id", "pos", "hop_sec")
 
 
+def _candidates(n: Network) -> DataFrame:
+    """Each trip as a corridor, with two stops for each landmark."""
+    return n.stop_times.join(n.stops, "stop_id").select(F.col("trip_id").alias("corridor_id"), ((F.col("seq") - 1) / 2).cast("int").alias("pos"), F.col("seq").alias("rank"), "stop_id", "lat", "lon")
+
+
 @query
 def corridor_anchors(n: Network) -> DataFrame:
-    c = n.stop_times.join(n.stops, "stop_id").where("trip_id % 10 = 0").select(F.col("trip_id").alias("corridor_id"), ((F.col("seq") - 1) / 2).cast("int").alias("pos"), F.col("seq").alias("rank"), "stop_id", "lat", "lon")
-    return reconstruct.anchors(c)
+    return reconstruct.anchors(_candidates(n))
+
+
+@query
+def corridors_rebuilt(n: Network) -> DataFrame:
+    """Corridors put together along known edges, between the stops chosen for their landmarks."""
+    c = session.materialize(_candidates(n), "candidates")
+    found = reconstruct.rebuilt(reconstruct.connected(reconstruct.anchors(c), c, _edges(n).select("u", "v", "dist_m"), n.stops))
+    return found.select("corridor_id", "segments", "connected", "siblings", F.size("stops").alias("stops"), F.round("unconnected_m").cast("long").alias("unconnected_m"), F.round("chain_m").cast("long").alias("chain_m"))
 
 
 @query
@@ -443,8 +510,7 @@ def ab_compare(n: Network) -> DataFrame:
 @query
 def barrier_flags(n: Network) -> DataFrame:
     pairs = spatial.near_pairs(spatial._side(n.stops, 1), spatial._side(n.stops, 2), C.WALK_M).where("id1 < id2 AND dist_m > 0").withColumnsRenamed({"id1": "u", "id2": "v"})
-    road = n.stops.where("stop_id % 3 <> 0")
-    return audits.barriers(pairs, road).select("u", "v", F.round("ends").cast("long").alias("ends"), F.round("worst").cast("long").alias("worst"))
+    return audits.barriers(pairs, n.shape_points.select("lat", "lon")).select("u", "v", F.round("ends").cast("long").alias("ends"), F.round("worst").cast("long").alias("worst"))
 
 
 @query
@@ -461,11 +527,74 @@ def bbox_errors(n: Network) -> DataFrame:
 
 @query
 def journey_plan(n: Network) -> DataFrame:
-    """Options for requests between places on both sides of the network, on a Wednesday at nine."""
-    p = session.materialize(_patterns(n), "patterns")
-    timed = session.materialize(search.timed_patterns(p, edges.blended(_edges(n))), "timed")
-    model = journey.Model(n.stops, n.routes, p, timed, session.materialize(service.headways(n.frequencies), "headways"), session.materialize(spatial.walk_links(n.stops), "walks"))
+    """Options for every twentieth customer's request between places on both sides of the network, on a Wednesday at nine."""
+    plan = _planner(n)
+    model = journey.Model(n.stops, n.routes, plan.patterns, plan.timed, plan.headways, plan.walks)
     k = F.col("c_custkey")
-    wanted = n._read("customer").where(k < 12).select(k.alias("od_id"), (30.02 + (k % 7) * 0.004).alias("lat1"), (31.20 + (k % 5) * 0.006).alias("lon1"), (30.02 + (k % 3) * 0.2).alias("lat2"), (31.235 - (k % 4) * 0.002).alias("lon2"))
+    wanted = n._read("customer").where(k % 20 == 0).select(k.alias("od_id"), (30.02 + (k % 7) * 0.004).alias("lat1"), (31.20 + (k % 5) * 0.006).alias("lon1"), (30.02 + (k % 3) * 0.2).alias("lat2"), (31.235 - (k % 4) * 0.002).alias("lon2"))
     found = journey.plan(model, wanted, service.service_windows(n.frequencies), service.inactive_on(n.trips, n.calendar, "wednesday"), 9 * 3600)
     return found.select("od_id", "n", "kind", "boardings", "minutes", "metres", "fare", F.array_join(F.col("routes").cast("array<string>"), ",").alias("routes"), "reason")
+
+
+def _customers(n: Network) -> DataFrame:
+    k = F.col("c_custkey")
+    return n._read("customer").select(k.alias("point_id"), (30.0 + (k % 97) * 0.001).alias("lat"), (31.19 + (k % 89) * 0.001).alias("lon"))
+
+
+@query
+def snapped_stops(n: Network) -> DataFrame:
+    """The three stops nearest on foot to each customer, of those with two edges or more, by a table of walks."""
+    near = session.materialize(spatial.snap_candidates(_customers(n), n.stops, spatial.out_degrees(_edges(n))), "candidates")
+    walked = near.where("point_id % 3 <> 0").select("point_id", "stop_id", (F.col("dist_m") * (1 + (F.col("point_id") + F.col("stop_id")) % 5 * 0.25)).alias("distance_m"))
+    return spatial.reranked(near, walked, 3).select("point_id", "rank", "stop_id", tenths("metres").alias("metres10"))
+
+
+@query
+def nearest_hubs(n: Network) -> DataFrame:
+    """The nearest stop to each customer, however far: some live hundreds of kilometres away."""
+    far = _customers(n).withColumn("lat", F.col("lat") + F.when(F.col("point_id") % 10 == 0, 5.0).otherwise(0.0))
+    return spatial.nearest_anywhere(far, n.stops).select("point_id", "stop_id", F.round("dist_m").cast("long").alias("metres"))
+
+
+@query
+def stop_times_canonical(n: Network) -> DataFrame:
+    """Stop times with merged stops in the place of those that were merged into them."""
+    rows = spatial.canonical(n.stop_times, spatial.cluster_same_names(n.stops, 1000.0), "stop_id")
+    return rows.groupBy("stop_id").agg(F.count("*").alias("visits"), F.countDistinct("trip_id").alias("trips"))
+
+
+def _water(n: Network) -> DataFrame:
+    return n.spark.createDataFrame(spatial.polygon_edges(WATER), "edge_id long, a_lat double, a_lon double, b_lat double, b_lon double")
+
+
+@query
+def water_crossings(n: Network) -> DataFrame:
+    """Walking links that stay when those are left out that cross water more than 500 m from every tenth stop."""
+    links = session.materialize(spatial.walk_links(n.stops), "walks")
+    return spatial.dry_links(links, n.stops, _water(n), n.stops.where("stop_id % 10 = 0").select("lat", "lon")).select("u", "v")
+
+
+@query
+def bridge_places(n: Network) -> DataFrame:
+    """Bridges, from where shapes cross the water's border."""
+    found = spatial.bridges(shapes.flips(n.shape_points, WATER, (30.0, 31.19, 30.06, 31.25)))
+    return found.select(F.round(F.col("lat") * 1e5).cast("long").alias("lat5"), F.round(F.col("lon") * 1e5).cast("long").alias("lon5"), "crossings")
+
+
+@query
+def route_facts(n: Network) -> DataFrame:
+    f = browse.route_facts(n.routes, service.service_windows(n.frequencies), service.headways(n.frequencies))
+    bands = F.array_join(F.transform("bands", lambda b: F.concat_ws(":", F.coalesce(b["up_to_stops"].cast("string"), F.lit("")), b["fare_egp"])), ";")
+    return f.select("route_id", "direction_id", "number", "colour", F.col("fare").cast("long").alias("fare"), bands.alias("bands"), "first_sec", "last_sec", tenths("headway_min").alias("headway10"))
+
+
+@query
+def name_frequencies(n: Network) -> DataFrame:
+    return audits.frequency_order(n.stop_times.join(n.stops, "stop_id"), "stop_name")
+
+
+@query
+def report_errors(n: Network) -> DataFrame:
+    """Why reports of vehicles are not taken."""
+    odd = n.positions.withColumns({"lat": F.when(F.col("session_id") % 11 == 0, F.col("lat") + 10).otherwise(F.col("lat")), "lon": F.when(F.col("session_id") % 13 == 0, None).otherwise(F.col("lon"))})
+    return live.report_errors(odd).groupBy(F.coalesce("error", F.lit("taken")).alias("error")).agg(F.count("*").alias("n"))

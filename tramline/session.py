@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,12 +16,20 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir. Where that is unset (tests, one machine), under a temporary folder."""
+    """A new path under spark.checkpoint.dir, in a folder of this application's own, which may go when it has ended.
+
+    Where the setting is missing on one machine (tests), a temporary folder stands in until Python exits. On a cluster,
+    executors would not share such a folder, so it is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        _own["dir"] = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _own:
+            _own["dir"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
+        base = _own["dir"]
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

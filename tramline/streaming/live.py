@@ -44,6 +44,21 @@ def arrivals(vehicles: DataFrame, lat: Column, lon: Column, now: float, vehicle_
     return vehicles.withColumns({"eta_sec": F.bround(metres / speed).cast("long"), "distance_m": F.bround(metres).cast("long"), "reported_speed": F.bround("speed", 1), "age_sec": F.bround(F.lit(now) - F.col("at")).cast("long")})
 
 
+def next_arrivals(arriving: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Arrivals of each key, the soonest first (n); those without a figure come last."""
+    order = Window.partitionBy(key).orderBy(F.col("eta_sec").asc_nulls_last(), "session_id")
+    numbered = arriving.withColumn("n", F.row_number().over(order))
+    return numbered if most is None else numbered.where(F.col("n") <= most)
+
+
+def report_errors(reports: DataFrame) -> DataFrame:
+    """reports with error: why one is not taken (missing, outside, time), or null."""
+    lat, lon = F.col("lat"), F.col("lon")
+    missing = F.col("session_id").isNull() | F.col("route_id").isNull() | lat.isNull() | lon.isNull()
+    outside = ~lat.between(22.0, 32.0) | ~lon.between(24.0, 37.0)
+    return reports.withColumn("error", F.when(missing, "missing").when(outside, "outside").when(F.col("at").isNull(), "time"))
+
+
 class Sessions(StatefulProcessor):
     """Keeps a session's last fixes; a new route starts anew, an end or a time without fixes clears it."""
 
