@@ -141,15 +141,15 @@ def test_search_and_itinerary(spark):
     origins = spark.createDataFrame([(0, 2, 0.0)], "od_id long, stop_id long, cost double")
     walks = spatial.walk_links(stops)
     at_start = spark.createDataFrame([(0, 1, 0.0)], "od_id long, stop_id long, cost double")
-    answers = search.best_by_stop(search.search(timed, search.boardings(p, routes, heads, "fastest"), walks, at_start, 2))
+    answers = search.best_by_stop(search.search(timed, search.boardings(p, routes, heads, "fastest"), walks, at_start))
     best = {r.stop_id: r for r in answers.collect()}
     ride = {(r.route_id, r.stop_id): r.t for r in timed.collect()}
     assert abs(best[5].cost - (120.0 + ride[1, 5])) < 1e-6 and best[5].path[0].route_id == 1
     told = search.itineraries(answers.where("stop_id = 5"), timed, routes, heads).first()
     assert (told.boardings, told.fare) == (1, 20) and told.minutes == -(-(120 + ride[1, 5]) // 60)
-    cheap = search.best_by_stop(search.search(timed, search.boardings(p, routes, heads, "cheapest"), walks, at_start, 2)).where("stop_id = 5").first()
+    cheap = search.best_by_stop(search.search(timed, search.boardings(p, routes, heads, "cheapest"), walks, at_start)).where("stop_id = 5").first()
     assert cheap.cost >= best[5].cost
-    assert search.search(timed, search.boardings(p, routes, heads, "fastest"), walks, origins, 1).where("size(path) > 0").count() == 0
+    assert search.search(timed, search.boardings(p, routes, heads, "fastest"), walks, origins).where("size(path) > 0").count() == 0
 
 
 def test_search_goes_on_until_nothing_improves(spark):
@@ -289,6 +289,18 @@ def test_fares_colours_and_modes_shown(spark):
     assert values(spark, [(30.0, 31.123456, 30.5, 31.1)], "a double, b double, c double, d double", text.place_key(*map(F.col, "abcd"))) == [("30.0,31.12346;30.5,31.1",)]
 
 
+def test_segments_start_and_end_at_their_places(spark):
+    points = shapes.measured(spark.createDataFrame([("s", k, 30.0 + 0.01 * k, 31.0) for k in range(6)] + [("t", 0, 30.0, 31.0), ("t", 1, 30.0, 31.5)], "shape_id string, seq int, lat double, lon double"))
+    rows = [(1, "s", 30.01, 31.0, 30.0301, 31.001), (2, "s", 30.0302, 31.0, 30.01, 31.00001), (3, "s", 30.01, 31.1, 30.03, 31.0), (4, "s", 30.01, 31.0, 30.0101, 31.0), (5, "none", 30.0, 31.0, 30.1, 31.0)]
+    got = shapes.segment_between(spark.createDataFrame(rows, "query_id long, shape_id string, lat1 double, lon1 double, lat2 double, lon2 double"), points)
+    lines = {}
+    for r in got.orderBy("query_id", "n").collect():
+        lines.setdefault(r.query_id, []).append((round(r.lat, 5), round(r.lon, 5)))
+    assert lines[1] == [(30.01, 31.0), (30.02, 31.0), (30.03, 31.0), (30.0301, 31.001)]
+    assert lines[2] == [(30.0302, 31.0), (30.03, 31.0), (30.02, 31.0), (30.01, 31.00001)]
+    assert all(len(lines[k]) == 2 for k in (3, 4, 5))
+
+
 def test_corridors_are_joined_by_edges_siblings_roads_or_not(spark):
     frame = spark.createDataFrame
     stops = frame([(k, 30.0, 31.0 + 0.01 * k) for k in range(8)] + [(13, 30.002, 31.03), (20, 30.0, 31.0451), (21, 30.0, 31.0549)], "stop_id long, lat double, lon double")
@@ -413,12 +425,12 @@ def test_avoided_routes_cost_more(spark):
     p = patterns.longest(patterns.sequences(times, trips))
     timed, heads = search.timed_patterns(p, all_edges), spark.createDataFrame([(1, 0, 4.0)], "route_id long, direction_id int, headway_min double")
     boards, start = search.boardings(p, routes, heads, "fastest"), spark.createDataFrame([(0, 1, 0.0)], "od_id long, stop_id long, cost double")
-    one = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, 1)).where("stop_id = 5").first()
+    one = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start)).where("stop_id = 5").first()
     avoid = spark.createDataFrame([(0, one.path[0].route_id)], "od_id long, route_id long")
-    two = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, 1, avoid=avoid)).where("stop_id = 5").first()
+    two = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, avoid=avoid)).where("stop_id = 5").first()
     assert two.path[0].route_id != one.path[0].route_id and two.cost > one.cost
     everywhere = spark.createDataFrame([(0, k) for k in (1, 2, 3, 4)], "od_id long, route_id long")
-    all_shunned = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, 1, avoid=everywhere)).where("stop_id = 5").first()
+    all_shunned = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, avoid=everywhere)).where("stop_id = 5").first()
     assert abs(all_shunned.cost - one.cost - 1800 - 3 * 300) < 1e-6
 
 

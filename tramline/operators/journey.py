@@ -51,7 +51,7 @@ def _searched(model: Model, start: DataFrame, exits: DataFrame, profile: str, ki
     seconds = lambda c: F.greatest(F.col(c) / C.WALK_SPEED, F.lit(10.0)) * times
     origins = start.select(F.col("point_id").alias("od_id"), "stop_id", seconds("dist_m").alias("cost"))
     boards = search.boardings(model.patterns, model.routes, model.headways, profile, min_transfers)
-    reach = search.best_by_stop(search.search(model.timed, boards, model.walks, origins, None, times, avoid)).where(F.size("path") > 0)
+    reach = search.best_by_stop(search.search(model.timed, boards, model.walks, origins, times, avoid)).where(F.size("path") > 0)
     left = exits.select(F.col("point_id").alias("od_id"), "stop_id", F.col("dist_m").alias("end_m"))
     total = (F.col("cost") + seconds("end_m")).alias("total")
     best = reach.join(left, ["od_id", "stop_id"]).groupBy("od_id").agg(F.min(F.struct(total, "stop_id", "end_m", "path")).alias("b")).select("od_id", "b.*")

@@ -61,6 +61,15 @@ def stations(patterns: DataFrame, routes: DataFrame) -> DataFrame:
     return listed.withColumn("interchange", (F.col("lines") > 1) | (F.col("modes") > 1))
 
 
+def station_list(patterns: DataFrame, routes: DataFrame, stops: DataFrame, modes: tuple[str, ...] | None = None) -> DataFrame:
+    """Rail stations by name, with their lines and modes; of some modes only, if any are named."""
+    rail = routes.where("rail") if modes is None else routes.where(F.col("rail") & F.col("vehicle_type").isin(*modes))
+    served = pattern_stops(patterns).join(rail.select("route_id", "vehicle_type"), "route_id")
+    listed = served.groupBy("stop_id").agg(F.sort_array(F.collect_set("route_id")).alias("lines"), F.sort_array(F.collect_set("vehicle_type")).alias("modes"))
+    named = listed.join(stops.select("stop_id", F.col("stop_name").alias("name"), "lat", "lon"), "stop_id")
+    return named.withColumn("interchange", (F.size("lines") > 1) | (F.size("modes") > 1)).orderBy("name", "stop_id")
+
+
 def stop_sets(patterns: DataFrame) -> DataFrame:
     return pattern_stops(patterns).select("route_id", "stop_id").distinct()
 

@@ -221,6 +221,7 @@ QUERIES |= {
     "route_facts": """SELECT r.route_id, direction_id, nullif(regexp_replace(route_short_name,'[^0-9]','','g'),'') AS number, CASE vehicle_type WHEN 'metro' THEN '#6DA4C2' WHEN 'monorail' THEN '#9C6DC2' WHEN 'lrt' THEN '#4DA89B' WHEN 'tram' THEN '#C2A76D' WHEN 'apm' THEN '#8895A0' WHEN 'minibus' THEN '#D4A373' WHEN 'microbus' THEN '#C77DFF' ELSE '#E29578' END AS colour,
         CASE WHEN vehicle_type IN ('metro','monorail','lrt','apm','microbus') THEN NULL WHEN agency_id='GRN' THEN 25 WHEN vehicle_type='tram' THEN 0 ELSE 20 END::bigint AS fare, CASE vehicle_type WHEN 'metro' THEN '8:10;15:12;22:15;:20' WHEN 'monorail' THEN '5:20;10:40;15:55;:80' WHEN 'lrt' THEN '3:10;7:15;:20' WHEN 'apm' THEN ':0' END AS bands, first_sec, last_sec, round(headway_min*10)::bigint AS headway10
         FROM routes r LEFT JOIN (SELECT route_id, min(start_sec) AS first_sec, max(end_sec) AS last_sec FROM windows GROUP BY 1) w ON w.route_id=r.route_id LEFT JOIN headways h ON h.route_id=r.route_id""",
+    "station_list": "SELECT v.stop_id, stop_name AS name, array_to_string(list_sort(list(DISTINCT v.route_id)),',') AS lines, array_to_string(list_sort(list(DISTINCT vehicle_type)),',') AS modes, count(DISTINCT v.route_id)>1 OR count(DISTINCT vehicle_type)>1 AS interchange FROM visits v JOIN routes r ON r.route_id=v.route_id JOIN stops s ON s.stop_id=v.stop_id WHERE vehicle_type IN ('metro','tram') GROUP BY 1,2",
     "name_frequencies": "SELECT stop_name, count(*) AS n FROM stop_times t JOIN stops s ON s.stop_id=t.stop_id GROUP BY 1",
     "report_errors": "SELECT CASE WHEN session_id%13=0 THEN 'missing' WHEN lat NOT BETWEEN 22 AND 32 OR lon NOT BETWEEN 24 AND 37 THEN 'outside' ELSE 'taken' END AS error, count(*) AS n FROM (SELECT session_id, CASE WHEN session_id%11=0 THEN lat+10 ELSE lat END AS lat, lon FROM positions) GROUP BY 1",
     "barrier_flags": "SELECT u, v, round(ends)::bigint AS ends, round(worst)::bigint AS worst FROM (SELECT u, v, max(gap) FILTER (edge) AS ends, max(gap) FILTER (NOT edge) AS worst FROM gaps GROUP BY 1,2) WHERE ends<=150 AND worst>=180 AND worst>=greatest(ends,30e0)*2.5e0",

@@ -180,6 +180,13 @@ def interchange_stations(n: Network) -> DataFrame:
     return patterns.stations(_patterns(n), n.routes)
 
 
+@query
+def station_list(n: Network) -> DataFrame:
+    found = patterns.station_list(_patterns(n), n.routes, n.stops, ("metro", "tram"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("stop_id", "name", text("lines"), text("modes"), "interchange")
+
+
 @query
 def coverage_overlap(n: Network) -> DataFrame:
     corridors = n.stop_times.select(F.col("trip_id").alias("corridor_id"), "stop_id").distinct()
@@ -355,6 +362,17 @@ def shape_along(n: Network) -> DataFrame:
     return shapes.distance_along(trips, s.select("shape_id", "seq", "lat", "lon", "along")).select("query_id", "on_shape", F.round("metres").cast("long").alias("metres"))
 
 
+@query
+def shape_segments(n: Network) -> DataFrame:
+    """Lines along each shape between places beside its second and last points, as numbers of points and metres."""
+    s = shapes.measured(n.shape_points).select("shape_id", "seq", "lat", "lon", "along")
+    ends = s.groupBy("shape_id").agg(F.max("seq").alias("last")).where("last >= 3")
+    pick = lambda k, seq, d: s.join(ends, "shape_id").where(F.col("seq") == seq).select("shape_id", (F.col("lat") + d).alias(f"lat{k}"), (F.col("lon") + d).alias(f"lon{k}"))
+    trips = pick(1, F.lit(2), 0.00001).join(pick(2, F.col("last"), 0.0002), "shape_id").withColumn("query_id", F.col("shape_id"))
+    line = shapes.segment_between(trips, s).select(F.col("query_id").alias("shape_id"), F.col("n").alias("seq"), "lat", "lon")
+    return shapes.measured(line).groupBy("shape_id").agg(F.count("*").alias("points"), F.round(F.max("along")).cast("long").alias("metres"))
+
+
 @query
 def boundary_flips(n: Network) -> DataFrame:
     f = shapes.flips(n.shape_points, WATER, (30.0, 31.19, 30.06, 31.25))
