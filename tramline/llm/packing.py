@@ -48,17 +48,23 @@ class RoomTree:
         return found
 
 
-def pack(sizes: list[int], room: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length) that hold all ids of documents of these sizes."""
-    full = [[(d, at, room)] for d, n in enumerate(sizes) for at in range(0, n - room + 1, room)]
-    rests = sorted(((n % room, d) for d, n in enumerate(sizes) if n % room), key=lambda x: (-x[0], x[1]))
+def first_fit(rests: list[tuple[int, int]], room: int) -> list[list[int]]:
+    """Which of the rests (size, document), in their order, lie in each sequence: each in the first with room for it."""
     tree, open_ = RoomTree(max(1, len(rests)), room), []
     for n, d in rests:
         k = tree.take(n)
         if k == len(open_):
             open_.append([])
-        open_[k].append((d, sizes[d] - n, n))
-    return full + _filled(open_, room)
+        open_[k].append(d)
+    return open_
+
+
+def pack(sizes: list[int], room: int) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length) that hold all ids of documents of these sizes."""
+    full = [[(d, at, room)] for d, n in enumerate(sizes) for at in range(0, n - room + 1, room)]
+    rests = sorted(((n % room, d) for d, n in enumerate(sizes) if n % room), key=lambda x: (-x[0], x[1]))
+    placed = [[(d, sizes[d] - sizes[d] % room, sizes[d] % room) for d in s] for s in first_fit(rests, room)]
+    return full + _filled(placed, room)
 
 
 def _filled(open_: list[list[tuple[int, int, int]]], room: int) -> list[list[tuple[int, int, int]]]:
@@ -79,6 +85,8 @@ def _filled(open_: list[list[tuple[int, int, int]]], room: int) -> list[list[tup
             if n > part:
                 source.append((d, start, n - part))
             gap -= part
+        if gap:  # it is the last one
+            break
         done.append(target)
         lo += 1
     last = [p for k in order[lo : hi + 1] for p in open_[k]]
