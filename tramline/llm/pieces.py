@@ -34,7 +34,8 @@ from tramline.llm.tokens import _Index, kept
 LONG = 40
 #: A turn that no agenda reaches.
 NEVER = 1 << 40
-SPACE, ESCAPED = "▁", ""  # the latter stands for a SPACE that the text itself holds, and only then
+#: The sign for a space, and what stands for that sign where a text itself holds it: half a pair, which no text holds.
+SPACE, ESCAPED = "▁", "\ud800"
 _MASK = (1 << 64) - 1
 
 
@@ -258,10 +259,7 @@ class PieceCodec:
             self._clear()
         get, numbers, keys, long = self.index.__getitem__, [], [], {}
         for number, text in docs:
-            if ESCAPED in text:  # then the sign can't stand for another, and a text is encoded by itself
-                chunks = []
-            else:
-                chunks = self.stretches(text) if text else []
+            chunks = self.stretches(text) if text else []
             if max(map(len, chunks), default=0) > LONG:
                 first = sum(map(len, numbers))
                 long |= {first + k: c for k, c in enumerate(chunks) if len(c) > LONG}
@@ -306,16 +304,8 @@ class PieceCodec:
         ends = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
         offsets = ends[np.cumsum([0, *map(len, numbers)])]
-        spelt = {k: [*self.bytes_of(t)] for k, (_, t) in enumerate(docs) if ESCAPED in t}
-        if spelt:
-            parts = [np.array(spelt[k], np.int32) if k in spelt else flat[offsets[k] : offsets[k + 1]] for k in range(len(docs))]
-            flat, offsets = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         return flat, offsets
 
-    def bytes_of(self, text: str) -> list[int]:
-        return [self.bytes[b] for b in b" " + text.encode()]
-
-
 
 def piece_texts(path: str) -> list[bytes]:
     """What each piece stands for in a text."""
