@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tramline.session import materialize
 
-#: Vectors that the index is fitted on, and sampled queries that set how many lists are visited.
-SAMPLE, SAMPLE_QUERIES = 1 << 14, 256
+#: Vectors that the index is fitted on (16 for each list, between these bounds), and sampled queries that set how many
+#: lists are visited.
+SAMPLE, MOST_SAMPLE, SAMPLE_QUERIES = 1 << 14, 1 << 18, 256
 #: Share of the sample's true neighbours that visited lists must hold.
 PROBED = 0.97
 #: Vectors and queries in a unit of work, and vectors of a unit scored exactly for a query.
@@ -114,6 +115,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None
     few = few.where(F.col("place") <= k + 1).withColumn("place", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     entries = materialize(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     total = entries.count()
+    sample = min(max(sample, 16 * round(total**0.5)), MOST_SAMPLE)
     drawn = _matrix(entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toArrow().column("embedding").combine_chunks(), dim)
     lists = lists or max(1, min(round(total**0.5), len(drawn) // 16))
     index = Index(drawn, lists, k)
@@ -128,22 +130,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None
     element = rows.schema["embedding"].dataType.simpleString()
     coded = materialize(entries.mapInArrow(encode, f"list int, code binary, embedding {element}, ids array<long>"), "coded")
     # One row for each list. Small lists share a unit, in order; a large one has units of its own.
-    first, parts, unit, room = {}, {}, -1, 0
+    first, parts, held_by, unit, room = {}, {}, {}, -1, 0
     for r in coded.groupBy("list").count().orderBy("list").collect():
-        n = -(-r["count"] // UNIT)
+        n, held_by[r["list"]] = -(-r["count"] // UNIT), r["count"]
         if n > 1 or r["count"] > room:
             unit, room = unit + 1, UNIT
         first[r["list"]], parts[r["list"]] = unit, n
         unit, room = unit + n - 1, room - r["count"] if n == 1 else 0
     units = unit + 1
-    firsts, counts = (np.array([d.get(x, 0) for x in range(lists)], np.int64) for d in (first, parts))
+    firsts, counts, sizes = (np.array([d.get(x, 0) for x in range(lists)], np.int64) for d in (first, parts, held_by))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            chosen = model.order(_matrix(batch.column("embedding"), dim))[:, : model.probes]
+            chosen = model.order(_matrix(batch.column("embedding"), dim))
             where, to, which = [], [], []
             for q, row in enumerate(chosen):
+                # More lists than usual, where the usual ones hold too few vectors.
+                row = row[: max(model.probes, int(np.searchsorted(np.cumsum(sizes[row]), k + 1)) + 1)]
                 row = row[counts[row] > 0]
                 at = np.repeat(firsts[row], counts[row]) + np.arange(counts[row].sum()) - np.repeat(np.cumsum(counts[row]) - counts[row], counts[row])
                 by = np.repeat(row, counts[row])
