@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("tramline.llm")
 
 from tramline.llm import exact_dedup, neighbours, quality, simhash, substring, token_counts, token_files, toxicity  # noqa: E402
-from tramline.llm.packing import RoomTree, pack, pack_documents  # noqa: E402
+from tramline.llm.packing import RoomTree, first_fit, pack, pack_documents  # noqa: E402
 from tramline.llm.pieces import PieceCodec, decode, decode_pieces, encode_pieces, piece_texts  # noqa: E402
 from tramline.llm.tokens import WordEncoder, tokenizer_path  # noqa: E402
 
@@ -28,7 +28,7 @@ CLASH = ("x",) * 8
 
 def odd_texts(n: int, seed: int = 1) -> list[str | None]:
     r = random.Random(seed)
-    parts = ["a", "The", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'ll", "!", "22", "<|endoftext|>", "<|", "中", "ß", "🎉", "▁", "", "don't ", "word, ", "x" * 50]
+    parts = ["a", "The", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'ll", "!", "22", "<|endoftext|>", "<|", "中", "ß", "🎉", "▁", "\ue000", "don't ", "word, ", "x" * 50]
     return [None, "", " ", "\n", *("".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(n))]
 
 
@@ -151,7 +151,7 @@ def test_pieces_decode_to_the_text_and_vary(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     ids, offsets = codec.encode(list(enumerate(texts)), drop=False)
     for k, t in enumerate(texts):
-        if "▁" not in t and "" not in t:
+        if "▁" not in t:
             assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t)
     rows = [*enumerate(texts), (None, "null id"), (1000, None)]
     one = {r.doc_id: r for r in decode_pieces(encode_pieces(documents(spark, rows), PIECE, 0.3, 1), PIECE).collect()}
@@ -165,6 +165,39 @@ def test_pieces_decode_to_the_text_and_vary(spark):
     assert encode_pieces(documents(spark, []), PIECE).count() == 0
 
 
+def brute_pieces(codec: PieceCodec, word: str, key: int) -> list[int]:
+    """A word's ids by looking for the best merge among all neighbours, again and again."""
+    parts, skipped, turn, level = list(word), set(), 0, 0
+    next_skip = int(codec.gaps(np.array([key]), 0)[0]) if key >= 0 else -1
+    while True:
+        ends = np.cumsum([0, *map(len, parts)])
+        open_ = [(-codec.scores["".join(parts[k : k + 2])], ends[k], k) for k in range(len(parts) - 1) if "".join(parts[k : k + 2]) in codec.scores and (ends[k], ends[k + 2]) not in skipped]
+        if not open_:
+            return [i for p in parts for i in ([codec.ids[p]] if p in codec.ids else [codec.bytes[b] for b in p.encode()])]
+        _, begin, k = min(open_)
+        if turn == next_skip:
+            skipped.add((begin, ends[k + 2]))
+            level += 1
+            next_skip += 1 + int(codec.gaps(np.array([key]), level)[0])
+        else:
+            parts[k : k + 2] = ["".join(parts[k : k + 2])]
+        turn += 1
+
+
+def test_pieces_under_dropout_against_brute_force_and_the_library():
+    import sentencepiece
+
+    codec, library = PieceCodec(PIECE, 0.3, 7), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    r = random.Random(9)
+    words = ["▁international", "▁understand", "▁extraordinarily", *("▁" + "".join(r.choice("aeiourstlnthe") for _ in range(r.randint(1, 14))) for _ in range(60))]
+    for word in words:
+        for key in (-1, *codec.keys(r.randint(0, 99), 6).tolist()):
+            assert codec.word(word, key) == brute_pieces(codec, word, key)
+    ids, offsets = codec.encode([(k, "international trade") for k in range(2000)])
+    cut = [tuple(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert len(set(cut)) > 20 and {library.decode(list(c)) for c in set(cut)} == {"international trade"}
+
+
 def test_pieces_vary_from_occurrence_to_occurrence():
     codec = PieceCodec(PIECE, 0.1, 42)
     word, long = "▁understand", "▁" + "中文字符" * 12
@@ -196,6 +229,26 @@ def test_first_fit_takes_the_first_with_room():
         assert tree.take(n) == first
 
 
+def test_packing_is_first_fit_decreasing():
+    r = random.Random(5)
+    for _ in range(40):
+        room, sizes = 64, [r.randint(1, 200) for _ in range(r.randint(1, 60))]
+        rests = sorted(((n % room, d) for d, n in enumerate(sizes) if n % room), key=lambda x: (-x[0], x[1]))
+        bins: list[list[int]] = []
+        for n, d in rests:
+            own = next((b for b in bins if sum(sizes[x] % room for x in b) + n <= room), None)
+            if own is None:
+                bins.append([d])
+            else:
+                own.append(d)
+        assert first_fit(rests, room) == bins
+        packed = pack(sizes, room)
+        held = collections.Counter((d, i) for s in packed for d, start, n in s for i in range(start, start + n))
+        assert held == {(d, i): 1 for d, n in enumerate(sizes) for i in range(n)}
+        short = [n for s in packed if (n := sum(p[2] for p in s)) < room]
+        assert all(n & (n - 1) == 0 for n in short) and len(short) <= 6
+
+
 def test_packing(spark):
     rows = [(k, t) for k, t in enumerate(odd_texts(80))] + [(None, "null id"), (7, "tie"), (7, "tie"), (500, "long words here " * 3000)]
     encoder = WordEncoder(WORD, False)
@@ -333,6 +386,21 @@ def test_substring(spark, corpus, many):
     assert substring.repeated_words(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 5, 7, 90])
+def test_substring_windows_of_any_length(spark, corpus, window):
+    rows = [*corpus, (700, "a b " * 100), (701, " ".join(f"w{k}" for k in range(200))), (702, " ".join(f"w{k}" for k in range(50, 180)))]
+    words = [(d, (t or "").encode().split()) for d, t in rows]
+    seen = collections.Counter(tuple(w[i : i + window]) for _, w in words for i in range(len(w) - window + 1))
+    want = []
+    for d, w in words:
+        gone = {k for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
+        want.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    got = [tuple(r) for r in substring.repeated_words(documents(spark, rows), window).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    with pytest.raises(ValueError):
+        substring.gram(0)
+
+
 def test_suffix_automaton_finds_all_repeats():
     r = random.Random(3)
     for _ in range(150):
@@ -419,6 +487,68 @@ def test_toxicity_reads_the_middle_of_long_words():
     assert odds("\u00a0".join([around[:400], *["zqurkxvy"] * 12, around[400:]])) > odds(around) + 1
 
 
+def test_toxicity_scores_against_brute_force():
+    r = random.Random(2)
+    model = toxicity.Model(np.array([r.gauss(0, 1) for _ in range(toxicity.BUCKETS)]), -0.3)
+    texts = [" ".join("".join(r.choice("abcé中") for _ in range(r.randint(1, 90 if k % 9 == 0 else 8))) for _ in range(r.randint(0, 150))) for k in range(40)]
+
+    def odds(text: str) -> float:
+        scores = []
+        for word in text.encode().split():
+            whole = word.decode()
+            parts = [whole] if len(whole) <= 62 else [whole[k : k + 62] for k in range(0, len(whole) - 5, 57)]
+            for p in parts:
+                grams = [f"<{p.lower()}>"[i : i + n] for n in (4, 5, 6) for i in range(max(1, len(p) + 2 - n + 1))]
+                scores.append(np.mean([model.weights[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams]))
+        if not scores:
+            return model.bias
+        starts = range(0, max(1, len(scores) - 16), 16)
+        return model.bias + max(np.mean(scores[min(a, max(0, len(scores) - 32)) :][:32]) for a in starts)
+
+    bags = toxicity.WordBags()
+    numbers = [bags.numbers(t.encode()) for t in texts]
+    known = model.words(*bags.new())
+    got = model.texts(known[np.concatenate(numbers)], np.array([len(n) for n in numbers]))[0]
+    assert np.allclose(got, [odds(t) for t in texts], atol=1e-4)
+
+
+def test_statistics_of_texts():
+    text = b"One two two.\n\nTHREE | 4!\nOne two two.\n"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+    n, words = len(text), text.split()
+    assert (got["bytes"], got["words"], got["lines"]) == (n, 9, 3)
+    want = {"mean_word": sum(map(len, words)) / 9, "upper": 7 / n, "digits": 1 / n, "white": 10 / n, "distinct_words": 6 / 9, "top_word": 2 / 9, "repeated_lines": 1 / 3, "bars": 1 / 9, "stops": 2 / 9, "signed_words": 1 / 9, "capital_words": 3 / 9, "short_words": 2 / 9, "mean_line": n / 3}
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()), {k: (got[k], v) for k, v in want.items() if abs(got[k] - v) >= 1e-12}
+    assert len(quality.statistics(b"")) == len(quality.STATISTICS) and not any(map(np.isnan, quality.statistics(b"")))
+
+
+def test_a_grown_tree_is_the_best_by_brute_force():
+    """One level, one tree: the split with the largest gain of all, and leaves of second order."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 20, (200, 3)).astype(float)
+    labels = ((rows[:, 1] > 11) ^ (rng.random(200) < 0.1)).astype(int)
+    trees = quality.grow(rows, labels, trees=1, depth=1, rate=1.0)
+    p = 1 / (1 + np.exp(-trees.start))
+    g, h = p - labels, np.full(200, p * (1 - p))
+    best = max(
+        ((g[m].sum() ** 2 / (h[m].sum() + 2) + g[~m].sum() ** 2 / (h[~m].sum() + 2), f, c) for f in range(3) for c in np.unique(rows[:, f])[:-1] for m in [rows[:, f] <= c] if min(h[m].sum(), h[~m].sum()) >= 3),
+    )
+    assert trees.features[0, 0] == best[1] == 1
+    m = rows[:, 1] <= trees.thresholds[0, 0]
+    assert np.array_equal(m, rows[:, 1] <= best[2])
+    assert np.allclose(trees.leaves[0], [-g[m].sum() / (h[m].sum() + 2), -g[~m].sum() / (h[~m].sum() + 2)])
+
+
+def test_results_take_the_place_of_columns_of_their_name(spark):
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), 1.0)
+    rows = spark.createDataFrame([(1, None, "a", "b", 3), (1, "x", "a", "b", 3), (1, "x", "a", "b", 3)], "doc_id long, text string, toxic_score string, `a.b` string, predicted int")
+    got = toxicity.score_toxicity(rows, model)
+    assert got.columns == ["doc_id", "text", "a.b", "predicted", "toxic_score", "toxic_predicted"] and {r.toxic_predicted for r in got.collect()} == {1}
+    assert toxicity.drop_toxic(rows, toxicity.Model(model.weights, -9.0)).collect() == rows.collect()
+    trees = quality.grow(np.zeros((0, 21)), np.zeros(0))
+    assert quality.score_quality(rows.withColumnRenamed("toxic_score", "quality_score"), trees).columns == ["doc_id", "text", "a.b", "predicted", "quality_score", "quality_predicted"]
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows, labels = labelled(spark)
     docs, held = documents(spark, rows), toxicity.fold("doc_id", 3, 1)

@@ -29,3 +29,51 @@ def test_stages_and_run(spark):
         assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in own[["start", "length", "ids_crc32"]].itertuples(index=False))
     assert set(pieces["doc_id"]) == set(texts)
     assert np.all(pieces.groupby("sequence_id")["length"].sum() <= 2048)
+
+
+ODD = "doc_id long, text string, toxic_score string, score string, `a.b` string, doc string, fp string, row string, digest string, spans string, n_chars int"
+
+
+def odd_documents(spark, rows):
+    return spark.createDataFrame([(d, t, *"abcdefgh", None) for d, t in rows], ODD)
+
+
+def passage(k: int, n: int) -> str:
+    return " ".join(f"w{k}x{i}" for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder with labels of which some mark toxic documents."""
+    path = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(k, 1, int(k % 2)) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+ROWS = [(None, None), (None, None), (1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (5, passage(1, 200)), (6, passage(1, 200)), (7, passage(2, 80) + " " + passage(3, 60)), (8, passage(3, 60)), (9, "x" * 200_000)]
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tables):
+    """Nulls, empty and very long texts, ties, repeated rows, and columns with dots and with names that stages use."""
+    docs, functions = odd_documents(spark, ROWS), dict(pipeline.STAGES)
+    for name in ("toxicity", "exact_dedup", "near_dedup", "substring_dedup"):
+        assert functions[name](spark, docs, tables).schema.names == docs.schema.names, name
+        assert functions[name](spark, docs.limit(0), tables).count() == 0, name
+    told = lambda name: sorted((str(r.doc_id), r.text) for r in functions[name](spark, docs, tables).select("doc_id", "text").collect())
+    plain = sorted((str(d), t) for d, t in ROWS if t is not None)
+    assert [r for r in told("exact_dedup") if r[1] is not None] == sorted([("2", ""), ("3", " \n"), ("4", "one"), ("6", passage(1, 200)), ("7", ROWS[9][1]), ("8", passage(3, 60)), ("9", "x" * 200_000)])
+    kept = {r.doc_id for r in functions["near_dedup"](spark, docs, tables).collect()}
+    assert {4, 5, 7, 8, 9} <= kept and 6 not in kept and len(kept & {None, 1, 2, 3}) == 1  # those without words are copies
+    left = {r.doc_id: r for r in functions["substring_dedup"](spark, docs, tables).collect()}
+    assert (left[5].text, left[6].text, left[8].text) == ("", "", "") and left[7].text == passage(2, 80) and left[7].n_chars == len(passage(2, 80))
+    assert left[1].text is None and left[1].n_chars is None and left[9].text == "x" * 200_000 and left[3].text == " \n"
+    packed = functions["packing"](spark, docs, tables).toPandas()
+    assert packed.loc[packed["start"] == 0].shape[0] == len(ROWS) and functions["packing"](spark, docs.limit(0), tables).count() == 0
+    assert len(plain) == 9
+
+
+def test_the_toxicity_stage_drops_what_scores_high(spark, tables):
+    words = ["".join(chr(97 + (k * 7 + i * 3) % 26) for i in range(5)) for k in range(300)]
+    rows = [(k, " ".join(words[(k * 13 + i * 17) % 300] for i in range(60)) + (" zqurkish zqurked" * 3 if k % 2 else "")) for k in range(60)]
+    left = {r.doc_id for r in dict(pipeline.STAGES)["toxicity"](spark, odd_documents(spark, rows), tables).collect()}
+    assert left == {k for k in range(60) if k % 2 == 0}
