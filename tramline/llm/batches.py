@@ -9,16 +9,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a Python worker handles at a time (one longer text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column; that of the document's row (a struct doc) where there is none of its own, so that texts are sent once."""
+    return batch.column(name) if name in batch.schema.names else batch.column("doc").field(name)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the named column holds about `budget` bytes in each piece."""
+    """Cut record batches so that the named column holds about `budget` bytes in each piece.
+
+    After each batch, memory that Arrow holds for later goes back, as workers live on from stage to stage.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        measure = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
-        sizes = measure(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        values = column_of(batch, column)
+        measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = measure(values).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
@@ -26,12 +35,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
             to = max(at + 1, int(np.searchsorted(ends, before + budget, "right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
-    return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()
+    return column_of(batch, column).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return batch.column(column).fill_null("").to_pylist()
+    return column_of(batch, column).fill_null("").to_pylist()

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.batches import byte_texts, slices
+from tramline.operators.graph import components
 from tramline.session import materialize
 
 SEED = 42
@@ -71,7 +72,7 @@ def fingerprint(text: bytes, width: int = 3, bits: int = 64) -> bytes:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64) -> DataFrame:
-    """All columns of docs with fp binary (the fingerprint) after them."""
+    """All columns of docs with fp binary (the fingerprint) after them. docs: with text, or a struct doc that has it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -202,29 +203,6 @@ def links(distinct: DataFrame, bits: int = 64, reach: int = 3, part_bits: int =
     return units.groupBy("shard", "unit").applyInPandas(joined, "a long, b long").where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of the edges a, b is connected with.
-
-    Each round links every node's neighbours to its smallest neighbour (large star, then small star), which at least
-    halves what is left to contract; a round's edges are written, so that plans stay short and lost executors cost
-    little. Joins, not groups, gather neighbours, so that a node with very many of them is dealt to many tasks. Rounds go
-    on until one changes nothing.
-    """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a <> b").distinct(), "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after = materialize(small.where("a <> b").distinct(), "edges")
-        changed = after.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(after, ["a", "b"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def classes(rows: DataFrame, **measure: int) -> DataFrame:
     """fp, component_id (the smallest doc_id that links reach) and stays (the row that has it) for each fp of rows.
 
@@ -252,7 +230,7 @@ def drop_near_copies(docs: DataFrame, width: int = NEAR["width"], **measure: int
     written too, so that Spark knows their size when it picks the join that takes them out.
     """
     measure = measure or {k: v for k, v in NEAR.items() if k != "width"}
-    inner = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    inner = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     rows = materialize(fingerprints(inner, width, measure.get("bits", 64)).select("doc", "doc_id", "row", "fp"), "fingerprints")
     numbers = rows.select("doc_id", "row", "fp")
     gone = materialize(numbers.join(classes(numbers, **measure), "fp").where("row <> stays").select("row"), "near-copies")

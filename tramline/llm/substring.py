@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.batches import byte_texts, slices
+from tramline.llm.batches import byte_texts, column_of, slices
 from tramline.session import materialize
 
 SEED = 42
@@ -201,7 +201,7 @@ def anchor_places(docs: DataFrame, window: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in slices(batches):
-            if len(hashes) > 400_000:
+            if len(hashes) > 200_000:
                 hashes = _WordHashes()
             words = [t.split() for t in byte_texts(batch)]
             offsets = np.cumsum([0, *map(len, words)])
@@ -312,15 +312,15 @@ def repeated_words(docs: DataFrame, window: int = 35) -> DataFrame:
 def remove_repeated_words(docs: DataFrame, window: int = 35) -> DataFrame:
     """docs with the repeated words taken out of text; a text that loses none stays as it was."""
     columns = docs.columns
-    inner = docs.select(F.struct("*").alias("doc"), "text", *_key(F.col("doc_id"), F.col("text")))
-    found = inner.join(repeated_places(docs.select("doc_id", "text"), window), ["key_id", "key_text"], "left").select("doc", "text", "spans")
+    inner = docs.select(F.struct("*").alias("doc"), *_key(F.col("doc_id"), F.col("text")))
+    found = inner.join(repeated_places(docs.select("doc_id", "text"), window), ["key_id", "key_text"], "left").select("doc", "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept = []
-            for text, raw, spans in zip(batch.column("text").to_pylist(), byte_texts(batch), batch.column("spans").to_pylist(), strict=True):
-                kept.append(_kept(raw, spans, window)[2].decode() if spans else text)
+            for text, spans in zip(column_of(batch, "text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                kept.append(_kept(text.encode(), spans, window)[2].decode() if spans else text)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(kept, pa.string())], ["doc", "kept"])
 
-    done = found.mapInArrow(strip, inner.select("doc", F.col("text").alias("kept")).schema)
+    done = found.mapInArrow(strip, inner.select("doc", F.lit(None).cast("string").alias("kept")).schema)
     return done.select(*[F.col("kept").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in columns])

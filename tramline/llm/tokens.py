@@ -92,7 +92,7 @@ class WordEncoder:
     limit: distinct words kept; beyond it the store is emptied, which bounds a worker's memory.
     """
 
-    def __init__(self, path: str, spaces: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -206,7 +206,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn=None, docs_most: in
     return train(*labelled_sample(docs, labels, "toxic", learn, docs_most, bytes_most))
 
 
-def _scorer(weights: np.ndarray, bias: float, limit: int = 500_000) -> Callable[[list[bytes]], np.ndarray]:
+def _scorer(weights: np.ndarray, bias: float, limit: int = 300_000) -> Callable[[list[bytes]], np.ndarray]:
     """Scores of texts, with those of up to limit distinct words kept between calls."""
     model, bags, known = Model(weights.astype(np.float64), bias), WordBags(), np.zeros(0)
 
@@ -224,7 +224,7 @@ def _scorer(weights: np.ndarray, bias: float, limit: int = 500_000) -> Callable[
 
 def scored(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.ndarray]], threshold: float) -> DataFrame:
     """doc (a row of docs), score double and predicted int (1 from the threshold on). make gives a task its scorer."""
-    inner = docs.select(F.struct("*").alias("doc"), "text")
+    inner = docs.select(F.struct("*").alias("doc"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
