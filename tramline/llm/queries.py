@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import exact_dedup, neighbours, quality, simhash, substring, token_counts, token_files, toxicity
+from tramline.llm import collocations, exact_dedup, main_text, merkle, neighbours, quality, simhash, substring, token_counts, token_files, toxicity
 from tramline.llm.packing import pack_documents
 from tramline.llm.pieces import decode_pieces, encode_pieces
 from tramline.llm.tokens import tokenizer_path
@@ -72,5 +72,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_token_counts, op4_pieces, op5_packing, op6_neighbours, op7_substring, op8_toxicity, op9_quality, op10_exact_dedup)}
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document, by crc32 of its id, is verified with its text in lower case."""
+    ship_package(spark)
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, first=2000)
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_token_counts, op4_pieces, op5_packing, op6_neighbours, op7_substring, op8_toxicity, op9_quality, op10_exact_dedup, op11_merkle, op12_collocations, op13_main_text)}
+ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op12_collocations": collocations.oracle_sql()}
