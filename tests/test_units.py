@@ -1,6 +1,7 @@
 """Known facts about fares, walks, texts, times, shapes, corridors and live vehicles on literal rows."""
 
 import difflib
+import math
 import os
 
 import pandas as pd
@@ -135,59 +136,113 @@ def test_water_crossing(spark):
 def test_search_and_itinerary(spark):
     stops, routes, trips, times = mini(spark)
     all_edges = edges.edge_means(edges.riding_times(edges.guarded(edges.hops(times, trips, routes, stops))))
-    p = patterns.longest(patterns.sequences(times, trips))
-    timed = search.timed_patterns(p, all_edges)
     heads = spark.createDataFrame([(1, 0, 4.0)], "route_id long, direction_id int, headway_min double")
-    origins = spark.createDataFrame([(0, 2, 0.0)], "od_id long, stop_id long, cost double")
+    start = lambda stop: spark.createDataFrame([(0, stop, 0.0)], "od_id long, stop_id long, cost double")
     walks = spatial.walk_links(stops)
-    at_start = spark.createDataFrame([(0, 1, 0.0)], "od_id long, stop_id long, cost double")
-    answers = search.best_by_stop(search.search(timed, search.boardings(p, routes, heads, "fastest"), walks, at_start))
+    labels = search.search(all_edges, search.boardings(all_edges, routes, heads, "fastest"), walks, start(1))
+    answers = search.traced(search.best_by_stop(labels), labels)
     best = {r.stop_id: r for r in answers.collect()}
-    ride = {(r.route_id, r.stop_id): r.t for r in timed.collect()}
-    assert abs(best[5].cost - (120.0 + ride[1, 5])) < 1e-6 and best[5].path[0].route_id == 1
-    told = search.itineraries(answers.where("stop_id = 5"), timed, routes, heads).first()
-    assert (told.boardings, told.fare) == (1, 20) and told.minutes == -(-(120 + ride[1, 5]) // 60)
-    cheap = search.best_by_stop(search.search(timed, search.boardings(p, routes, heads, "cheapest"), walks, at_start)).where("stop_id = 5").first()
+    ride = sum(r.sec for r in all_edges.where("route_id = 1").collect())
+    assert abs(best[5].cost - (120.0 + ride)) < 1e-6 and [(s.kind, s.route_id, s.start, s.end, s.hops) for s in best[5].path] == [("ride", 1, 1, 5, 3)]
+    told = search.itineraries(answers.where("stop_id = 5"), routes, heads).first()
+    assert (told.boardings, told.fare) == (1, 20) and told.minutes == -(-(120 + ride) // 60)
+    cheap = search.best_by_stop(search.search(all_edges, search.boardings(all_edges, routes, heads, "cheapest"), walks, start(1))).where("stop_id = 5").first()
     assert cheap.cost >= best[5].cost
-    assert search.search(timed, search.boardings(p, routes, heads, "fastest"), walks, origins).where("size(path) > 0").count() == 0
+    # Nothing leaves stop 2 but walks: to stop 1 and on by its lines, or to stop 6.
+    on_foot = search.search(all_edges, search.boardings(all_edges, routes, heads, "fastest"), walks, start(2))
+    path = search.traced(search.best_by_stop(on_foot).where("stop_id = 5"), on_foot).first().path
+    assert [(s.kind, s.start, s.end) for s in path] == [("walk", 2, 1), ("ride", 1, 5)]
 
 
-def test_search_goes_on_until_nothing_improves(spark):
-    import heapq
+def random_network(seed: int, stops: int = 14, runs: int = 7):
     import random
 
-    r = random.Random(5)
-    # A chain that needs a boarding for each of its eight lines, then lines and walks at random.
-    lines = [[k, k + 1] for k in range(8)] + [r.sample(range(16), 3) for _ in range(5)]
-    timed = [(k, 0, pos, stop, pos * (10.0 + 7 * k), pos * 500.0) for k, line in enumerate(lines) for pos, stop in enumerate(line)]
-    boards = [(k, 0, 40.0 + k, 90.0 + 2 * k, (0, 1, 2)[k % 3], (0.0, 300.0, 120.0)[k % 3], 0.01 * (k % 2)) for k in range(len(lines))]
-    walks = [(8, 12, 100.0), (12, 13, 100.0), (13, 14, 100.0)] + [(*r.sample(range(16), 2), float(r.randint(200, 900))) for _ in range(6)]
-    best, queue, seen = {}, [(0.0, 0, 0, False)], set()
+    r = random.Random(seed)
+    edge = {}
+    for k in range(runs):
+        for _ in range(2):
+            line = r.sample(range(stops), 4)
+            edge |= {(u, v, k // 2, k % 2): (float(r.randint(20, 200)), float(r.randint(100, 900))) for u, v in zip(line, line[1:])}
+    boards = {(k // 2, k % 2): (float(r.randint(10, 60)), float(r.randint(60, 200)), (0, 1, 2)[k // 2 % 3], (0.0, 300.0, 120.0)[k // 2 % 3], 0.1 * (k // 2 % 2)) for k in range(runs)}
+    walks = {tuple(r.sample(range(stops), 2)): float(r.randint(100, 400)) for _ in range(5)}
+    return edge, boards, walks
+
+
+def dijkstra(edge, boards, walks, starts, times=1.5):
+    """Least costs of (stop, run, mask, ridden), all of them, without any pruning."""
+    import heapq
+
+    best, queue = {}, [(c, s, (), 0, False) for s, c in starts.items()]
     while queue:
-        cost, stop, mask, ridden = heapq.heappop(queue)
-        if (stop, mask, ridden) in seen:
+        cost, stop, run, mask, ridden = heapq.heappop(queue)
+        if (stop, run, mask, ridden) in best:
             continue
-        seen.add((stop, mask, ridden))
-        if stop not in best:
-            best[stop] = cost
-        for k, line in enumerate(lines):
-            if stop in line:
-                _, _, first, later, bit, money, per_metre = boards[k]
-                at, paid = line.index(stop), 0.0 if bit & mask else money
-                for n in range(1, len(line) - at):
-                    heapq.heappush(queue, (cost + (later if ridden else first) + paid + n * (10.0 + 7 * k + 500 * per_metre), line[at + n], mask | bit, True))
-        for u, v, sec in walks:
-            if u == stop and ridden:
-                heapq.heappush(queue, (cost + sec * 1.5, v, mask, True))
+        best[stop, run, mask, ridden] = cost
+        for (u, v, *own), (sec, metres) in edge.items():
+            own = tuple(own)
+            if u == stop and own in boards:
+                first, later, bit, money, per_metre = boards[own]
+                if own == run:
+                    heapq.heappush(queue, (cost + sec + metres * per_metre, v, run, mask, True))
+                heapq.heappush(queue, (cost + sec + (later if ridden else first) + (0.0 if bit & mask else money), v, own, mask | bit, True))
+        for (u, v), sec in walks.items():
+            if u == stop:
+                heapq.heappush(queue, (cost + sec * times, v, (), mask, ridden))
+    return best
+
+
+def network_frames(spark, edge, boards, walks):
+    return (
+        spark.createDataFrame([(*k, *x) for k, x in edge.items()], "u long, v long, route_id long, direction_id int, sec double, dist_m double"),
+        spark.createDataFrame([(*k, *x) for k, x in boards.items()], "route_id long, direction_id int, first double, later double, bit int, money double, per_metre double"),
+        spark.createDataFrame([(*k, x) for k, x in walks.items()], "u long, v long, sec double"),
+    )
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_search_finds_what_an_exhaustive_one_does(spark, seed):
+    edge, boards, walks = random_network(seed)
+    want = {}
+    for (stop, *_), cost in dijkstra(edge, boards, walks, {0: 0.0, 3: 50.0}).items():
+        want[stop] = min(cost, want.get(stop, cost))
+    frames = network_frames(spark, edge, boards, walks)
+    labels = search.search(*frames, spark.createDataFrame([(0, 0, 0.0), (0, 3, 50.0)], "od_id long, stop_id long, cost double"), walk_times=1.5)
+    answers = search.traced(search.best_by_stop(labels), labels).collect()
+    assert {r.stop_id: pytest.approx(r.cost) for r in answers} == want
+    for r in answers:  # a path costs what its label says
+        at, mask, ridden = (r.path[0].start if r.path else r.stop_id), 0, False
+        costs = {50.0 if at == 3 else 0.0}  # as many as there are first hops that the leg may have begun with
+        for step in r.path:
+            assert step.start == at
+            at = step.end
+            if step.kind == "walk":
+                costs = {c + 1.5 * walks[step.start, step.end] for c in costs}
+                continue
+            first, later, bit, money, per_metre = boards[step.route_id, step.direction_id]
+            begun = [m for (u, v, *own), (_, m) in edge.items() if u == step.start and tuple(own) == (step.route_id, step.direction_id)]
+            paid = 0.0 if bit & mask else money
+            costs = {c + (later if ridden else first) + paid + step.sec + per_metre * (step.metres - m) for m in begun for c in costs}
+            mask, ridden = mask | bit, True
+        assert at == r.stop_id and min(abs(c - r.cost) for c in costs) < 1e-6
+
+
+def test_a_bound_gives_the_same_answers_with_fewer_labels(spark):
+    edge, boards, walks = random_network(3, stops=40, runs=12)
+    frames = network_frames(spark, edge, boards, walks)
+    stops = spark.createDataFrame([(k, 30.0, 31.0 + 0.01 * k) for k in range(40)], "stop_id long, lat double, lon double")
+    start = spark.createDataFrame([(0, 0, 0.0), (1, 4, 0.0)], "od_id long, stop_id long, cost double")
+    free, bound = [], []
+    everything = search.search(*frames, start, counted=free.append)
+    best = search.best_by_stop(everything).where("cost > 0").groupBy("od_id").agg(F.min_by("stop_id", "cost").alias("near"), F.max_by("stop_id", "cost").alias("far")).collect()
+    exits = spark.createDataFrame([(r.od_id, s, c) for r in best for s, c in ((r.near, 400.0), (r.far, 0.0))], "od_id long, stop_id long, exit_cost double")
+    held = search.search(*frames, start, bound=search.Bound(exits, stops, fastest=1e9), counted=bound.append)
+    answer = lambda labels: sorted(tuple(r) for r in search.best_by_stop(labels.where(F.col("mask") >= search.RIDDEN)).join(exits, ["od_id", "stop_id"]).groupBy("od_id").agg(F.round(F.min(F.col("cost") + F.col("exit_cost")), 6)).collect())
+    assert answer(held) == answer(everything) and len(answer(held)) == 2
+    assert sum(bound) < sum(free)
+
+
+def test_bounded_reach(spark):
     frame = spark.createDataFrame
-    found = search.search(
-        frame(timed, "route_id long, direction_id int, pos int, stop_id long, t double, metres double"),
-        frame(boards, "route_id long, direction_id int, first double, later double, bit int, money double, per_metre double"),
-        frame(walks, "u long, v long, sec double"), frame([(0, 0, 0.0)], "od_id long, stop_id long, cost double"), walk_times=1.5,
-    )
-    got = {r.stop_id: r.cost for r in search.best_by_stop(found).collect()}
-    assert got.keys() == best.keys() and {8, 14} <= got.keys()
-    assert all(abs(got[k] - best[k]) < 1e-6 for k in best)
     chain = frame([(k, k + 1, 10.0) for k in range(20)], "u long, v long, dist_m double")
     reached = search.bounded_reach(chain, frame([(0, 0)], "source_id long, stop_id long"), 155.0)
     assert sorted((r.stop_id, r.metres) for r in reached.collect()) == [(k, 10.0 * k) for k in range(16)]
@@ -231,6 +286,40 @@ def test_first_heads_are_those_of_a_walk_in_order(spark):
     assert sorted((x.trip_id, x.stop_id) for x in merged.collect()) == [(1, 4), (2, 6)]
 
 
+def test_a_long_chain_in_order_takes_few_rounds(spark):
+    chain = spark.createDataFrame([(k, 30.0, 31.0 + 0.0004 * k) for k in range(10_000)], "stop_id long, lat double, lon double")
+    near, rounds = spatial.near_pairs(spatial._side(chain, 1), spatial._side(chain, 2), 60.0).where("id1 < id2"), []
+    got = dict(map(tuple, spatial.first_heads(chain, near, lambda: rounds.append(1)).collect()))
+    assert len(rounds) < 10 and got == {k: k - k % 2 for k in range(10_000)}
+    # Tiles with too many pairs stay small: the same, but slower.
+    short = chain.where("stop_id < 60")
+    most, spatial.TILE_PAIRS = spatial.TILE_PAIRS, 5
+    try:
+        assert dict(map(tuple, spatial.first_heads(short, near.where("id2 < 60")).collect())) == {k: k - k % 2 for k in range(60)}
+    finally:
+        spatial.TILE_PAIRS = most
+
+
+def test_near_pairs_hold_anywhere_on_earth(spark):
+    import random
+
+    r, rows = random.Random(8), []
+    for lat, lon in ((70.0, 20.0), (-84.9, 3.0), (89.9, 0.0), (0.0, 180.0), (65.0, -180.0), (30.0, 31.0)):
+        for _ in range(25):
+            spread = 0.01 / max(0.002, math.cos(math.radians(lat)))
+            a, b = lat + r.uniform(-0.01, 0.01), (lon + r.uniform(-spread, spread) + 180) % 360 - 180
+            rows.append((len(rows), a, b))
+    table = spark.createDataFrame(rows, "stop_id long, lat double, lon double")
+    got = {(x.id1, x.id2) for x in spatial.near_pairs(spatial._side(table, 1), spatial._side(table, 2), 500.0).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if spatial._metres(*a[1:], *b[1:]) <= 500.0}
+    nearest = {(x.point_id, x.rank): x.stop_id for x in spatial.nearest_stops(table.withColumnRenamed("stop_id", "point_id"), table, 2, 800.0).collect()}
+    want = {}
+    for a in rows:
+        near = sorted((d, b[0]) for b in rows if (d := spatial._metres(*a[1:], *b[1:])) <= 800.0)[:2]
+        want |= {(a[0], n + 1): s for n, (_, s) in enumerate(near)}
+    assert nearest == want
+
+
 def test_nearest_stops_are_those_of_all_distances(spark):
     import random
 
@@ -319,19 +408,18 @@ def test_corridors_are_joined_by_edges_siblings_roads_or_not(spark):
 
 def test_what_a_rider_is_told(spark):
     frame = spark.createDataFrame
-    path = [("ride", 1, 0, 10, 12, 200.0), ("walk", None, None, 12, 20, 100.0), ("ride", 2, 0, 20, 21, 90.0), ("ride", 3, 0, 21, 22, 60.0)]
+    path = [("ride", 1, 0, 10, 12, 200.0, 2, 2000.0), ("walk", None, None, 12, 20, 100.0, 0, 0.0), ("ride", 2, 0, 20, 21, 90.0, 1, 500.0), ("ride", 3, 0, 21, 22, 60.0, 1, 700.0)]
     answers = frame([(0, 22, 900.0, path)], "od_id long, stop_id long, cost double, path " + search.PATH)
-    timed = frame([(1, 0, k, 10 + k, 100.0 * k, 1000.0 * k) for k in range(4)] + [(2, 0, k, 20 + k, 90.0 * k, 500.0 * k) for k in range(2)] + [(3, 0, k, 21 + k, 60.0 * k, 700.0 * k) for k in range(2)], "route_id long, direction_id int, pos int, stop_id long, t double, metres double")
     routes = frame([(1, "metro", "NAT"), (2, "metro", "NAT"), (3, "bus", "CTA")], "route_id long, vehicle_type string, agency_id string")
     heads = frame([(1, 0, 4.0), (2, 0, 10.0)], "route_id long, direction_id int, headway_min double")
     pattern = frame([(1, 0, [10, 11, 12, 13]), (2, 0, [20, 21]), (3, 0, [21, 22])], "route_id long, direction_id int, stops array<long>")
-    ridden = search.rides(answers, timed, routes, heads)
+    ridden = search.rides(answers, routes, heads)
     legs = [(x.n, x.route_id, x.stops, x.towards, x.from_route, x.on_foot) for x in search.rail_legs(ridden, answers, pattern).orderBy("n").collect()]
     assert legs == [(1, 1, 2, 13, None, None), (2, 2, 1, 21, 1, True), (3, 3, 1, 22, 2, False)]
     assert {x.vehicle_type: (x.stops, x.fare_egp) for x in search.fare_breakdown(ridden).collect()} == {"metro": (3, 10), "bus": (1, 20)}
     told = search.instructions(ridden, answers).orderBy("n").collect()
     assert [(x.kind, x.route_id, x.stops, x.fare_egp) for x in told] == [("ride", 1, 2, 10), ("walk", None, 0, 0), ("ride", 2, 1, 0), ("ride", 3, 1, 20)]
-    total = search.itineraries(answers, timed, routes, heads).first()
+    total = search.itineraries(answers, routes, heads).first()
     assert total.fare == sum(x.fare_egp for x in told) and total.minutes == -(-sum(x.sec + x.wait_sec for x in told) // 60)
 
 
@@ -422,16 +510,17 @@ def test_options_alike(spark, many):
 def test_avoided_routes_cost_more(spark):
     stops, routes, trips, times = mini(spark)
     all_edges = edges.edge_means(edges.riding_times(edges.guarded(edges.hops(times, trips, routes, stops))))
-    p = patterns.longest(patterns.sequences(times, trips))
-    timed, heads = search.timed_patterns(p, all_edges), spark.createDataFrame([(1, 0, 4.0)], "route_id long, direction_id int, headway_min double")
-    boards, start = search.boardings(p, routes, heads, "fastest"), spark.createDataFrame([(0, 1, 0.0)], "od_id long, stop_id long, cost double")
-    one = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start)).where("stop_id = 5").first()
-    avoid = spark.createDataFrame([(0, one.path[0].route_id)], "od_id long, route_id long")
-    two = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, avoid=avoid)).where("stop_id = 5").first()
-    assert two.path[0].route_id != one.path[0].route_id and two.cost > one.cost
-    everywhere = spark.createDataFrame([(0, k) for k in (1, 2, 3, 4)], "od_id long, route_id long")
-    all_shunned = search.best_by_stop(search.search(timed, boards, spatial.walk_links(stops), start, avoid=everywhere)).where("stop_id = 5").first()
-    assert abs(all_shunned.cost - one.cost - 1800 - 3 * 300) < 1e-6
+    heads, walks = spark.createDataFrame([(1, 0, 4.0)], "route_id long, direction_id int, headway_min double"), spatial.walk_links(stops)
+    boards, start = search.boardings(all_edges, routes, heads, "fastest"), spark.createDataFrame([(0, 1, 0.0)], "od_id long, stop_id long, cost double")
+
+    def to_five(avoid=None):
+        return search.best_by_stop(search.search(all_edges, boards, walks, start, avoid=avoid)).where("stop_id = 5").first()
+
+    shun = lambda *routes: spark.createDataFrame([(0, k) for k in routes], "od_id long, route_id long")
+    one = to_five()
+    two = to_five(shun(one.route_id))
+    assert two.route_id != one.route_id and two.cost > one.cost
+    assert abs(to_five(shun(1, 2, 3, 4)).cost - one.cost - 1800 - 3 * 300) < 1e-6
 
 
 def test_station_notes(spark):

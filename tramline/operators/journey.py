@@ -27,8 +27,7 @@ class Model:
 
     stops: DataFrame
     routes: DataFrame
-    patterns: DataFrame
-    timed: DataFrame
+    edges: DataFrame
     headways: DataFrame
     walks: DataFrame
 
@@ -37,7 +36,7 @@ class Model:
         routes = self.routes.where(~F.col("vehicle_type").isin(*without)) if without else self.routes
         routes = routes if shut is None else routes.join(shut, "route_id", "left_anti")
         on = lambda df: df.join(routes.select("route_id"), "route_id", "left_semi")
-        return Model(self.stops, routes, on(self.patterns), materialize(on(self.timed), "timed"), self.headways, self.walks)
+        return Model(self.stops, routes, materialize(on(self.edges), "edges"), self.headways, self.walks)
 
 
 def _ends(requests: DataFrame, stops: DataFrame, k: int, most: int, metres: float = C.SNAP_M) -> DataFrame:
@@ -50,17 +49,19 @@ def _searched(model: Model, start: DataFrame, exits: DataFrame, profile: str, ki
     times = max(C.PROFILES[profile][1], 3.5) if min_walk else C.PROFILES[profile][1]
     seconds = lambda c: F.greatest(F.col(c) / C.WALK_SPEED, F.lit(10.0)) * times
     origins = start.select(F.col("point_id").alias("od_id"), "stop_id", seconds("dist_m").alias("cost"))
-    boards = search.boardings(model.patterns, model.routes, model.headways, profile, min_transfers)
-    reach = search.best_by_stop(search.search(model.timed, boards, model.walks, origins, times, avoid)).where(F.size("path") > 0)
-    left = exits.select(F.col("point_id").alias("od_id"), "stop_id", F.col("dist_m").alias("end_m"))
-    total = (F.col("cost") + seconds("end_m")).alias("total")
-    best = reach.join(left, ["od_id", "stop_id"]).groupBy("od_id").agg(F.min(F.struct(total, "stop_id", "end_m", "path")).alias("b")).select("od_id", "b.*")
+    left = materialize(exits.select(F.col("point_id").alias("od_id"), "stop_id", F.col("dist_m").alias("end_m"), seconds("dist_m").alias("exit_cost")), "exits")
+    boards = search.boardings(model.edges, model.routes, model.headways, profile, min_transfers)
+    labels = materialize(search.search(model.edges, boards, model.walks, origins, times, avoid, search.Bound(left.select("od_id", "stop_id", "exit_cost"), model.stops)), "labels")
+    # A journey without a ride is none: labels on foot alone don't answer.
+    reach = search.best_by_stop(labels.where(F.col("mask") >= search.RIDDEN))
+    best = reach.join(left, ["od_id", "stop_id"]).groupBy("od_id").agg(F.min(F.struct((F.col("cost") + F.col("exit_cost")).alias("total"), "stop_id", "end_m", "cost", "route_id", "direction_id", "mask")).alias("b")).select("od_id", "b.*")
+    found = search.traced(best, labels).join(best.select("od_id", "stop_id", "total", "end_m"), ["od_id", "stop_id"])
     first = start.select(F.col("point_id").alias("od_id"), F.col("stop_id").alias("first"), F.col("dist_m").alias("start_m"))
-    return materialize(best.withColumn("first", F.col("path")[0]["start"]).join(first, ["od_id", "first"]).withColumn("kind", F.lit(kind)).drop("first"), "option")
+    return materialize(found.withColumn("first", F.col("path")[0]["start"]).join(first, ["od_id", "first"]).withColumn("kind", F.lit(kind)).drop("first"), "option")
 
 
 def _told(model: Model, found: DataFrame) -> DataFrame:
-    told = search.itineraries(found, model.timed, model.routes, model.headways)
+    told = search.itineraries(found, model.routes, model.headways)
     both = told.join(found.select("od_id", "stop_id", "kind", "start_m", "end_m", "path"), ["od_id", "stop_id"])
     walk = (F.col("start_m") + F.col("end_m")) / C.WALK_SPEED / 60
     routes = F.transform(F.filter("path", lambda s: s["kind"] == "ride"), lambda s: s["route_id"])

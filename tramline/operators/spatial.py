@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +15,39 @@ from tramline.operators.graph import components
 from tramline.session import materialize
 
 
-def _cells(lat, lon, metres: float, most_lat: float = 60.0) -> tuple[Column, Column]:
-    """Numbers of a cell that is at least so many metres high and wide, up to a latitude."""
+def _across(band: Column, metres: float) -> Column:
+    """How many cells at least so many metres wide go round the earth in a band of latitude and in those beside it."""
     step = metres / 111000.0
-    return F.floor(lat / step).alias("cell_lat"), F.floor(lon / (step / math.cos(math.radians(most_lat)))).alias("cell_lon")
+    most = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * step + step, F.lit(90.0))
+    return F.greatest(F.floor(F.cos(F.radians(most)) * (360.0 / step)), F.lit(1))
+
+
+def _round(lon: Column, cells: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * cells), cells)
+
+
+def _cells(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
+    """Numbers of a cell that is at least so many metres high and wide: bands of latitude, each cut by its own width, round
+    the earth."""
+    band = F.floor(lat / (metres / 111000.0))
+    return band.alias("cell_lat"), _round(lon, _across(band, metres)).alias("cell_lon")
+
+
+def _around(rows: DataFrame, lat: str, lon: str, metres: float) -> DataFrame:
+    """rows once for each cell that a place within metres may lie in: three bands, and three cells of each band's own."""
+    bands = rows.withColumn("cell_lat", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(lat) / (metres / 111000.0)) + d)))
+    cells = _across(F.col("cell_lat"), metres)
+    at = F.floor((F.col(lon) + 180.0) / 360.0 * cells)
+    return bands.withColumn("cell_lon", F.explode(F.array_distinct(F.array(*[F.pmod(at + d, cells) for d in (-1, 0, 1)]))))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs of left (id1, lat1, lon1, ...) and right (id2, lat2, lon2, ...) within metres, with dist_m.
+    """Pairs of left (id1, lat1, lon1, ...) and right (id2, lat2, lon2, ...) within metres, with dist_m, anywhere on earth.
 
     The left is exploded into nine cells; no row of one side meets all of the other.
     """
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    a = left.select("*", *_cells(F.col("lat1"), F.col("lon1"), metres)).withColumn("i", around).withColumn("j", around)
-    a = a.withColumns({"cell_lat": F.col("cell_lat") + F.col("i"), "cell_lon": F.col("cell_lon") + F.col("j")}).drop("i", "j")
     b = right.select("*", *_cells(F.col("lat2"), F.col("lon2"), metres))
-    return a.join(b, ["cell_lat", "cell_lon"]).drop("cell_lat", "cell_lon").withColumn("dist_m", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).where(F.col("dist_m") <= metres)
+    return _around(left, "lat1", "lon1", metres).join(b, ["cell_lat", "cell_lon"]).drop("cell_lat", "cell_lon").withColumn("dist_m", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).where(F.col("dist_m") <= metres)
 
 
 def _side(stops: DataFrame, k: int, *more: str) -> DataFrame:
@@ -64,14 +83,13 @@ def nearest_stops(points: DataFrame, stops: DataFrame, k: int, metres: float = C
     opened whose nearest corner lies within the farthest corner of the cells that surely hold k stops.
     """
     part = 16
-    step = metres / 111000.0
-    wide = step / math.cos(math.radians(60.0))
-    small = stops.select("stop_id", "lat", "lon", F.floor(F.col("lat") / (step / part)).alias("small_lat"), F.floor(F.col("lon") / (wide / part)).alias("small_lon"))
+    small_lat = F.floor(F.col("lat") / (metres / 111000.0 / part))
+    small = stops.select("stop_id", "lat", "lon", small_lat.alias("small_lat"), _round(F.col("lon"), _across(F.floor(small_lat / part), metres) * part).alias("small_lon"))
     boxes = small.groupBy("small_lat", "small_lon").agg(F.count("*").alias("n"), F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"), F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"))
     boxes = boxes.withColumns({"cell_lat": F.floor(F.col("small_lat") / part), "cell_lon": F.floor(F.col("small_lon") / part)})
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    near = points.select("point_id", "lat", "lon", *_cells(F.col("lat"), F.col("lon"), metres)).withColumn("i", around).withColumn("j", around)
-    near = near.withColumns({"cell_lat": F.col("cell_lat") + F.col("i"), "cell_lon": F.col("cell_lon") + F.col("j")}).drop("i", "j").join(boxes, ["cell_lat", "cell_lon"])
+    near = _around(points.select("point_id", "lat", "lon"), "lat", "lon", metres).join(boxes, ["cell_lat", "cell_lon"])
+    # The same meridian, counted on to the box's side of the date line.
+    near = near.withColumn("lon", F.col("lon") + 360.0 * F.round(((F.col("lon_lo") + F.col("lon_hi")) / 2 - F.col("lon")) / 360.0))
     inside = lambda x, lo, hi: F.greatest(F.col(lo), F.least(F.col(hi), F.col(x)))
     corner = lambda x, lo, hi: F.when(F.abs(F.col(x) - F.col(lo)) > F.abs(F.col(x) - F.col(hi)), F.col(lo)).otherwise(F.col(hi))
     # A box is no more than some hundred metres wide: its nearest and farthest places are known to well under a percent.
@@ -182,8 +200,6 @@ def bridges(flips: DataFrame, metres: float = 300.0, grain: float = 1e-5) -> Dat
     are handled in one piece; places are counted in a grain of about a metre first, so that a group has as many rows as
     its ground has grains, however many vehicles cross.
     """
-    import pandas as pd
-
     lat, lon = F.round(F.col("lat") / grain).cast("long"), F.round(F.col("lon") / grain).cast("long")
     places = flips.groupBy(lat.alias("y"), lon.alias("x")).agg(F.count("*").alias("n"), F.min(F.struct("shape_id", "seq")).alias("first"), F.sum("lat").alias("lats"), F.sum("lon").alias("lons"))
     places = materialize(places.select((F.col("y") * (1 << 32) + F.col("x")).alias("stop_id"), "n", "first", (F.col("lats") / F.col("n")).alias("lat"), (F.col("lons") / F.col("n")).alias("lon")), "crossings")
@@ -213,23 +229,52 @@ def cell_representatives(stops: DataFrame, degrees: float = 0.01) -> DataFrame:
     return stops.groupBy(x.alias("cell_x"), y.alias("cell_y")).agg(F.min_by("stop_id", F.struct(off, "stop_id")).alias("stop_id"), F.count("*").alias("stops"))
 
 
-def first_heads(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Pairs of undecided stops that a tile is decided by in one piece, at most; a tile's side, and how much larger it gets each round.
+TILE_PAIRS, TILE_DEGREES, TILE_GROWS = 100_000, 0.01, 8
+
+
+def _decide(pairs: pd.DataFrame) -> pd.DataFrame:
+    """One tile: pairs id1 < id2 of stops near each other, head1 (null if not known). In order of id2, what can be told."""
+    known: dict[int, bool] = {}
+    for id1, head in zip(pairs["id1"], pairs["head1"], strict=True):
+        if head is not None and head == head:
+            known[id1] = bool(head)
+    decided: list[tuple[int, bool]] = []
+    for id2, own in pairs.sort_values("id2").groupby("id2", sort=False):
+        states = [known.get(k) for k in own["id1"]]
+        if any(states) or None not in states:
+            known[id2] = not any(states)
+            decided.append((id2, known[id2]))
+    return pd.DataFrame(decided, columns=["stop_id", "head"])
+
+
+def first_heads(nodes: DataFrame, pairs: DataFrame, counted: Callable[[], None] | None = None) -> DataFrame:
     """stop_id, canonical_id: in order of id, a stop joins the first head among the stops near it, or becomes one itself.
 
-    pairs: id1 < id2 of stops that are near each other. All stops whose smaller neighbours are decided are decided at
-    once, in rounds until none is left: a stop near a head is none, and one whose smaller neighbours are all none is one.
+    nodes: stop_id, lat, lon; pairs: id1 < id2 of stops that are near each other. What a stop becomes hangs on those of
+    smaller ids near it, so a round decides tile by tile, in order of id within a tile, all that can be told from there.
+    Tiles grow from round to round, so that a chain in order of id, which crosses all small tiles, soon lies in one; a tile
+    with over TILE_PAIRS undecided pairs stays as small as at first. counted is called once a round.
     """
     pairs = materialize(pairs.select("id1", "id2"), "near-pairs")
-    state = materialize(nodes.select("stop_id", F.lit(None).cast("boolean").alias("head")), "heads")
+    first = nodes.join(pairs.select(F.col("id2").alias("stop_id")).distinct().withColumn("waits", F.lit(True)), "stop_id", "left")
+    heads = materialize(first.where("waits IS NULL").select("stop_id", F.lit(True).alias("head")), "heads")
+    state, side = heads, TILE_DEGREES
+    tile = lambda d: F.concat_ws("_", F.lit(str(d)), F.floor(F.col("lat") / d), F.floor(F.col("lon") / d))
     while True:
-        before = pairs.join(state.select(F.col("stop_id").alias("id1"), F.col("head").alias("head1")), "id1")
-        seen = before.groupBy(F.col("id2").alias("stop_id")).agg(F.max(F.coalesce("head1", F.lit(False))).alias("near_head"), F.max(F.col("head1").isNull()).alias("waits"))
-        now = F.when(F.col("head").isNotNull(), F.col("head")).when(F.col("near_head"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)
-        state = materialize(state.join(seen, "stop_id", "left").select("stop_id", now.alias("head")), "heads")
-        if not state.where("head IS NULL").limit(1).count():
+        left = pairs.join(state.select(F.col("stop_id").alias("id2")), "id2", "left_anti")
+        if not left.limit(1).count():
             break
-    heads = pairs.join(state.where("head").select(F.col("stop_id").alias("id1")), "id1").groupBy(F.col("id2").alias("stop_id")).agg(F.min("id1").alias("of"))
-    joined = state.join(heads, "stop_id", "left")
+        placed = left.join(nodes.select(F.col("stop_id").alias("id2"), "lat", "lon"), "id2").select("id1", "id2", tile(side).alias("large"), tile(TILE_DEGREES).alias("small"))
+        sized = materialize(placed.join(placed.groupBy("large").agg(F.count("*").alias("n")), "large"), "tiles")
+        own = F.when(F.col("n") <= TILE_PAIRS, F.col("large")).otherwise(F.col("small"))
+        known = sized.select("id1", "id2", own.alias("tile")).join(state.select(F.col("stop_id").alias("id1"), F.col("head").alias("head1")), "id1", "left")
+        decided = materialize(known.groupBy("tile").applyInPandas(_decide, "stop_id long, head boolean"), "decided")
+        state, side = materialize(state.unionByName(decided), "heads"), min(side * TILE_GROWS, 400.0)
+        if counted:
+            counted()
+    near = pairs.join(state.where("head").select(F.col("stop_id").alias("id1")), "id1").groupBy(F.col("id2").alias("stop_id")).agg(F.min("id1").alias("of"))
+    joined = nodes.select("stop_id").join(state, "stop_id").join(near, "stop_id", "left")
     return joined.select("stop_id", F.when(F.col("head"), F.col("stop_id")).otherwise(F.col("of")).alias("canonical_id"))
 
 

@@ -25,8 +25,31 @@ def _canonical(heads: str, metres: int, by: str) -> str:
     return f"SELECT s.stop_id, list_filter(heads, lambda h: {_m('h.lat','h.lon','s.lat','s.lon')}<={metres})[1].id AS canonical_id FROM stops s JOIN {heads} h ON h.grp={by}"
 
 
+def _boards(transfer: int, gated: int, per_pound: int) -> str:
+    """What boarding each run costs: seconds at first and later, bit of its mode, money in seconds, and per metre ridden on."""
+    wait = "least(coalesce(nullif(headway_min,0),20e0)*30,1200e0)"
+    bits = "CASE vehicle_type WHEN 'metro' THEN 1 WHEN 'monorail' THEN 2 WHEN 'lrt' THEN 4 WHEN 'apm' THEN 8 ELSE 0 END" if per_pound else "0"
+    money = "CASE vehicle_type WHEN 'metro' THEN 10 WHEN 'monorail' THEN 20 WHEN 'lrt' THEN 10 WHEN 'apm' THEN 0 WHEN 'tram' THEN 0 WHEN 'microbus' THEN 10 ELSE CASE WHEN agency_id='GRN' THEN 25 ELSE 20 END END"
+    return f"""SELECT p.route_id, p.direction_id, {wait} AS first, greatest({wait}, CASE WHEN rail THEN {gated}e0 WHEN vehicle_type='microbus' THEN {transfer + 300}e0 ELSE {transfer}e0 END) AS later, {bits} AS bit, {money}*{per_pound}e0 AS money,
+        CASE WHEN vehicle_type='microbus' THEN 0.00125e0*{per_pound} ELSE 0e0 END AS per_metre
+        FROM (SELECT DISTINCT route_id, direction_id FROM blend) p JOIN routes r ON r.route_id=p.route_id LEFT JOIN headways h ON h.route_id=p.route_id AND h.direction_id=p.direction_id"""
+
+
+def _reached(own: str, starts: str, edges: str, boards: str, walks: str, times: float) -> str:
+    """The least cost of each arrival at a stop by a run with some tickets paid, and on route -1, of standing there, until
+    none gets less. Bit 16 of the mask: something was ridden."""
+    ways = f"(SELECT e.u, e.v, e.route_id, e.direction_id, e.sec, e.sec+e.dist_m*b.per_metre AS on_sec, b.first, b.later, b.bit, b.money FROM {edges} e JOIN {boards} b ON b.route_id=e.route_id AND b.direction_id=e.direction_id)"
+    ride = f"SELECT r.od_id, e.v AS stop_id, e.route_id, e.direction_id, r.mask, r.cost+e.on_sec AS cost FROM {own} r JOIN {ways} e ON e.u=r.stop_id AND e.route_id=r.route_id AND e.direction_id=r.direction_id"
+    board = f"SELECT r.od_id, e.v, e.route_id, e.direction_id, (r.mask|e.bit|65536)::INTEGER, r.cost+CASE WHEN r.mask<65536 THEN e.first ELSE e.later END+CASE WHEN r.mask&e.bit>0 THEN 0e0 ELSE e.money END+e.sec FROM {own} r JOIN {ways} e ON e.u=r.stop_id WHERE r.route_id=-1"
+    walk = f"SELECT r.od_id, w.v, -1::BIGINT, 0, r.mask, r.cost+w.sec*{times}e0 FROM {own} r JOIN {walks} w ON w.u=r.stop_id WHERE r.route_id=-1"
+    both = f"SELECT unnest([{{'r':g.route_id,'d':g.direction_id}},{{'r':-1::BIGINT,'d':0}}]) AS k, g.* FROM ({ride} UNION ALL {board}) g"
+    return f"""SELECT od_id, stop_id, -1::BIGINT AS route_id, 0 AS direction_id, 0 AS mask, 0e0 AS cost FROM {starts}
+        UNION SELECT c.od_id, c.stop_id, c.route_id, c.direction_id, c.mask, min(c.cost) AS cost FROM (SELECT od_id, stop_id, k.r AS route_id, k.d AS direction_id, mask, cost FROM ({both}) UNION ALL {walk}) c
+        LEFT JOIN recurring.{own} o ON o.od_id=c.od_id AND o.stop_id=c.stop_id AND o.route_id=c.route_id AND o.direction_id=c.direction_id AND o.mask=c.mask WHERE o.cost IS NULL OR c.cost<o.cost GROUP BY 1,2,3,4,5"""
+
+
 #: The keys of recursive parts, whose rows are replaced by better ones until none is found.
-KEYS = {"reached": "od_id, stop_id", "railed": "od_id, stop_id", "walked": "source_id, stop_id"}
+KEYS = {**{t: "od_id, stop_id, route_id, direction_id, mask" for t in ("reached", "reached_recommended", "reached_cheapest", "railed")}, "walked": "source_id, stop_id"}
 
 #: Common table expressions; sql() prepends those that a query names.
 PARTS = {
@@ -70,12 +93,7 @@ PARTS = {
     "spot_steps": """SELECT *, coalesce(12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER w))/2),2)+cos(radians(lag(lat) OVER w))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER w))/2),2)))),0) AS step FROM spots WINDOW w AS (PARTITION BY shape_id ORDER BY seq)""",
     "spot_along": "SELECT *, sum(step) OVER (PARTITION BY shape_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS along FROM spot_steps",
     "journeys": "SELECT trip_id, route_id, vehicle_type, count(*) AS hops, sum(dist_m) AS metres FROM hops GROUP BY 1,2,3",
-    "timed": """SELECT v.route_id, v.direction_id, v.pos, v.stop_id, sum(CASE WHEN v.pos=0 THEN 0e0 ELSE coalesce(b.sec,10e0) END) OVER (PARTITION BY v.route_id, v.direction_id ORDER BY v.pos ROWS UNBOUNDED PRECEDING) AS t
-        FROM (SELECT *, lag(stop_id) OVER (PARTITION BY route_id, direction_id ORDER BY pos) AS before FROM visits) v LEFT JOIN blend b ON b.u=v.before AND b.v=v.stop_id AND b.route_id=v.route_id AND b.direction_id=v.direction_id""",
-    "boards": """SELECT p.route_id, p.direction_id, least(coalesce(nullif(headway_min,0),20e0)*30,1200e0) AS first, greatest(least(coalesce(nullif(headway_min,0),20e0)*30,1200e0), CASE WHEN rail THEN 120e0 WHEN vehicle_type='microbus' THEN 540e0 ELSE 240e0 END) AS later
-        FROM patterns p JOIN routes r ON r.route_id=p.route_id LEFT JOIN headways h ON h.route_id=p.route_id AND h.direction_id=p.direction_id""",
-    "rail_visits": "SELECT v.* FROM visits v JOIN routes r ON r.route_id=v.route_id WHERE rail",
-    "rail_walks": "SELECT u, v FROM pairs WHERE u<>v AND dist_m>0 AND dist_m<=750 AND u IN (SELECT stop_id FROM rail_visits) AND v IN (SELECT stop_id FROM rail_visits)",
+    "boards": _boards(240, 120, 0), "boards_recommended": _boards(420, 180, 90), "boards_cheapest": _boards(240, 120, 10000),
     "positions": """SELECT event_id, user_id AS session_id, user_id%60 AS route_id, (floor(epoch_us(ts)/86400e6)::bigint%2)::int AS direction_id, 30.0e0+value*0.0001e0 AS lat, 31.2e0+json_extract_string(props,'$.k')::int*0.0005e0 AS lon,
         epoch_us(ts)/600e6 AS tm, event_type='error' AS ended FROM events""",
     "last_fix": """SELECT * FROM (SELECT *, least(row_number() OVER r,5)::int AS fixes, CASE WHEN tm-lag(tm) OVER r>=2 THEN 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat)-radians(lag(lat) OVER r))/2),2)+cos(radians(lag(lat) OVER r))*cos(radians(lat))*pow(sin((radians(lon)-radians(lag(lon) OVER r))/2),2))))/(tm-lag(tm) OVER r) END AS speed, row_number() OVER (PARTITION BY session_id ORDER BY tm DESC,event_id DESC) AS n FROM (
@@ -84,15 +102,23 @@ PARTS = {
     "cards": """SELECT p.route_id, nullif(regexp_replace(route_short_name,'[^0-9]','','g'),'') AS number, route_long_name, route_short_name, vehicle_type, a.stop_name AS first, b.stop_name AS last, len(stops)::int AS stop_count
         FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY direction_id) AS n FROM patterns) p JOIN routes r ON r.route_id=p.route_id JOIN stops a ON a.stop_id=p.stops[1] JOIN stops b ON b.stop_id=p.stops[len(p.stops)] WHERE n=1""",
     "starts": "SELECT stop_id AS od_id, stop_id FROM stops WHERE stop_id%20=0",
-    "rides_on": "SELECT e.route_id, e.direction_id, e.stop_id AS a, l.stop_id AS b, min(l.t-e.t) AS sec FROM timed e JOIN timed l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos GROUP BY 1,2,3,4",
-    "ways_on": "SELECT a, b, min(first+sec) AS begun, min(later+sec) AS on_sec FROM rides_on x JOIN boards y ON y.route_id=x.route_id AND y.direction_id=x.direction_id GROUP BY 1,2",
-    "reached": """SELECT od_id, b AS stop_id, begun AS cost FROM starts JOIN ways_on ON a=stop_id WHERE b<>od_id
-        UNION SELECT c.od_id, c.stop_id, min(c.cost) AS cost FROM (SELECT r.od_id, x.b AS stop_id, r.cost+x.on_sec AS cost FROM reached r JOIN ways_on x ON x.a=r.stop_id UNION ALL SELECT r.od_id, w.v, r.cost+w.sec FROM reached r JOIN walks w ON w.u=r.stop_id) c
-        LEFT JOIN recurring.reached o ON o.od_id=c.od_id AND o.stop_id=c.stop_id WHERE c.stop_id<>c.od_id AND (o.cost IS NULL OR c.cost<o.cost) GROUP BY 1,2""",
-    "rail_hops": "SELECT e.stop_id AS a, l.stop_id AS b, min(l.pos-e.pos)::double AS hops FROM rail_visits e JOIN rail_visits l ON l.route_id=e.route_id AND l.direction_id=e.direction_id AND l.pos>e.pos GROUP BY 1,2",
-    "railed": """SELECT (SELECT min(stop_id) FROM rail_visits) AS od_id, b AS stop_id, hops AS cost FROM rail_hops WHERE a=(SELECT min(stop_id) FROM rail_visits) AND b<>a
-        UNION SELECT c.od_id, c.stop_id, min(c.cost) AS cost FROM (SELECT r.od_id, x.b AS stop_id, r.cost+3+x.hops AS cost FROM railed r JOIN rail_hops x ON x.a=r.stop_id UNION ALL SELECT r.od_id, w.v, r.cost+3 FROM railed r JOIN rail_walks w ON w.u=r.stop_id) c
-        LEFT JOIN recurring.railed o ON o.od_id=c.od_id AND o.stop_id=c.stop_id WHERE c.stop_id<>c.od_id AND (o.cost IS NULL OR c.cost<o.cost) GROUP BY 1,2""",
+    "reached": _reached("reached", "starts", "blend", "boards", "walks", 1.0),
+    "reached_recommended": _reached("reached_recommended", "starts", "blend", "boards_recommended", "walks", 1.6),
+    "reached_cheapest": _reached("reached_cheapest", "starts", "blend", "boards_cheapest", "walks", 1.0),
+    "rail_edges": "SELECT u, v, route_id, direction_id, 1e0 AS sec, dist_m FROM edges WHERE vehicle_type IN ('metro','monorail','lrt','apm','tram')",
+    "rail_stops": "SELECT u AS stop_id FROM rail_edges UNION SELECT v FROM rail_edges",
+    "rail_boards": "SELECT DISTINCT route_id, direction_id, 0e0 AS first, 3e0 AS later, 0 AS bit, 0e0 AS money, 0e0 AS per_metre FROM rail_edges",
+    "rail_start": "SELECT 0 AS od_id, min(stop_id) AS stop_id FROM rail_stops",
+    "rail_walks": "SELECT u, v, 3e0 AS sec FROM pairs WHERE u<>v AND dist_m>0 AND dist_m<=750 AND u IN (SELECT stop_id FROM rail_stops) AND v IN (SELECT stop_id FROM rail_stops)",
+    "railed": _reached("railed", "rail_start", "rail_edges", "rail_boards", "rail_walks", 1.0),
+    "marks": "SELECT trip_id AS id, ((seq-1)//2)::int AS pos, list({'id':s.stop_id,'lat':lat,'lon':lon} ORDER BY seq, s.stop_id) AS opts FROM stop_times s JOIN stops p ON p.stop_id=s.stop_id GROUP BY 1,2",
+    "turns": "SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS k, opts, lead(opts) OVER (PARTITION BY id ORDER BY pos) AS following FROM marks",
+    "chain": f"""SELECT id, 1::BIGINT AS k, [CASE WHEN following IS NULL THEN opts[1] ELSE list_reduce(opts, lambda a, b: CASE WHEN list_min(list_transform(following, lambda y: {_m('b.lat','b.lon','y.lat','y.lon')}))<list_min(list_transform(following, lambda y: {_m('a.lat','a.lon','y.lat','y.lon')})) THEN b ELSE a END) END] AS line FROM turns WHERE k=1
+        UNION ALL SELECT c.id, c.k+1, list_append(c.line, list_reduce(t.opts, lambda a, b: CASE WHEN {_m('c.line[len(c.line)].lat','c.line[len(c.line)].lon','b.lat','b.lon')}<{_m('c.line[len(c.line)].lat','c.line[len(c.line)].lon','a.lat','a.lon')} THEN b ELSE a END)) FROM chain c JOIN turns t ON t.id=c.id AND t.k=c.k+1""",
+    "chosen": "SELECT id, list_filter(line, lambda x, i: i=1 OR x.id<>line[i-1].id) AS line FROM (SELECT id, line FROM chain QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC)=1)",
+    "thinned": f"""SELECT id, 0 AS n, line FROM chosen
+        UNION ALL SELECT id, n+1, list_filter(line, lambda x, i: i<>worst) AS line FROM (SELECT id, n, line, list_reduce(list_prepend({{'g':0e0,'at':0::BIGINT}}, list_transform(list_filter(range(2, len(line)), lambda i: steps[i-1]+steps[i]>4*usual), lambda i: {{'g':steps[i-1]+steps[i]-{_m('line[i-1].lat','line[i-1].lon','line[i+1].lat','line[i+1].lon')},'at':i}})), lambda a, b: CASE WHEN b.g>a.g THEN b ELSE a END).at AS worst
+            FROM (SELECT *, list_sort(steps)[len(steps)//2+1] AS usual FROM (SELECT *, list_transform(range(1, len(line)), lambda i: {_m('line[i].lat','line[i].lon','line[i+1].lat','line[i+1].lon')}) AS steps FROM thinned WHERE len(line)>=4)) WHERE usual>0) WHERE worst>0""",
     "undirected": "SELECT u, v, min(d) AS d FROM (SELECT u, v, dist_m AS d FROM edges UNION ALL SELECT v, u, dist_m FROM edges) GROUP BY 1,2",
     "walked": """SELECT stop_id AS source_id, stop_id, 0e0 AS m FROM stops
         UNION SELECT r.source_id, e.v AS stop_id, min(r.m+e.d) AS m FROM walked r JOIN undirected e ON e.u=r.stop_id LEFT JOIN recurring.walked o ON o.source_id=r.source_id AND o.stop_id=e.v WHERE r.m+e.d<=1500 AND (o.m IS NULL OR r.m+e.d<o.m) GROUP BY 1,2""",
@@ -178,7 +204,10 @@ QUERIES |= {
     "gtfs_times": """SELECT trip_id, seq, printf('%02d:%02d:%02d', t//3600, t%3600//60, t%60) AS text, t::int AS sec FROM stop_times""",
     "order_clock": """SELECT event_id, lower(dayname(ts)) AS dow, (hour(ts)*3600+minute(ts)*60+second(ts))::int AS sec, strftime(CASE WHEN date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 9 HOUR>ts+INTERVAL 3 HOUR THEN date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 6 HOUR ELSE date_trunc('day',ts+INTERVAL 3 HOUR)+INTERVAL 30 HOUR END,'%Y-%m-%dT%H:%M:%SZ') AS next,
         CASE WHEN round_even(value,0)>=60 THEN printf('%dh%02dm', round_even(value,0)::bigint//60, round_even(value,0)::bigint%60) ELSE printf('%dm', round_even(value,0)::bigint) END AS text FROM events""",
-    "search_rounds": "SELECT od_id, stop_id, round(cost*10)::bigint AS cost10 FROM (SELECT od_id, stop_id, cost FROM reached UNION ALL SELECT od_id, stop_id, 0 FROM starts)",
+    "corridor_anchors": "SELECT id AS corridor_id, unnest(range(len(line)))::int AS n, unnest(list_transform(line, lambda x: x.id)) AS stop_id FROM (SELECT id, line FROM thinned QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC)=1)",
+    "search_rounds": "SELECT od_id, stop_id, round(min(cost)*10)::bigint AS cost10 FROM reached WHERE route_id=-1 GROUP BY 1,2",
+    "search_recommended": "SELECT od_id, stop_id, round(min(cost)*10)::bigint AS cost10 FROM reached_recommended WHERE route_id=-1 GROUP BY 1,2",
+    "search_cheapest": "SELECT od_id, stop_id, round(min(cost)*10)::bigint AS cost10 FROM reached_cheapest WHERE route_id=-1 GROUP BY 1,2",
     "shape_lengths": """SELECT shape_id, count(*) AS points, round(max(along))::bigint AS metres FROM spot_along GROUP BY 1""",
     "shape_along": """SELECT shape_id AS query_id, s1<=500 AND s2<=500 AS on_shape, round(CASE WHEN s1<=500 AND s2<=500 THEN abs(a2-a1) ELSE 12742000e0*asin((0e0+sqrt(pow(sin((radians(lat2)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(lat2))*pow(sin((radians(lon2)-radians(lon1))/2),2)))) END)::bigint AS metres FROM (SELECT q.shape_id, lat1, lon1, lat2, lon2, min(d1) AS s1, arg_min(along,(d1,seq)) AS a1, min(d2) AS s2, arg_min(along,(d2,seq)) AS a2 FROM (
         SELECT q.*, p.seq, p.along, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat1))/2),2)+cos(radians(lat1))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon1))/2),2)))) AS d1, 12742000e0*asin((0e0+sqrt(pow(sin((radians(p.lat)-radians(lat2))/2),2)+cos(radians(lat2))*cos(radians(p.lat))*pow(sin((radians(p.lon)-radians(lon2))/2),2)))) AS d2 FROM (SELECT shape_id, arg_min(lat,seq) FILTER (seq=2)+0.0001e0 AS lat1, arg_min(lon,seq) FILTER (seq=2)+0.0001e0 AS lon1, arg_max(lat,seq)+0.0002e0 AS lat2, arg_max(lon,seq)+0.0002e0 AS lon2 FROM spots GROUP BY 1 HAVING max(seq)>=3) q JOIN spot_along p USING (shape_id)) q GROUP BY 1,2,3,4,5)""",
@@ -200,7 +229,7 @@ QUERIES |= {
     "match_contains": """SELECT landmark, stop_id, matched FROM (SELECT l.landmark, n.stop_id, n.k AS matched, row_number() OVER (PARTITION BY l.landmark ORDER BY abs(length(n.k)-length(l.k)), n.k, n.stop_id) AS r FROM (SELECT DISTINCT p_name AS landmark, replace(p_name,' ','') AS k FROM part) l JOIN (SELECT replace(p_name||p_type,' ','') AS k, min(p_partkey) AS stop_id FROM part GROUP BY 1) n
         ON n.k<>l.k AND length(l.k)>=5 AND length(n.k)>=5 AND (contains(n.k,l.k) OR contains(l.k,n.k)) AND least(length(n.k),length(l.k))/greatest(length(n.k),length(l.k))>=0.45e0) WHERE r=1""",
     "live_active": """SELECT route_id, count(*) AS active FROM last_fix GROUP BY 1""",
-    "rail_plan": "SELECT stop_id, cost::bigint AS cost FROM (SELECT stop_id, cost FROM railed UNION ALL SELECT min(stop_id), 0 FROM rail_visits)",
+    "rail_plan": "SELECT stop_id, min(cost)::bigint AS cost FROM railed WHERE route_id=-1 GROUP BY 1",
     "live_eta": """SELECT session_id, round_even(d/v,0)::bigint AS eta_sec, round_even(d,0)::bigint AS distance_m, round_even((SELECT min(tm)+4000 FROM positions)-tm,0)::bigint AS age_sec FROM (SELECT *, 12742000e0*asin((0e0+sqrt(pow(sin((radians(30.05e0)-radians(lat))/2),2)+cos(radians(lat))*cos(radians(30.05e0))*pow(sin((radians(31.22e0)-radians(lon))/2),2)))) AS d, CASE WHEN speed BETWEEN 1 AND 25 THEN speed WHEN vehicle_type='metro' THEN 11e0 WHEN vehicle_type IN ('minibus','microbus') THEN 7e0 ELSE 6e0 END AS v FROM last_fix f JOIN routes r ON r.route_id=f.route_id)""",
     "bounded_reach": "SELECT source_id, stop_id, round(m*10)::bigint AS metres10 FROM walked",
     "route_search": """SELECT route_id, 1 AS rank, number, stop_count FROM cards WHERE vehicle_type='minibus' AND contains(lower(concat_ws(' ',number,route_long_name,first,last,route_short_name)),'1')""",

@@ -245,33 +245,38 @@ def order_clock(n: Network) -> DataFrame:
 
 @query
 def search_rounds(n: Network) -> DataFrame:
-    """Fastest arrivals at all stops from every twentieth, with as many boardings as it takes."""
-    plan = _planner(n)
-    return search.best_by_stop(plan.search(_origins(n), "fastest")).select("od_id", "stop_id", tenths("cost").alias("cost10"))
+    """Fastest arrivals at all stops from every twentieth, over all edges, with as many boardings as it takes."""
+    return _costs(n, "fastest")
+
+
+@query
+def search_recommended(n: Network) -> DataFrame:
+    """What the recommended journeys to all stops cost, in seconds, with fares turned into time."""
+    return _costs(n, "recommended")
+
+
+@query
+def search_cheapest(n: Network) -> DataFrame:
+    return _costs(n, "cheapest")
+
 
 @dataclass
 class Planner:
     """Written tables that searches read in every round."""
 
-    patterns: DataFrame
-    timed: DataFrame
+    edges: DataFrame
     routes: DataFrame
     headways: DataFrame
     walks: DataFrame
 
     def search(self, origins: DataFrame, profile: str) -> DataFrame:
-        boards = search.boardings(self.patterns, self.routes, self.headways, profile)
-        return search.search(self.timed, boards, self.walks, origins, walk_times=C.PROFILES[profile][1])
+        boards = search.boardings(self.edges, self.routes, self.headways, profile)
+        return search.search(self.edges, boards, self.walks, origins, walk_times=C.PROFILES[profile][1])
 
 
 def _planner(n: Network) -> Planner:
-    p = session.materialize(_patterns(n), "patterns")
-    # Only pairs of stops that follow each other in a pattern are ridden: other edges need no mean and no median.
-    at = patterns.pattern_stops(p).withColumn("v", F.lead("stop_id").over(Window.partitionBy("route_id", "direction_id").orderBy("pos")))
-    ridden = at.where("v IS NOT NULL").select(F.col("stop_id").alias("u"), "v").distinct()
-    blended = edges.blended(edges.edge_means(_times(n).join(ridden, ["u", "v"], "left_semi")))
-    timed = session.materialize(search.timed_patterns(p, blended), "timed")
-    return Planner(p, timed, n.routes, session.materialize(service.headways(n.frequencies), "headways"), session.materialize(spatial.walk_links(n.stops), "walks"))
+    all_edges = session.materialize(edges.blended(session.materialize(_edges(n), "means")).select(*edges.EDGE, "sec", "dist_m"), "edges")
+    return Planner(all_edges, n.routes, session.materialize(service.headways(n.frequencies), "headways"), session.materialize(spatial.walk_links(n.stops), "walks"))
 
 
 def _origins(n: Network) -> DataFrame:
@@ -279,13 +284,19 @@ def _origins(n: Network) -> DataFrame:
     return n.stops.where("stop_id % 20 = 0").select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost"))
 
 
+def _costs(n: Network, profile: str) -> DataFrame:
+    return search.best_by_stop(_planner(n).search(_origins(n), profile)).select("od_id", "stop_id", tenths("cost").alias("cost10"))
+
+
 def _answers(n: Network, plan: Planner, profile: str) -> DataFrame:
-    return session.materialize(search.best_by_stop(plan.search(_origins(n), profile)).where(F.size("path") > 0), "answers")
+    """The best journey to each stop that takes a ride."""
+    labels = plan.search(_origins(n), profile)
+    return session.materialize(search.traced(search.best_by_stop(labels), labels).where(F.exists("path", lambda s: s["kind"] == "ride")), "answers")
 
 
 def _planned(n: Network, profile: str) -> DataFrame:
     plan = _planner(n)
-    return search.itineraries(_answers(n, plan, profile), plan.timed, n.routes, plan.headways)
+    return search.itineraries(_answers(n, plan, profile), n.routes, plan.headways)
 
 
 @query
@@ -293,7 +304,7 @@ def itinerary_steps(n: Network) -> DataFrame:
     """What to do on each recommended journey, in order."""
     plan = _planner(n)
     answers = _answers(n, plan, "recommended")
-    told = search.instructions(search.rides(answers, plan.timed, n.routes, plan.headways), answers)
+    told = search.instructions(search.rides(answers, n.routes, plan.headways), answers)
     return told.select("od_id", "stop_id", "n", "kind", "route_id", "vehicle_type", "start", "end", "stops", tenths("wait_sec").alias("wait10"), tenths("sec").alias("sec10"), F.round("metres").cast("long").alias("metres"), "fare_egp")
 
 
@@ -307,17 +318,21 @@ def itinerary_cheapest(n: Network) -> DataFrame:
     return _planned(n, "cheapest")
 
 
-def _rail(n: Network) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Journeys on rail from the first station, with the fewest hops, three more for each change or walk; and what they need."""
-    p = session.materialize(_patterns(n).join(n.routes.where("rail").select("route_id"), "route_id"), "patterns")
-    at = patterns.pattern_stops(p)
-    timed = session.materialize(at.select("route_id", "direction_id", "pos", "stop_id", F.col("pos").cast("double").alias("t"), F.lit(0.0).alias("metres")), "timed")
+def _rail(n: Network) -> tuple[DataFrame, DataFrame]:
+    """Journeys on all rail edges from the first station, with the fewest hops, three more for each change or walk."""
+    on_rail = session.materialize(_edges(n).where(F.col("vehicle_type").isin(*C.RAIL)).select(*edges.EDGE, F.lit(1.0).alias("sec"), "dist_m"), "rail-edges")
     zero = F.lit(0.0)
-    boards = p.select("route_id", "direction_id", zero.alias("first"), F.lit(3.0).alias("later"), F.lit(0).alias("bit"), zero.alias("money"), zero.alias("per_metre"))
-    stations = at.select("stop_id").distinct()
+    boards = on_rail.select("route_id", "direction_id").distinct().select("route_id", "direction_id", zero.alias("first"), F.lit(3.0).alias("later"), F.lit(0).alias("bit"), zero.alias("money"), zero.alias("per_metre"))
+    stations = on_rail.select(F.col("u").alias("stop_id")).union(on_rail.select("v")).distinct()
     walks = spatial.walk_links(n.stops, C.RAIL_WALK_M).join(stations.withColumnRenamed("stop_id", "u"), "u", "left_semi").join(stations.withColumnRenamed("stop_id", "v"), "v", "left_semi").select("u", "v", F.lit(3.0).alias("sec"))
     origin = stations.agg(F.min("stop_id").alias("stop_id")).select(F.lit(0).cast("long").alias("od_id"), "stop_id", zero.alias("cost"))
-    return session.materialize(search.best_by_stop(search.search(timed, boards, session.materialize(walks, "walks"), origin)), "answers"), timed, p
+    labels = search.search(on_rail, boards, session.materialize(walks, "walks"), origin)
+    return search.best_by_stop(labels), labels
+
+
+def _rail_answers(n: Network) -> DataFrame:
+    best, labels = _rail(n)
+    return session.materialize(search.traced(best, labels).where(F.exists("path", lambda s: s["kind"] == "ride")), "answers")
 
 
 @query
@@ -328,16 +343,14 @@ def rail_plan(n: Network) -> DataFrame:
 @query
 def rail_legs(n: Network) -> DataFrame:
     """Lines of each rail journey, in order, and where and how to change."""
-    answers, timed, p = _rail(n)
-    answers = answers.where(F.size("path") > 0)
-    return search.rail_legs(search.rides(answers, timed, n.routes, service.headways(n.frequencies)), answers, p).drop("od_id")
+    answers = _rail_answers(n)
+    return search.rail_legs(search.rides(answers, n.routes, service.headways(n.frequencies)), answers, _patterns(n)).drop("od_id")
 
 
 @query
 def rail_fares(n: Network) -> DataFrame:
     """The ticket of each mode of each rail journey."""
-    answers, timed, _ = _rail(n)
-    return search.fare_breakdown(search.rides(answers.where(F.size("path") > 0), timed, n.routes, service.headways(n.frequencies))).drop("od_id")
+    return search.fare_breakdown(search.rides(_rail_answers(n), n.routes, service.headways(n.frequencies))).drop("od_id")
 
 
 @query
@@ -547,7 +560,7 @@ def bbox_errors(n: Network) -> DataFrame:
 def journey_plan(n: Network) -> DataFrame:
     """Options for every twentieth customer's request between places on both sides of the network, on a Wednesday at nine."""
     plan = _planner(n)
-    model = journey.Model(n.stops, n.routes, plan.patterns, plan.timed, plan.headways, plan.walks)
+    model = journey.Model(n.stops, n.routes, plan.edges, plan.headways, plan.walks)
     k = F.col("c_custkey")
     wanted = n._read("customer").where(k % 20 == 0).select(k.alias("od_id"), (30.02 + (k % 7) * 0.004).alias("lat1"), (31.20 + (k % 5) * 0.006).alias("lon1"), (30.02 + (k % 3) * 0.2).alias("lat2"), (31.235 - (k % 4) * 0.002).alias("lon2"))
     found = journey.plan(model, wanted, service.service_windows(n.frequencies), service.inactive_on(n.trips, n.calendar, "wednesday"), 9 * 3600)

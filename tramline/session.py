@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: Shuffle files go when an execution has ended: what is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, in a folder of this application's own, which may go when it has ended.
@@ -36,8 +39,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._scratch_path = path
+    return read
+
+
+def release(df: DataFrame) -> None:
+    """Delete what materialize wrote for df: for tables of finished rounds, once all that was made of them is written."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship_package(spark: SparkSession) -> None:
