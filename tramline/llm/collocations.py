@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import string
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.llm.batches import byte_texts, slices, texts
-from tramline.session import materialize
+from tramline.session import materialize, release
 
 # What ends a piece, and what sets words apart.
 PIECE_ENDS, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
 
 #: Bytes of text that a task gathers before it writes a chunk for each language.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
+#: A name is the place where a phrase was first met: a chunk's number, and in so many low bits the phrase's number in it.
+PLACE_BITS = 28
 #: Steps by which the rows of a language are narrowed to its first: shares of a language that are ranked apart.
 RANKED_APART = (512, 8)
 
@@ -48,6 +50,16 @@ _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase
 _GAP = b"."  # no word holds it
 
 
+def _packed(sequence: np.ndarray) -> bytes:
+    """A sequence of 32-bit numbers, compressed, after its length in bytes."""
+    raw = sequence.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(sequence: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(sequence[8:], int.from_bytes(sequence[:8], "little"), "zstd", asbytes=True), np.int32)
+
+
 class _Chunk:
     """Texts of one language as a sequence of numbers, 0 between pieces, and the words that the numbers stand for."""
 
@@ -64,7 +76,7 @@ class _Chunk:
     def row(self) -> tuple[bytes, list[bytes], np.ndarray]:
         sequence = np.concatenate(self.runs)
         counts = np.bincount(sequence, minlength=len(self.numbers))[1:]
-        return sequence.tobytes(), [w for w in self.numbers if w != _GAP], counts
+        return _packed(sequence), [w for w in self.numbers if w != _GAP], counts
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,86 +103,100 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed()
 
 
-def _paired(sequence: bytes, nos: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk whose numbers (nos) have got names, the rest none: where named ones follow each other, the number of the
-    distinct pair that begins there, from 1, or 0; then the pairs, as left and right names."""
-    numbers = np.frombuffer(sequence, np.int32)
-    known = np.zeros(max(int(numbers.max(initial=0)), int(nos.max(initial=0))) + 1, np.int64)
-    known[nos] = np.arange(1, len(nos) + 1)
-    at = known[numbers]
+def _pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where numbers above 0 follow each other, the number of the distinct pair that begins there, from 1, else 0; then the
+    distinct pairs' left and right numbers."""
     both = np.zeros(len(at), bool)
     np.logical_and(at[:-1] > 0, at[1:] > 0, out=both[:-1])
     where = np.flatnonzero(both)
-    pairs, which = np.unique(at[where] << 32 | at[where + 1], return_inverse=True)
+    pairs, which = np.unique(at[where].astype(np.int64) << 32 | at[where + 1], return_inverse=True)
+    if len(pairs) >= 1 << PLACE_BITS:
+        raise ValueError("one text has too many different phrases")
     begins = np.zeros(len(at), np.int32)
     begins[where] = which + 1
-    return begins, names[(pairs >> 32) - 1], names[(pairs & 0xFFFFFFFF) - 1]
+    return begins, pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of each chunk (chunk, sequence, names), with their numbers in it and their counts."""
     for batch in batches:
         for k in range(batch.num_rows):
-            named = batch.column("named")[k].values
-            yield batch.column("chunk")[k].as_py(), batch.column("sequence")[k].as_py(), named.field("no").to_numpy(), named.field("name").to_numpy()
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each chunk, with their numbers in it and their counts."""
-    for chunk, sequence, nos, names in _rows(batches):
-        begins, left, right = _paired(sequence, nos, names)
-        counts = np.bincount(begins, minlength=len(left) + 1)[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), chunk)), pa.array(np.arange(1, len(left) + 1, dtype=np.int32)), pa.array(left), pa.array(right), pa.array(counts.astype(np.int64))], names=["chunk", "no", "left", "right", "n"])
-
-
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk as a sequence of its pairs' numbers; of what follows no pair, one 0 is kept."""
-    for chunk, sequence, nos, names in _rows(batches):
-        begins, _, _ = _paired(sequence, nos, names)
-        kept = begins > 0
-        kept[1:] |= begins[:-1] > 0
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([begins[kept].tobytes()], pa.binary())], names=["chunk", "sequence"])
-
-
-def _named(asked: DataFrame, by: list[str], least: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """asked: chunk, no, n and the columns by which the same things meet. Returns the frequent things (by, f and name) and,
-    for each chunk, its numbers' names (named).
+            chunk, names = batch.column("chunk")[k].as_py(), batch.column("names")[k].values.to_numpy()
+            begins, left, right = _pairs(_unpacked(batch.column("sequence")[k].as_py()))
+            counts = np.bincount(begins, minlength=len(left) + 1)[1:]
+            places = np.arange(1, len(left) + 1) + (chunk << PLACE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(names[left - 1]), pa.array(names[right - 1]), pa.array(counts.astype(np.int32))], names=["place", "left", "right", "n"])
+
+
+def _told(paired: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks (chunk, sequence, named) with only the numbers that have got names, of words or (paired) of the pairs of the
+    numbers: chunk, sequence, and names in order of the new numbers. Of what has no name, one 0 is kept."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                named = batch.column("named")[k].values
+                nos, names = named.field("no").to_numpy(), named.field("name")
+                numbers = _unpacked(batch.column("sequence")[k].as_py())
+                if paired:
+                    numbers = _pairs(numbers)[0]
+                known = np.zeros(max(int(numbers.max(initial=0)), int(nos.max(initial=0))) + 1, np.int32)
+                known[nos] = np.arange(1, len(nos) + 1)
+                at = known[numbers]
+                kept = at > 0
+                kept[1:] |= at[:-1] > 0
+                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(k, 1), pa.array([_packed(at[kept])], pa.binary()), pa.ListArray.from_arrays([0, len(nos)], names)], names=["chunk", "sequence", "names"])
+
+    return told
+
+
+def _named(asked: DataFrame, by: list[str], least: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """asked: place (a chunk's number and, in the low bits, the thing's in it), n and the columns by which the same things meet. Returns the frequent things (by, f and name) and,
+    for each chunk, its numbers' names (named), and the written table that both read.
 
     A thing is met at most once a chunk, so no group is large next to the rows of all chunks."""
-    counted = asked.withColumn("f", F.sum("n").over(Window.partitionBy(*by))).where(F.col("f") >= least)
-    met = materialize(counted.select("chunk", "no", *by, "f"), f"met{level}")
-    things = materialize(met.select(*by, "f").distinct().withColumn("name", F.monotonically_increasing_id()), f"names{level}")
-    replies = met.join(things.drop("f"), by).groupBy("chunk").agg(F.collect_list(F.struct("no", "name")).alias("named"))
-    return things, replies
-
-
-def _step(chunks: DataFrame, replies: DataFrame, last: bool, level: int) -> tuple[DataFrame, DataFrame | None]:
-    """What chunks ask of the next level, and the chunks as sequences of its numbers (not needed of the last)."""
-    told = chunks.select("chunk", "sequence").join(replies, "chunk")
-    told = told if last else materialize(told, f"told{level}")
-    asked = told.mapInArrow(_asked, "chunk long, no int, left long, right long, n long")
-    return asked, None if last else told.mapInArrow(_renumbered, "chunk long, sequence binary")
+    same = Window.partitionBy(*by)
+    counted = asked.withColumns({"f": F.sum("n").over(same), "name": F.min("place").over(same)}).where(F.col("f") >= least)
+    first = F.col("name") == F.col("place")  # one row of each thing tells what it is
+    chunk, no = F.shiftright("place", PLACE_BITS), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    met = materialize(counted.select(chunk.alias("chunk"), no.alias("no"), "name", *[F.when(first, F.col(c)).alias(c) for c in (*by, "f")]), f"met{level}")
+    replies = met.groupBy("chunk").agg(F.collect_list(F.struct("no", "name")).alias("named"))
+    return met.where("f IS NOT NULL").select(*by, "f", "name"), replies, met
 
 
 def phrases(docs: DataFrame, least: int, longest: int = 4) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to `longest` words that occur `least` times or more: lang, size, name, left, right, f, phrase, last
     (its last word), firsts and lasts (counts of its first and last 1, 2, ... words); and n, all words, of each lang."""
     texts_of = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = materialize(texts_of.mapInArrow(_cut, "lang string, sequence binary, words array<string>, counts array<long>").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    total = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    asked = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "w")).select("chunk", (F.col("no") + 1).alias("no"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    things, replies = _named(asked, ["lang", "word"], least, 1)
+    cut = materialize(texts_of.mapInArrow(_cut, "lang string, sequence binary, words array<string>, counts array<long>").withColumn("at", F.monotonically_increasing_id()), "chunks")
+    # Chunks are numbered on from task to task: the counts of the tasks are as many rows as there are tasks, so they are broadcast.
+    task = F.shiftright("at", 33)
+    tasks = cut.groupBy(task.alias("task")).agg(F.min("at").alias("first"), F.count("*").alias("chunks"))
+    before = F.coalesce(F.sum("chunks").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = cut.join(F.broadcast(tasks.select("task", (before - F.col("first")).alias("shift"))), task == F.col("task")).withColumn("chunk", F.col("at") + F.col("shift"))
+    total = cut.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    total = materialize(total, "totals")
+    asked = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "w")).select((F.shiftleft("chunk", PLACE_BITS) + F.col("no") + 1).alias("place"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    things, replies, met = _named(asked, ["lang", "word"], least, 1)
     none = F.lit(None).cast("long")
-    levels = [things.select("lang", F.lit(1).alias("size"), "name", none.alias("left"), none.alias("right"), "f", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))]
+    levels = [materialize(things.select("lang", F.lit(1).alias("size"), "name", none.alias("left"), none.alias("right"), "f", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("firsts"), F.array("f").alias("lasts")), "level1")]
+    told = cut
     for size in range(2, longest + 1):
-        asked, after = _step(chunks, replies, size == longest, size)
-        things, replies = _named(asked, ["left", "right"], least, size)
-        chunks = after
+        whole, last_met = told, met
+        told = (chunks if size == 2 else told).select("chunk", "sequence").join(replies, "chunk").mapInArrow(_told(size > 2), "chunk long, sequence binary, names array<long>")
+        told = materialize(told, f"told{size}")
+        release(last_met)  # what the last level was made of has been written
+        release(whole)
+        asked = told.mapInArrow(_asked, "place long, left long, right long, n int")
+        things, replies, met = _named(asked, ["left", "right"], least, size)
         below = levels[-1]
         left = below.select(F.col("name").alias("left"), "lang", F.col("phrase").alias("head"), "firsts")
         right = below.select(F.col("name").alias("right"), "last", "lasts")
-        told = things.join(left, "left").join(right, "right")
+        told_of = things.join(left, "left").join(right, "right")
         own = F.array("f")
-        levels.append(materialize(told.select("lang", F.lit(size).alias("size"), "name", "left", "right", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("firsts", own).alias("firsts"), F.concat("lasts", own).alias("lasts")), f"level{size}"))
+        levels.append(materialize(told_of.select("lang", F.lit(size).alias("size"), "name", "left", "right", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("firsts", own).alias("firsts"), F.concat("lasts", own).alias("lasts")), f"level{size}"))
+    release(told)
+    release(met)
     return reduce(DataFrame.unionByName, levels), total
 
 
