@@ -123,9 +123,8 @@ PARTS = {
     "walked": """SELECT stop_id AS source_id, stop_id, 0e0 AS m FROM stops
         UNION SELECT r.source_id, e.v AS stop_id, min(r.m+e.d) AS m FROM walked r JOIN undirected e ON e.u=r.stop_id LEFT JOIN recurring.walked o ON o.source_id=r.source_id AND o.stop_id=e.v WHERE r.m+e.d<=1500 AND (o.m IS NULL OR r.m+e.d<o.m) GROUP BY 1,2""",
     "heads_150": _heads(150, "stop_name"),
-    "heads_1000": _heads(1000, "stop_name"),
-    "heads_100": _heads(100, "1"),
-    "merged_1000": _canonical("heads_1000", 1000, "s.stop_name"),
+    "heads_60": _heads(60, "1"),
+    "merged_150": _canonical("heads_150", 150, "s.stop_name"),
     "places": "SELECT c_custkey AS point_id, 30.0e0+(c_custkey%97)*0.001e0 AS lat, 31.19e0+(c_custkey%89)*0.001e0 AS lon FROM customer",
     "raw_near": f"SELECT point_id, stop_id, d, row_number() OVER (PARTITION BY point_id ORDER BY d, stop_id) AS rank FROM (SELECT point_id, stop_id, {_m('p.lat','p.lon','s.lat','s.lon')} AS d FROM places p, stops s) WHERE d<=5000 QUALIFY rank<=100",
     "good_near": "SELECT *, max(good) OVER (PARTITION BY point_id) AS any_good FROM (SELECT n.*, coalesce(degree>=2,false) AS good FROM raw_near n LEFT JOIN (SELECT u, count(*) AS degree FROM edges GROUP BY 1) e ON e.u=n.stop_id)",
@@ -242,8 +241,8 @@ QUERIES |= {
 
 QUERIES |= {
     "stop_clusters": _canonical("heads_150", 150, "s.stop_name"),
-    "grid_clusters": _canonical("heads_100", 100, "1"),
-    "stop_times_canonical": "SELECT canonical_id AS stop_id, count(*) AS visits, count(DISTINCT trip_id) AS trips FROM stop_times s JOIN merged_1000 m ON m.stop_id=s.stop_id GROUP BY 1",
+    "grid_clusters": _canonical("heads_60", 60, "1"),
+    "stop_times_canonical": "SELECT canonical_id AS stop_id, count(*) AS visits, count(DISTINCT trip_id) AS trips FROM stop_times s JOIN merged_150 m ON m.stop_id=s.stop_id GROUP BY 1",
     "snapped_stops": "SELECT point_id, rank, stop_id, round(metres*10)::bigint AS metres10 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY metres, stop_id)::int AS rank FROM pool) WHERE rank<=3",
     "nearest_hubs": f"SELECT point_id, arg_min(stop_id, (d, stop_id)) AS stop_id, round(min(d))::bigint AS metres FROM (SELECT point_id, stop_id, {_m('(p.lat+CASE WHEN point_id%10=0 THEN 5e0 ELSE 0e0 END)', 'p.lon', 's.lat', 's.lon')} AS d FROM places p, stops s) GROUP BY 1",
     "water_crossings": f"SELECT u, v FROM walk_ends w WHERE NOT EXISTS (SELECT 1 FROM (SELECT a_lat, a_lon, b_lat, b_lon FROM far_water) f WHERE {_turn('p', 'a', 'b')}<>{_turn('q', 'a', 'b')} AND {_turn('p', 'q', 'a')}<>{_turn('p', 'q', 'b')})",

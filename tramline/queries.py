@@ -516,7 +516,7 @@ def corridors_rebuilt(n: Network) -> DataFrame:
 
 @query
 def grid_clusters(n: Network) -> DataFrame:
-    return reconstruct.grid_clusters(n.stops, 100.0)
+    return reconstruct.grid_clusters(n.stops)
 
 
 @query
@@ -590,7 +590,7 @@ def nearest_hubs(n: Network) -> DataFrame:
 @query
 def stop_times_canonical(n: Network) -> DataFrame:
     """Stop times with merged stops in the place of those that were merged into them."""
-    rows = spatial.canonical(n.stop_times, spatial.cluster_same_names(n.stops, 1000.0), "stop_id")
+    rows = spatial.canonical(n.stop_times, spatial.cluster_same_names(n.stops), "stop_id")
     return rows.groupBy("stop_id").agg(F.count("*").alias("visits"), F.countDistinct("trip_id").alias("trips"))
 
 
