@@ -490,6 +490,23 @@ def test_live_stream(spark, tmp_path):
     assert [b for b in sink if b] == [[(1, 1, 2), (2, 1, 1)], [(1, 2, 1)], [(3, 1, 1)], [(1, 1, 1)]]
 
 
+def test_streamed_windows_and_late_reports(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    fix = lambda s, at: (s, 1, 0, 30.0, 31.0, 6000.0 + at, False)
+    # The third batch is up to 90 seconds late for the first minute; the fifth is too late for it, as its window is closed.
+    for k, rows in enumerate([[fix(1, 0), fix(1, 30), fix(2, 70)], [fix(1, 130)], [fix(1, 45), fix(1, 400)], [fix(2, 410)], [fix(1, 50)], [fix(3, 2000)]]):
+        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in live.REPORT.split(", ")]).astype({"direction_id": "int32"})
+        frame.to_parquet(source / f"{k}.parquet")
+        os.utime(source / f"{k}.parquet", (1e9 + 10 * k, 1e9 + 10 * k))
+    stream = live.timed(spark.readStream.schema(live.REPORT).option("maxFilesPerTrigger", 1).parquet(str(source)))
+    minutes = live.reports_per_minute(stream, "route_id").select("route_id", F.unix_seconds("window.start").alias("minute_sec"), "reports")
+    got = {r.minute_sec - 6000: r.reports for r in live.replayed(minutes, ["route_id", "minute_sec"], "minutes").collect()}
+    assert got == {0: 3, 60: 1, 120: 1, 360: 2, 1980: 1}
+    rides = live.ride_sessions(live.timed(spark.read.parquet(str(source))))
+    assert sorted((r.session_id, r.fixes) for r in rides.collect()) == [(1, 1), (1, 5), (2, 1), (2, 1), (3, 1)]
+
+
 def test_audits(spark):
     pairs = spark.createDataFrame([("a", "b", True, True), ("b", "a", True, False), ("a", "c", False, False)], "origin string, destination string, answered boolean, complete boolean")
     rows = {(r.origin, r.destination): (r.answered_pct, r.complete_pct) for r in audits.coverage(pairs).collect()}

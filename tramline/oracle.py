@@ -196,6 +196,7 @@ QUERIES = {
 }
 
 QUERIES |= {
+    "stream_report_minutes": "SELECT route_id, (floor(trunc(tm*1000)/60000)*60)::BIGINT AS minute_sec, count(*) AS reports FROM positions GROUP BY 1,2",
     "fare_banded": """SELECT trip_id, vehicle_type, hops, CASE vehicle_type WHEN 'metro' THEN CASE WHEN hops<=8 THEN 10 WHEN hops<=15 THEN 12 WHEN hops<=22 THEN 15 ELSE 20 END WHEN 'monorail' THEN CASE WHEN hops<=5 THEN 20 WHEN hops<=10 THEN 40 WHEN hops<=15 THEN 55 ELSE 80 END WHEN 'lrt' THEN CASE WHEN hops<=3 THEN 10 WHEN hops<=7 THEN 15 ELSE 20 END ELSE 0 END::bigint AS fare FROM journeys WHERE vehicle_type IN ('metro','monorail','lrt','apm')""",
     "leg_fares": """SELECT trip_id, CASE WHEN j.vehicle_type IN ('metro','monorail','lrt','apm') THEN 0 WHEN j.vehicle_type='microbus' THEN greatest(10,round_even(metres/1000*1.25e0,0)::bigint) WHEN agency_id='GRN' THEN 25 WHEN j.vehicle_type='tram' THEN 0 ELSE 20 END::bigint AS fare FROM journeys j JOIN routes r ON r.route_id=j.route_id""",
     "expected_waits": """SELECT route_id, direction_id, round(least(coalesce(nullif(headway_min,0),20e0)*30,1200e0)*10)::bigint AS wait10, round(greatest(least(coalesce(nullif(headway_min,0),20e0)*30,1200e0),420e0)*10)::bigint AS later10 FROM (SELECT DISTINCT route_id, direction_id FROM trips) t LEFT JOIN headways h USING (route_id, direction_id)""",

@@ -629,3 +629,20 @@ def report_errors(n: Network) -> DataFrame:
     """Why reports of vehicles are not taken."""
     odd = n.positions.withColumns({"lat": F.when(F.col("session_id") % 11 == 0, F.col("lat") + 10).otherwise(F.col("lat")), "lon": F.when(F.col("session_id") % 13 == 0, None).otherwise(F.col("lon"))})
     return live.report_errors(odd).groupBy(F.coalesce("error", F.lit("taken")).alias("error")).agg(F.count("*").alias("n"))
+
+
+class _Replay(Network):
+    """The network with its events as a stream."""
+
+    def _read(self, name: str) -> DataFrame:
+        if name != "events":
+            return super()._read(name)
+        return self.spark.readStream.schema(super()._read(name).schema).parquet(f"{self.sf_dir}/{name}.parque[t]")  # a file or a folder
+
+
+@query
+def stream_report_minutes(n: Network) -> DataFrame:
+    """Reports of each route a minute, counted by a stream of the events and read back from its sink."""
+    counted = live.reports_per_minute(live.timed(_Replay(n.spark, n.sf_dir).positions), "route_id")
+    minute = F.unix_seconds("window.start").alias("minute_sec")
+    return live.replayed(counted.select("route_id", minute, "reports"), ["route_id", "minute_sec"], "report-minutes")

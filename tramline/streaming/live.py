@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tramline.functions import constants as C
 from tramline.functions.fares import literal_map
 from tramline.functions.geo import haversine
+from tramline.session import scratch_dir
 
 REPORT = "session_id long, route_id long, direction_id int, lat double, lon double, at double, ended boolean"
 STATE = "route_id long, direction_id int, lats array<double>, lons array<double>, ats array<double>"
@@ -115,3 +116,29 @@ def reports_per_minute(reports: DataFrame, key: str) -> DataFrame:
 def ride_sessions(reports: DataFrame, gap: str = "90 seconds") -> DataFrame:
     """Rides as session windows: fixes of a session, route and direction no more than gap apart."""
     return reports.withWatermark("event_time", "90 seconds").groupBy(F.session_window("event_time", gap), "session_id", "route_id", "direction_id").agg(F.count("*").alias("fixes"))
+
+
+def timed(reports: DataFrame) -> DataFrame:
+    """Reports with event_time, from at (seconds)."""
+    return reports.withColumn("event_time", F.timestamp_millis((F.col("at") * 1000).cast("long")))
+
+
+def replayed(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Runs a stream over what there is, into a sink of written batches, and reads back the last row of each key.
+
+    Each batch is a folder that is written anew if it is repeated after a failure; offsets and state are kept in a checkpoint
+    beside the folders, both in the shared scratch folder.
+    """
+    spark = stream.sparkSession
+    base = scratch_dir(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/batches/n={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/batches/n=-1")  # a sink, however little came
+    rest = [c for c in stream.columns if c not in keys]
+    last = spark.read.schema(schema).parquet(f"{base}/batches").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*")
