@@ -49,7 +49,7 @@ def _reached(own: str, starts: str, edges: str, boards: str, walks: str, times:
 
 
 #: The keys of recursive parts, whose rows are replaced by better ones until none is found.
-KEYS = {**{t: "od_id, stop_id, route_id, direction_id, mask" for t in ("reached", "reached_recommended", "reached_cheapest", "railed")}, "walked": "source_id, stop_id"}
+KEYS = {**{t: "od_id, stop_id, route_id, direction_id, mask" for t in ("reached", "reached_recommended", "reached_cheapest", "zoned", "railed")}, "walked": "source_id, stop_id"}
 
 #: Common table expressions; sql() prepends those that a query names.
 PARTS = {
@@ -105,6 +105,9 @@ PARTS = {
     "reached": _reached("reached", "starts", "blend", "boards", "walks", 1.0),
     "reached_recommended": _reached("reached_recommended", "starts", "blend", "boards_recommended", "walks", 1.6),
     "reached_cheapest": _reached("reached_cheapest", "starts", "blend", "boards_cheapest", "walks", 1.0),
+    "zones": """SELECT cell_x || '_' || cell_y AS name, arg_min(stop_id, (off, stop_id)) AS stop_id FROM (SELECT *, pow(lat-(cell_y+0.5e0)*0.01e0,2)+pow(lon-(cell_x+0.5e0)*0.01e0,2) AS off FROM (SELECT *, floor(lon/0.01e0)::bigint AS cell_x, floor(lat/0.01e0)::bigint AS cell_y FROM stops)) GROUP BY cell_x, cell_y""",
+    "zone_starts": "SELECT stop_id AS od_id, stop_id FROM zones",
+    "zoned": _reached("zoned", "zone_starts", "blend", "boards", "walks", 1.0),
     "rail_edges": "SELECT u, v, route_id, direction_id, 1e0 AS sec, dist_m FROM edges WHERE vehicle_type IN ('metro','monorail','lrt','apm','tram')",
     "rail_stops": "SELECT u AS stop_id FROM rail_edges UNION SELECT v FROM rail_edges",
     "rail_boards": "SELECT DISTINCT route_id, direction_id, 0e0 AS first, 3e0 AS later, 0 AS bit, 0e0 AS money, 0e0 AS per_metre FROM rail_edges",
@@ -215,7 +218,8 @@ QUERIES |= {
     "point_in_polygon": """SELECT stop_id, (((((30.045e0>lat)<>(30.028e0>lat)) AND lon<(lat-30.045e0)*((31.205e0-31.205e0)/(30.028e0-30.045e0))+31.205e0)::int+(((30.036e0>lat)<>(30.045e0>lat)) AND lon<(lat-30.036e0)*((31.225e0-31.215e0)/(30.045e0-30.036e0))+31.215e0)::int+(((30.028e0>lat)<>(30.036e0>lat)) AND lon<(lat-30.028e0)*((31.215e0-31.225e0)/(30.036e0-30.028e0))+31.225e0)::int)%2=1) AS inside FROM stops""",
     "spur_detect": """SELECT DISTINCT a.shape_id AS seq_id FROM spots a JOIN spots b ON a.shape_id=b.shape_id AND b.seq>=a.seq+4 WHERE 12742000e0*asin((0e0+sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2),2))))<600 AND EXISTS (SELECT 1 FROM spots m WHERE m.shape_id=a.shape_id AND m.seq>a.seq AND m.seq<b.seq AND 12742000e0*asin((0e0+sqrt(pow(sin((radians(m.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(m.lat))*pow(sin((radians(m.lon)-radians(a.lon))/2),2))))>=1500)""",
     "live_latest": """SELECT session_id, route_id, direction_id, fixes, round(speed*1000)::bigint AS mm_s, round(tm*1000)::bigint AS at_ms FROM last_fix""",
-    "coverage_cube": """SELECT origin, destination, count(*) AS pairs, round_even(avg(answered::int::double)*100,1) AS answered_pct, round_even(avg(complete::int::double)*100,1) AS complete_pct, grouping(origin,destination)::int AS level FROM (SELECT (u%12)::varchar AS origin, (v%12)::varchar AS destination, min(sec)<200 AS answered, count(*)>300 AS complete FROM edges GROUP BY 1,2) WHERE origin<>destination GROUP BY GROUPING SETS ((origin),(destination),())""",
+    "coverage_cube": """SELECT origin, destination, count(*) AS pairs, round_even(avg(answered::int::double)*100,1) AS answered_pct, round_even(avg(complete::int::double)*100,1) AS complete_pct, grouping(origin,destination)::int AS level FROM (SELECT a.name AS origin, b.name AS destination, cost IS NOT NULL AS answered, coalesce(cost<=1500,false) AS complete
+        FROM zones a JOIN zones b ON a.name<>b.name LEFT JOIN (SELECT od_id, stop_id, min(cost) AS cost FROM zoned WHERE route_id=-1 AND mask>=65536 GROUP BY 1,2) r ON r.od_id=a.stop_id AND r.stop_id=b.stop_id) GROUP BY GROUPING SETS ((origin),(destination),())""",
     "suspicious_pairs": """SELECT u, v, round(d/s*10)::bigint AS speed10 FROM (SELECT u, v, min(sec) AS s, any_value(dist_m) AS d FROM edges WHERE vehicle_type IN ('bus','minibus','microbus') AND dist_m>=300 GROUP BY 1,2) WHERE s>0 AND d/s>8""",
     "ab_compare": """SELECT CASE WHEN b<a THEN 'better' WHEN b>a THEN 'worse' ELSE 'same' END AS outcome, count(*) AS pairs FROM (SELECT ceil(e.sec/60) AS a, ceil(x.sec/60) AS b FROM edges e JOIN blend x USING (u,v,route_id,direction_id)) GROUP BY 1""",
     "step_upper_median": """SELECT route_id, round(list_sort(list(dist_m))[(count(*)//2+1)::int]*10)::bigint AS upper10, round(median(dist_m)*10)::bigint AS median10 FROM hops GROUP BY 1""",

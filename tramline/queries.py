@@ -521,9 +521,15 @@ def grid_clusters(n: Network) -> DataFrame:
 
 @query
 def coverage_cube(n: Network) -> DataFrame:
-    e = _edges(n)
-    pairs = e.groupBy((F.col("u") % 12).cast("string").alias("origin"), (F.col("v") % 12).cast("string").alias("destination")).agg((F.min("sec") < 200).alias("answered"), (F.count("*") > 300).alias("complete"))
-    return audits.coverage(pairs.where("origin <> destination"))
+    """Between the stops that stand for the cells of a grid: how many pairs have a journey with a ride, and one of at most 25
+    minutes. One search from each stop answers all of its pairs."""
+    plan = _planner(n)
+    places = session.materialize(spatial.cell_representatives(n.stops).select("stop_id", F.concat_ws("_", "cell_x", "cell_y").alias("name")), "places")
+    labels = plan.search(places.select(F.col("stop_id").alias("od_id"), "stop_id", F.lit(0.0).alias("cost")), "fastest")
+    ridden = search.best_by_stop(labels.where(F.col("mask") >= search.RIDDEN)).select("od_id", "stop_id", "cost")
+    side = lambda k, c: places.select(F.col("name").alias(k), F.col("stop_id").alias(c))
+    pairs = audits.ordered_pairs(places).join(side("origin", "od_id"), "origin").join(side("destination", "stop_id"), "destination").join(ridden, ["od_id", "stop_id"], "left")
+    return audits.coverage(pairs.select("origin", "destination", F.col("cost").isNotNull().alias("answered"), F.coalesce(F.col("cost") <= 1500, F.lit(False)).alias("complete")))
 
 
 @query
