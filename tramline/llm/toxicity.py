@@ -5,8 +5,9 @@ word's ends), so an unseen misspelling shares most of its vector with the word i
 word of any language (text without spaces) is cut into overlapping pieces that count as words. The vectors of a
 window's words are averaged and go through a linear softmax; a text's score is that of its most toxic window, so a long
 text does not dilute a few words. All windows of the whole text are scored. Vectors and softmax are learnt together by
-Adam on the windows that decide the scores of a bounded sample of labelled documents. They start at random, near zero;
-vectors of n-grams that occur in both classes about as often as any other stay at zero, as they tell nothing.
+Adam on the windows that decide the scores of a bounded sample of labelled documents. All of them start at random: vectors
+with a deviation of 0.001, the softmax's weights with one of 16, so that a small step of a vector moves a score. Vectors of
+n-grams that occur in both classes about as often as any other stay at zero, as they tell nothing.
 
 Defined results: null, empty or white texts have no words and get the score of no evidence (the softmax's bias);
 repeated rows are scored each; an empty table gives no rows; without labels of both classes the score is constant; a
@@ -119,7 +120,7 @@ class Model:
         return odds, first, docs[first]
 
 
-def train(texts: list[bytes], labels: np.ndarray, dim: int = 4, rounds: int = 100, rate: float = 0.1, decay: float = 1e-5, drop: float = 0.3, scale: float = 32.0, seed: int = 42) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, dim: int = 4, rounds: int = 100, rate: float = 0.1, decay: float = 1e-5, drop: float = 0.3, scale: float = 16.0, seed: int = 42) -> Model:
     rng = np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
         share = float(np.mean(labels)) if len(labels) else 0.5
@@ -143,10 +144,8 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 4, rounds: int = 10
     known = tells[buckets]
     own = np.bincount(np.repeat(np.arange(len(all_sizes)), all_sizes)[known], minlength=len(all_sizes))
     owner, buckets, starts = np.repeat(np.arange(len(own)), own), buckets[known], np.cumsum(own) - own
-    vectors = rng.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32) * tells[:, None]
-    vectors[:, 0] = 0
-    softmax = rng.normal(0, 0.01, (dim, 2)).astype(np.float32)
-    softmax[0] = -scale, scale
+    vectors = rng.normal(0, 0.001, (BUCKETS, dim)).astype(np.float32) * tells[:, None]
+    softmax = rng.normal(0, scale, (dim, 2)).astype(np.float32)
     bias = np.array([1.0, -1.0], np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, softmax, bias)]
     balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
