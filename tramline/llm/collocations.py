@@ -109,11 +109,13 @@ def _pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both = np.zeros(len(at), bool)
     np.logical_and(at[:-1] > 0, at[1:] > 0, out=both[:-1])
     where = np.flatnonzero(both)
-    pairs, which = np.unique(at[where].astype(np.int64) << 32 | at[where + 1], return_inverse=True)
+    keys = at[where].astype(np.int64) << 32 | at[where + 1]
+    pairs = np.unique(keys)
     if len(pairs) >= 1 << PLACE_BITS:
         raise ValueError("one text has too many different phrases")
     begins = np.zeros(len(at), np.int32)
-    begins[where] = which + 1
+    for k in range(0, len(keys), 1 << 20):  # a part at a time: numbers of all would take as much memory again, twice
+        begins[where[k : k + (1 << 20)]] = np.searchsorted(pairs, keys[k : k + (1 << 20)]) + 1
     return begins, pairs >> 32, pairs & 0xFFFFFFFF
 
 
@@ -124,8 +126,10 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk, names = batch.column("chunk")[k].as_py(), batch.column("names")[k].values.to_numpy()
             begins, left, right = _pairs(_unpacked(batch.column("sequence")[k].as_py()))
             counts = np.bincount(begins, minlength=len(left) + 1)[1:]
+            del begins
             places = np.arange(1, len(left) + 1) + (chunk << PLACE_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(names[left - 1]), pa.array(names[right - 1]), pa.array(counts.astype(np.int32))], names=["place", "left", "right", "n"])
+            pa.default_memory_pool().release_unused()
 
 
 def _told(paired: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -146,6 +150,7 @@ def _told(paired: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 kept = at > 0
                 kept[1:] |= at[:-1] > 0
                 yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(k, 1), pa.array([_packed(at[kept])], pa.binary()), pa.ListArray.from_arrays([0, len(nos)], names)], names=["chunk", "sequence", "names"])
+                pa.default_memory_pool().release_unused()
 
     return told
 
