@@ -591,3 +591,17 @@ def test_flattened_trees_walk_as_nested_ones():
         return total
 
     assert np.allclose(trees.odds(rows), [one(r) for r in rows])
+
+
+def test_neighbours_of_queries_that_lie_elsewhere(spark):
+    """Queries unlike the other rows: the lists they visit are measured on queries, against all rows."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(100, 64)) * 3)[rng.integers(0, 100, 6000)] + rng.normal(size=(6000, 64)) * 0.3
+    x[::20] = rng.normal(size=(300, 64))
+    frame = pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.astype(np.float32).tolist()})
+    got = neighbours.nearest(spark.createDataFrame(frame, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).toPandas()
+    scores = (x.astype(np.float32).astype(np.float64)[::20]) @ x.astype(np.float32).astype(np.float64).T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    assert np.mean([len(found[q * 20] & set(best[q])) / 20 for q in range(300)]) >= 0.95

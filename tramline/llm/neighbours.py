@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted in numpy on a bounded sample; every vector is assigned and encoded where it lies.
-A query visits the lists of its nearest centroids. As many are visited as held PROBED of the true neighbours in the
-sample, so that the share found is measured, not assumed. In a unit of work, tables of a query's inner products with the
+A query visits the lists of its nearest centroids. As many are visited as hold PROBED of the true neighbours of drawn
+queries, which are compared with every vector, so that the share found is measured, not assumed: queries may lie
+elsewhere than the rest, and large vectors may be rare. In a unit of work, tables of a query's inner products with the
 codebooks give approximate scores of all coded vectors of the lists it visits; the best RERANK are scored exactly, in
-double precision on the original vectors.
+double precision on the original vectors, and so are those that the error of their own code may have kept from the best k.
 
 Equal vectors are one entry of the index with its k + 1 smallest ids (a query's best k can hold no others), found in two
 steps by salted groups. Lists are put together, or cut, to units of bounded size, and so are the queries of a unit.
@@ -32,8 +33,9 @@ from tramline.session import materialize
 SAMPLE, MOST_SAMPLE, SAMPLE_QUERIES = 1 << 14, 1 << 18, 256
 #: Share of the sample's true neighbours that visited lists must hold.
 PROBED = 0.97
-#: Vectors and queries in a unit of work, and vectors of a unit scored exactly for a query.
-UNIT, UNIT_QUERIES, RERANK = 1 << 13, 1 << 10, 256
+#: Vectors and queries in a unit of work, vectors of a unit scored exactly for a query at least, and how many deviations
+#: of its score a code may be off.
+UNIT, UNIT_QUERIES, RERANK, DEVIATIONS = 1 << 13, 1 << 10, 256, 4.0
 SALTS = 32
 
 
@@ -85,6 +87,11 @@ class Index:
         residuals = self._padded(x - self.centres[own]).reshape(len(x), self.parts, self.part)
         return own, np.stack([_nearest(residuals[:, m], self.books[m]) for m in range(self.parts)], 1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each vector lies from what its code stands for."""
+        off = self._padded(x - self.centres[own]).reshape(len(x), self.parts, self.part)
+        return np.sqrt(sum(((off[:, m] - self.books[m][codes[:, m]]) ** 2).sum(1) for m in range(self.parts)))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with each code: parts, codes, queries."""
         return np.einsum("qmd,mcd->mcq", self._padded(queries).reshape(len(queries), self.parts, self.part), self.books)
@@ -104,6 +111,31 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     return rows.where(F.size("embedding") == dim), dim
 
 
+def _probes(coded: DataFrame, queries: np.ndarray, index: Index, k: int) -> int:
+    """Lists that a query visits: those that hold PROBED of the drawn queries' k nearest of all coded vectors."""
+    dim = queries.shape[1]
+    shared = coded.sparkSession.sparkContext.broadcast(queries)  # SAMPLE_QUERIES rows
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        scores, lists = np.zeros((len(q), 0), q.dtype), np.zeros((len(q), 0), np.int32)
+        for batch in batches:
+            x, own = _matrix(batch.column("embedding"), dim), batch.column("list").to_numpy()
+            for at in range(0, len(x), 4096):
+                part = own[at : at + 4096]
+                scores = np.concatenate([scores, q @ x[at : at + 4096].T], 1)
+                lists = np.concatenate([lists, np.broadcast_to(part, (len(q), len(part)))], 1)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                scores, lists = np.take_along_axis(scores, top, 1), np.take_along_axis(lists, top, 1)
+        at = np.repeat(np.arange(len(q), dtype=np.int32), scores.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(scores.ravel().astype(np.float64)), pa.array(lists.ravel().astype(np.int32))], ["q", "score", "list"])
+
+    found = coded.select("list", "embedding").mapInArrow(best, "q int, score double, list int")
+    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))).where(F.col("rank") <= k + 1).collect()  # k + 1 for each drawn query
+    ranks = np.argsort(index.order(queries), axis=1)
+    return int(np.quantile([ranks[r["q"], r["list"]] for r in top], PROBED, method="higher")) + 1 if top else 1
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest vectors found for each row that meets is_query (on vec_id)."""
     spark = vectors.sparkSession
@@ -129,6 +161,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None
 
     element = rows.schema["embedding"].dataType.simpleString()
     coded = materialize(entries.mapInArrow(encode, f"list int, code binary, embedding {element}, ids array<long>"), "coded")
+    drawn = _matrix(rows.where(is_query).select("embedding").orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(SAMPLE_QUERIES).toArrow().column("embedding").combine_chunks(), dim)
+    probes = max(index.probes, _probes(coded, drawn, index, k)) if len(drawn) else index.probes
     # One row for each list. Small lists share a unit, in order; a large one has units of its own.
     first, parts, held_by, unit, room = {}, {}, {}, -1, 0
     for r in coded.groupBy("list").count().orderBy("list").collect():
@@ -147,7 +181,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None
             where, to, which = [], [], []
             for q, row in enumerate(chosen):
                 # More lists than usual, where the usual ones hold too few vectors.
-                row = row[: max(model.probes, int(np.searchsorted(np.cumsum(sizes[row]), k + 1)) + 1)]
+                row = row[: max(probes, int(np.searchsorted(np.cumsum(sizes[row]), k + 1)) + 1)]
                 row = row[counts[row] > 0]
                 at = np.repeat(firsts[row], counts[row]) + np.arange(counts[row].sum()) - np.repeat(np.cumsum(counts[row]) - counts[row], counts[row])
                 by = np.repeat(row, counts[row])
@@ -178,6 +212,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None
         codes = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.uint8).reshape(len(own), -1)
         ids, query_ids = vectors.column("ids").to_pylist(), queries.column("query_id").to_pylist()
         model, lists_of, out = shared.value, queries.column("lists").to_pylist(), []
+        loose = DEVIATIONS / dim**0.5 * model.errors(v64.astype(np.float32), own, codes)
         for at in range(0, len(q64), 64):
             q = q64[at : at + 64]
             tables = model.tables(q.astype(np.float32))
@@ -193,6 +228,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None
             for j in range(len(q)):
                 near = best[np.isfinite(scores[best[:, j], j]), j]
                 exact = (v64[near] * q[j]).sum(1)
+                if len(near) == take < len(own):  # more may be left, and some of them better than the best k
+                    maybe = np.flatnonzero(scores[:, j] + loose * np.sqrt((q[j] ** 2).sum()) >= np.partition(exact, -k)[-k] if take >= k else np.isfinite(scores[:, j]))
+                    more = np.setdiff1d(maybe, near)
+                    near, exact = np.concatenate([near, more]), np.concatenate([exact, (v64[more] * q[j]).sum(1)])
                 order, found = np.lexsort(([ids[n][0] for n in near], -exact)), 0
                 mine, alike = query_ids[at + j], zlib.crc32(q[j].tobytes())
                 rows = []
