@@ -552,3 +552,59 @@ def test_trusted_corridors_count_as_faster(spark):
     rows = spark.createDataFrame([(1, 2, 7, 0, 100.0), (2, 3, 7, 0, 100.0), (1, 2, 8, 0, 100.0)], "u long, v long, route_id long, direction_id int, sec double")
     trusted = spark.createDataFrame([(7, 1), (7, 2)], "route_id long, stop_id long")
     assert {(r.u, r.route_id): r.sec for r in edges.discounted(rows, trusted).collect()} == {(1, 7): 75.0, (2, 7): 100.0, (1, 8): 100.0}
+
+
+def _shared_places(spark, n=120):
+    """Stops, many of them in one place, with how far each is from each."""
+    spots = [(30.0 + (k * 7 % 11) * 0.0011, 31.2 + (k * 5 % 7) * 0.0013) for k in range(12)]
+    rows = [(k, "ab"[k % 2], *spots[k * 13 % 12]) for k in range(n)]
+    return spark.createDataFrame(rows, "stop_id long, stop_name string, lat double, lon double"), rows, lambda a, b: spatial._metres(a[-2], a[-1], b[-2], b[-1])
+
+
+def test_pairs_of_places_become_pairs_of_all_their_stops(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PLACE_STOPS", 3)
+    stops, rows, apart = _shared_places(spark)
+    want = {(a[0], b[0]) for a in rows for b in rows if 0 < apart(a, b) <= 500.0}
+    assert spatial.place_links(stops).count() < len(want) / 50  # places are measured once
+    got = [(x.u, x.v) for x in spatial.walk_links(stops).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    edges = spark.createDataFrame([(k, k, "metro" if k % 3 else "tram") for k in range(100)], "u long, v long, vehicle_type string")
+    mode = lambda k: k % 3 > 0
+    linked = {(a[0], b[0]) for a in rows[:100] for b in rows[:100] if a[0] < b[0] and mode(a[0]) != mode(b[0]) and apart(a, b) <= 750.0 and not 0 < apart(a, b) <= 500.0}
+    assert {(x.u, x.v) for x in spatial.rail_links(stops, edges).collect()} == linked and linked
+
+
+def test_nearest_stops_of_shared_places(spark):
+    stops, rows, apart = _shared_places(spark)
+    points = spark.createDataFrame([(k, 30.0 + k % 4 * 0.002, 31.2 + k % 3 * 0.003) for k in range(50)], "point_id long, lat double, lon double")
+    for k in (1, 7, 40):
+        want = {}
+        for p in points.collect():
+            near = sorted((round(apart(p, s), 6), s[0]) for s in rows if apart(p, s) <= 900.0)[:k]
+            want |= {(p.point_id, r + 1): s for r, (_, s) in enumerate(near)}
+        assert {(x.point_id, x.rank): x.stop_id for x in spatial.nearest_stops(points, stops, k, 900.0).collect()} == want
+    assert spatial._nearest_of_places(spatial.places(points.withColumnRenamed("point_id", "stop_id")), stops, 1, 900.0).count() == 12  # not one row for each of 50 points
+    spots = points.groupBy("lat", "lon").agg(F.min("point_id").alias("point_id"))
+    on_foot = lambda at, x: F.when(at % 3 != 0, x["dist_m"] * (1 + (at + x["stop_id"]) % 5 * 0.25))
+    near = spatial.nearest_stops(points, stops, 20)
+    walked = near.where("point_id % 3 <> 0").select("point_id", "stop_id", on_foot(F.col("point_id"), {"dist_m": F.col("dist_m"), "stop_id": F.col("stop_id")}).alias("distance_m"))
+    by_place = spatial.reranked_alike(points, spots, spatial.nearest_stops(spots, stops, 20), on_foot, 3)
+    assert sorted(map(tuple, by_place.collect())) == sorted(map(tuple, spatial.reranked(near, walked, 3).collect()))
+
+
+def test_clusters_of_shared_places(spark, monkeypatch):
+    stops, rows, apart = _shared_places(spark)
+    seen, heads = [], spatial.first_heads
+    monkeypatch.setattr(spatial, "first_heads", lambda nodes, pairs, *more: seen.append(nodes.count()) or heads(nodes, pairs, *more))
+
+    def brute(metres, by_name):
+        found, of = [], {}
+        for r in rows:
+            own = next((h for h in found if (not by_name or h[1] == r[1]) and apart(h, r) <= metres), r)
+            of[r[0]] = own[0]
+            found += [r] if own is r else []
+        return of
+
+    assert dict(map(tuple, spatial.cluster_same_names(stops, 300.0).collect())) == brute(300.0, True)
+    assert dict(map(tuple, reconstruct.grid_clusters(stops, 200.0).collect())) == brute(200.0, False)
+    assert max(seen) <= 24  # places and names, not all 120 stops
