@@ -608,3 +608,12 @@ def test_clusters_of_shared_places(spark, monkeypatch):
     assert dict(map(tuple, spatial.cluster_same_names(stops, 300.0).collect())) == brute(300.0, True)
     assert dict(map(tuple, reconstruct.grid_clusters(stops, 200.0).collect())) == brute(200.0, False)
     assert max(seen) <= 24  # places and names, not all 120 stops
+
+
+def test_canonical_stop_times_merge_within_a_kilometre(spark, monkeypatch):
+    from tramline import queries
+
+    asked = []
+    monkeypatch.setattr(queries.spatial, "cluster_same_names", lambda stops, metres=150.0: asked.append(metres) or stops.select("stop_id", F.col("stop_id").alias("canonical_id")))
+    queries.QUERIES["stop_times_canonical"](spark, "/root/testdata/sf0.001")
+    assert asked == [1000.0]
