@@ -617,3 +617,15 @@ def test_canonical_stop_times_merge_within_a_kilometre(spark, monkeypatch):
     monkeypatch.setattr(queries.spatial, "cluster_same_names", lambda stops, metres=150.0: asked.append(metres) or stops.select("stop_id", F.col("stop_id").alias("canonical_id")))
     queries.QUERIES["stop_times_canonical"](spark, "/root/testdata/sf0.001")
     assert asked == [1000.0]
+
+
+def test_walks_between_places_cost_what_walks_between_all_stops_do(spark):
+    stops, rows, _ = _shared_places(spark, 60)
+    ways = [(k, (k * 17 + 5) % 60, k % 3, 0, 40.0 + k, 100.0) for k in range(0, 60, 2)]
+    known = search.materialize(spark.createDataFrame(ways, "u long, v long, route_id long, direction_id int, sec double, dist_m double"), "ways")
+    boards = spark.createDataFrame([(r, 0, 30.0, 90.0, 0, 0.0, 0.0) for r in range(3)], "route_id long, direction_id int, first double, later double, bit int, money double, per_metre double")
+    origins = spark.createDataFrame([(0, 0, 0.0), (7, 7, 0.0)], "od_id long, stop_id long, cost double")
+    pairs, links = (search.materialize(x, "walks") for x in (spatial.walk_links(stops, 300.0), spatial.place_links(stops, 300.0)))
+    assert links.count() * 20 < pairs.count()
+    costs = lambda walks, **more: {(x.od_id, x.stop_id): x.cost for x in search.best_by_stop(search.search(known, boards, walks, origins, **more)).collect()}
+    assert costs(links, spots=search.materialize(spatial.spots(stops), "spots")) == costs(pairs)
