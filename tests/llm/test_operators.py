@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tramline.llm")
 
-from tramline.llm import exact_dedup, neighbours, quality, simhash, substring, token_counts, token_files, toxicity  # noqa: E402
+from tramline.llm import exact_dedup, neighbours, quality, simhash, similar, substring, token_counts, token_files, toxicity  # noqa: E402
 from tramline.llm.packing import RoomTree, first_fit, pack, pack_documents  # noqa: E402
 from tramline.llm.pieces import PieceCodec, decode, decode_pieces, encode_pieces, piece_texts  # noqa: E402
 from tramline.llm.tokens import WordEncoder, tokenizer_path  # noqa: E402
@@ -605,3 +605,41 @@ def test_neighbours_of_queries_that_lie_elsewhere(spark):
     best = np.argsort(-scores, axis=1)[:, :20]
     found = got.groupby("query_id")["vec_id"].apply(set)
     assert np.mean([len(found[q * 20] & set(best[q])) / 20 for q in range(300)]) >= 0.95
+
+
+def test_similar_texts_are_all_linked(spark):
+    """Pairs at 0.8 or just above are linked, those just below are not, among frequent lines and a large group of copies."""
+    r = random.Random(80)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(900)]
+    line = " ".join(r.choice(vocabulary) for _ in range(30))
+    rows = []
+    for k in range(80):  # a text, and one with words changed here and there
+        words = [r.choice(vocabulary) for _ in range(r.randint(60, 300))]
+        changed = list(words)
+        for at in r.sample(range(len(words)), max(1, round(len(words) * r.uniform(0.01, 0.04)))):
+            changed[at] = "changed"
+        rows += [(10 * k, " ".join(words) + " " + line), (10 * k + 1, line + " " + " ".join(changed).upper() if k % 2 else " ".join(changed) + " " + line)]
+    base = [r.choice(vocabulary) for _ in range(90)]
+    rows += [(2000 + k, " ".join([*base, f"own{k}", *(f"tail{k}x{i}" for i in range(k % 18))])) for k in range(150)]
+    rows += [(9000, None), (9001, ""), (9002, " "), (9003, "one two"), (9004, "One  two"), (None, "null id"), (None, "null id")]
+    shingles = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    alike = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(shingles[i], shingles[j])]
+    near = [len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) for i, j in pairs if rows[i][0] is not None and rows[i][0] < 2000]
+    assert sum(x < 0.87 for x in near) >= 10 and len(near) < 80
+    groups = brute_components(pairs, range(len(rows)))
+    want = {min((rows[i][0] for i in g if rows[i][0] is not None), default=None) for g in map(list, groups.values())}
+    kept = [x.doc_id for x in similar.drop_similar(documents(spark, rows)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+    assert similar.drop_similar(documents(spark, [])).count() == 0
+
+
+def test_workers_give_back_what_other_stages_stored():
+    """What packing keeps from task to task goes when a task of another stage begins; its own tasks share it."""
+    from tramline.llm import batches
+    from tramline.llm.tokens import kept
+
+    encoder = kept(WordEncoder, tokenizer_path("word_bpe_49k.json"), False)
+    assert list(batches.slices(iter([pa.record_batch({"text": ["a b"]})]))) and kept(WordEncoder, tokenizer_path("word_bpe_49k.json"), False) is encoder
+    batches.give_back(stored=True)
+    assert not batches.stores and kept(WordEncoder, tokenizer_path("word_bpe_49k.json"), False) is not encoder

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,21 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 
 
+#: What a Python worker keeps from task to task: one object, by how it was made.
+stores: dict[tuple, object] = {}
+
+
+def give_back(stored: bool = False) -> None:
+    """Memory that is free within this worker goes back to the machine, as workers live on from stage to stage: what Arrow
+    and the C library hold for later, and, if told so, what earlier stages' tasks have stored."""
+    if stored:
+        stores.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A column; that of the document's row (a struct doc) where there is none of its own, so that texts are sent once."""
     return batch.column(name) if name in batch.schema.names else batch.column("doc").field(name)
@@ -20,8 +36,9 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named column holds about `budget` bytes in each piece.
 
-    After each batch, memory that Arrow holds for later goes back, as workers live on from stage to stage.
+    After each batch, memory that Arrow holds for later goes back; before the first and after the last, all that is free.
     """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,6 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
             yield batch.slice(at, to - at)
             at = to
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

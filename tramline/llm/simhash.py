@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.batches import byte_texts, slices
+from tramline.llm.similar import drop_similar
 from tramline.operators.graph import components
 from tramline.session import materialize
 
@@ -224,12 +225,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, **measure: int) -> DataFram
 
 
 def drop_near_copies(docs: DataFrame, width: int = NEAR["width"], **measure: int) -> DataFrame:
-    """The rows of docs that stay: one of each component, that with its smallest doc_id (of equal ids, the first).
+    """The rows of docs that stay: one of each component, that with its smallest doc_id (of equal ids, the first). Without
+    a measure of fingerprints, texts are compared by their shingles themselves, so that no similar pair is left out.
 
     Rows are numbered and written with their fingerprints; of the rest, only numbers are shuffled. The rows that go are
     written too, so that Spark knows their size when it picks the join that takes them out.
     """
-    measure = measure or {k: v for k, v in NEAR.items() if k != "width"}
+    if not measure:
+        return drop_similar(docs, width)
     inner = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     rows = materialize(fingerprints(inner, width, measure.get("bits", 64)).select("doc", "doc_id", "row", "fp"), "fingerprints")
     numbers = rows.select("doc_id", "row", "fp")

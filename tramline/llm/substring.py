@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.batches import byte_texts, column_of, slices
+from tramline.llm.batches import byte_texts, column_of, give_back, slices
 from tramline.session import materialize
 
 SEED = 42
@@ -199,6 +199,7 @@ def anchor_places(docs: DataFrame, window: int) -> DataFrame:
     """key_id, key_text, anchor, place (the first window's), n (windows) and context of each anchor place."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(stored=True)
         hashes = _WordHashes()
         for batch in slices(batches):
             if len(hashes) > 200_000:
@@ -250,6 +251,7 @@ def repeated_places(docs: DataFrame, window: int = 35, shard: int = SHARD, many:
     matched = few.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(match, "anchor long, context long, mask long")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(stored=True)
         hashes = _WordHashes()
         for batch in slices(batches, "words"):
             columns = [[], [], [], []]
@@ -316,6 +318,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 35) -> DataFrame:
     found = inner.join(repeated_places(docs.select("doc_id", "text"), window), ["key_id", "key_text"], "left").select("doc", "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(stored=True)
         for batch in slices(batches):
             kept = []
             for text, spans in zip(column_of(batch, "text").to_pylist(), batch.column("spans").to_pylist(), strict=True):

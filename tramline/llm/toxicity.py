@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.batches import byte_texts, slices
+from tramline.llm.batches import byte_texts, give_back, slices
 from tramline.llm.tokens import _Index
 
 BUCKETS = 1 << 18
@@ -226,6 +226,7 @@ def scored(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.ndarra
     inner = docs.select(F.struct("*").alias("doc"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(stored=True)
         score = make()
         for batch in slices(batches):
             scores = score(byte_texts(batch))
