@@ -634,6 +634,29 @@ def test_similar_texts_are_all_linked(spark):
     assert similar.drop_similar(documents(spark, [])).count() == 0
 
 
+def test_texts_that_are_nearly_similar_are_not_all_compared(spark, monkeypatch):
+    """Changed copies of one text, of which no two are similar, and the text's true copies: all links, by few pairs."""
+    r, seen, compared = random.Random(7), [], similar.similar_pairs
+    monkeypatch.setattr(similar, "similar_pairs", lambda pairs, *more: seen.append(pairs.count()) or compared(pairs, *more))
+    base = [f"b{i}" for i in range(150)]
+    rows = [(k, " ".join(f"x{k}" if i in cut else w for i, w in enumerate(base))) for k in range(150) if (cut := set(r.sample(range(150), 6)))]
+    rows += [(1000 + k, " ".join([*base, *(f"c{k}y{i}" for i in range(3))]).replace("b", "d")) for k in range(150)]
+    kept = sorted(x.doc_id for x in similar.drop_similar(documents(spark, rows)).collect())
+    shingles = [frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j])]
+    assert kept == sorted({min(rows[i][0] for i in g) for g in brute_components(pairs, range(len(rows))).values()})
+    assert sum(seen) <= 10 * len(rows)
+
+
+def test_marks_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+        differ = sum(int(x ^ y).bit_count() for x, y in zip(similar.odd_parts(a).tolist(), similar.odd_parts(b).tolist(), strict=True))
+        assert differ <= len(np.setxor1d(a, b)) and (differ > 0) == (n > 9)
+
+
 def test_workers_give_back_what_other_stages_stored():
     """What packing keeps from task to task goes when a task of another stage begins; its own tasks share it."""
     from tramline.llm import batches

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -77,3 +78,14 @@ def test_the_toxicity_stage_drops_what_scores_high(spark, tables):
     rows = [(k, " ".join(words[(k * 13 + i * 17) % 300] for i in range(60)) + (" zqurkish zqurked" * 3 if k % 2 else "")) for k in range(60)]
     left = {r.doc_id for r in dict(pipeline.STAGES)["toxicity"](spark, odd_documents(spark, rows), tables).collect()}
     assert left == {k for k in range(60) if k % 2 == 0}
+
+
+def test_run_deletes_what_it_needs_no_more(spark, monkeypatch):
+    """Of all that its stages write, the last one's input is left."""
+    from tramline import session
+
+    made, scratch = [], session.scratch_dir
+    monkeypatch.setattr(session, "scratch_dir", lambda *a: made.append(scratch(*a)) or made[-1])
+    assert pipeline.run(spark, SMALL).count()
+    left = [p for p in made if os.path.exists(p)]
+    assert len(made) > 20 and sum("/stage-" in p for p in left) == 1 and not [p for p in left if "/shingles-" in p]
